@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from factloom.llm.bpe import op2_byte_level_bpe
+from factloom.llm.fingerprint import op3_document_fingerprints
+from factloom.llm.neighbours import op8_nearest_neighbours
 from factloom.llm.simhash import op10_simhash_near_dedup
+from factloom.llm.substring import op1_substring_dedup
+from factloom.llm.tokenfiles import op9_token_files
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_byte_level_bpe": op2_byte_level_bpe,
+    "op3_document_fingerprints": op3_document_fingerprints,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op9_token_files": op9_token_files,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 

@@ -1,6 +1,5 @@
-import random
-
 import pytest
+from llm_texts import prose
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -16,11 +15,6 @@ def documents(spark):
     return make
 
 
-def prose(seed, n, vocabulary=5000):
-    r = random.Random(seed)
-    return " ".join(f"w{r.randrange(vocabulary)}" for _ in range(n))
-
-
 @pytest.fixture()
 def odd_texts():
     """Nulls, empty, blank, tiny, repeated and very long texts."""
