@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once; a longer document is taken alone.
 CHUNK_BYTES = 1 << 20
@@ -137,3 +138,10 @@ def window_hashes(hashes: np.ndarray, rows: np.ndarray, size: int, base: int) ->
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.flatnonzero(rows[:n] == rows[size - 1 :])
     return at, span_hashes(hashes, at, at + size, base)
+
+
+def even_keys(spark: SparkSession, partitions: int, each: int) -> list[int]:
+    """Numbers that hash partitioning deals out evenly: ``each`` to every partition."""
+    n = spark.range(partitions * each * 64).withColumn("p", F.pmod(F.hash("id"), F.lit(partitions)))
+    ranked = n.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("id"))).where(F.col("r") <= each)
+    return sorted(r["id"] for r in ranked.select("id").collect())

@@ -30,12 +30,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import span_hashes, table, text_bytes, width, window_hashes, words_of
+from factloom.llm.common import even_keys, span_hashes, table, text_bytes, width, window_hashes, words_of
 
 #: Words of a window that counts as a repeat, and of the blocks that anchor it.
 WINDOW_WORDS = 35
-#: Groups of documents for each shuffle partition.
-GROUPS_PER_PARTITION = 4
+#: Groups of documents for each shuffle partition: a task holds one at a time, and sends
+#: each slice a message for each.
+GROUPS_PER_PARTITION = 2
 
 BYTE_BASE = 0x9E3779B97F4A7C15
 FIRST_BASE = 0xC2B2AE3D27D4EB4F
@@ -224,12 +225,13 @@ def repeats(docs: DataFrame, window: int = WINDOW_WORDS, with_text: bool = False
     """
     spark = docs.sparkSession
     slices = width(spark)
-    groups = slices * GROUPS_PER_PARTITION
+    groups = even_keys(spark, slices, GROUPS_PER_PARTITION)
     block = (window + 1) // 2
     if 2 * block - 1 > window:
         block -= 1
     names = docs.columns if with_text else ["doc_id", "text"]
-    own = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("_g"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(names)])
+    group_of = F.element_at(F.array(*[F.lit(g).cast("long") for g in groups]), (F.pmod(F.xxhash64("doc_id", "text"), F.lit(len(groups))) + 1).cast("int"))
+    own = docs.select(group_of.alias("_g"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(names)])
     grouped = own.repartition(slices, "_g")
     text_at = 1 + names.index("text")
 
