@@ -34,12 +34,16 @@ from factloom.llm.common import scratch_dir, slices, table, text_bytes, worker_c
 FORMAT = "bit planes 1"
 #: Ids of a block, bits of a plane, and bits of an id.
 BLOCK_IDS = 65_536
-PLANE_BITS = 1
+PLANE_BITS = 8
 ID_BITS = 32
 #: Ends each document.
 END_ID = 1
 #: Words that a worker remembers; beyond it the memory is emptied.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_500_000
+#: Bytes of text encoded at once, and new words that the library gets in one string.
+TEXT_BYTES = 1 << 22
+WORDS_AT_ONCE = 256
+SEAM = "\x01"
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -63,40 +67,54 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        # A word of its own whose ids mark the seams when many words are encoded at once.
+        self.seam = self.library.encode(SEAM, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.starts = [np.zeros(1, np.int64)]
-        self.ids = [np.zeros(0, np.uint32)]
+        self.starts = np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word)."""
+        run = self.library.encode_batch_fast
+        if len(self.seam) != 1 or any(SEAM in w for w in words):
+            found = [x.ids for x in run(words, add_special_tokens=False)]
+            return np.array([y for x in found for y in x], np.uint32), np.array([len(x) for x in found], np.int64)
+        between = f" {SEAM} "
+        lines = [between.join(words[i : i + WORDS_AT_ONCE]) + between for i in range(0, len(words), WORDS_AT_ONCE)]
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in run(lines, add_special_tokens=False)])
+        seams = np.flatnonzero(ids == self.seam[0])
+        if len(seams) != len(words):
+            raise ValueError("the vocabulary does not keep words apart")
+        return np.delete(ids, seams), np.diff(seams, prepend=-1) - 1
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of rows in them), without end ids; null is empty."""
-        column = column.fill_null("")
-        clean = pc.replace_substring_regex(column, "[\t-\r]", " ")
-        lists = pc.split_pattern(clean, " ")
-        words = lists.flatten()
-        coded = words.dictionary_encode()
+        lists = pc.ascii_split_whitespace(column.fill_null(""))
+        coded = lists.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
         if len(self.number) + len(names) > CACHE_WORDS:
             self.clear()
-        fresh = [w for w in names if w not in self.number]
+        numbers = list(map(self.number.get, names))
+        fresh = [i for i, n in enumerate(numbers) if n is None]
         if fresh:
             base = len(self.number)
-            found = [x.ids for x in self.library.encode_batch_fast(fresh, add_special_tokens=False)]
-            self.number.update((w, base + i) for i, w in enumerate(fresh))
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self.starts.append(np.cumsum(lengths) + self.starts[-1][-1])
-            self.ids.append(np.fromiter((y for x in found for y in x), np.uint32, int(lengths.sum())))
-        self.starts, self.ids = [np.concatenate(self.starts)], [np.concatenate(self.ids)]
-        starts, ids = self.starts[0], self.ids[0]
-        number = np.fromiter((self.number[w] for w in names), np.int64, len(names))[coded.indices.to_numpy()] if names else np.zeros(0, np.int64)
-        lengths = starts[number + 1] - starts[number]
+            words = [names[i] for i in fresh]
+            ids, lengths = self._encode_words(words)
+            for at, (i, w) in enumerate(zip(fresh, words, strict=True), base):
+                numbers[i] = self.number[w] = at
+            self.starts = np.concatenate([self.starts, np.cumsum(lengths) + self.starts[-1]])
+            self.ids = np.concatenate([self.ids, ids])
+        number = np.array(numbers, np.int64)[coded.indices.to_numpy()] if names else np.zeros(0, np.int64)
+        starts = self.starts[number]
+        lengths = self.starts[number + 1] - starts
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(starts[number] - (ends - lengths), lengths)
+        at = np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        return ids[at], np.concatenate([[0], ends])[offsets]
+        return self.ids[at], np.concatenate([[0], ends])[offsets]
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -191,7 +209,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, block_ids:
         for batch in batches:
             texts = batch.column(1)
             _, offsets = text_bytes(texts)
-            for low, high in slices(np.diff(offsets)):
+            for low, high in slices(np.diff(offsets), TEXT_BYTES):
                 ids, at = encode(texts.slice(low, high - low))
                 keys = batch.column(0).slice(low, high - low).to_pylist()
                 n = np.diff(at)
