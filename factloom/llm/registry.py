@@ -26,4 +26,14 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
+
+def pipeline(spark, sf_dir):
+    """The corpus pipeline, which lies at the top of the repository."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+
 SQL: dict[str, str] = {}

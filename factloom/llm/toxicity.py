@@ -29,7 +29,7 @@ from factloom.llm.common import table
 TRAIN_ROWS = 8_000
 FEATURES = 512
 FOLDS = 4
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7)
 WORD = re.compile(r"\w+")
 #: Words whose features a task remembers.
@@ -79,7 +79,7 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 150) -> np.ndarray:
+def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 150) -> np.ndarray:
     """Weights of a logistic regression; the last column of x is the intercept's."""
     w = np.zeros(x.shape[1])
     share = (y.sum() + 0.5) / (len(y) + 1)
@@ -152,7 +152,8 @@ def trained(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATE
     x = np.zeros((n, len(vocabulary)))
     for i, r in enumerate(data):
         for k, v in r["f"].items():
-            x[i, vocabulary[k]] = np.log1p(v)
+            if k in vocabulary:
+                x[i, vocabulary[k]] = np.log1p(v)
     y = np.array([[r[c] or 0 for c in categories] for r in data], float)
     fold = np.random.default_rng(3).permutation(n) % FOLDS
     return fitted_chain(x, y, fold, categories, vocabulary)
