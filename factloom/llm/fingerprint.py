@@ -162,7 +162,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     """
     kind = dict(docs.dtypes)["doc_id"]
     order = [F.desc_nulls_last("doc_id"), F.desc("text")]
-    ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(width(docs.sparkSession), *order)
+    ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(width(docs.sparkSession), order[0])  # by the id alone: its samples go to the driver
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_id, held = [], []
