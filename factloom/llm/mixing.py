@@ -72,38 +72,51 @@ def marking_words(docs: DataFrame, domains: DataFrame, rows: int = WORD_ROWS, wo
 
 
 def tokens_of(text: Column) -> Column:
-    """Words of a text: runs without ASCII white space; null has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long")
-
-
-def measures(text: Column, marks: list[str]) -> dict[str, Column]:
-    text = F.coalesce(text, F.lit(""))
-    chars = F.greatest(F.length(text), F.lit(1))
-    words = F.greatest(tokens_of(text), F.lit(1))
-    found = F.lit(0)
-    for word in marks:
-        found = found + F.contains(text, F.lit(word)).cast("int")
-    return {
-        "upper": F.regexp_count(text, F.lit("[A-ZÀ-Þ]")) / chars,
-        "symbols": F.regexp_count(text, F.lit("[!#$%&*|<>{}=\\\\^~]")) / chars,
-        "repeats": F.regexp_count(text, F.lit(r"(?<=\s)(\S++)\s\1(?=\s)")) / words,
-        "word_length": chars / words,
-        "size": words.cast("double"),
-        "marks": found.cast("double"),
-    }
+    """Words of a text, runs without ASCII white space, from the runs between them; null
+    has none."""
+    white = lambda c: c.isin(*" \t\n\v\f\r").cast("int")
+    between = F.regexp_count(text, F.lit(r"[ \t-\r]+"))
+    words = between + 1 - white(F.substring(text, 1, 1)) - white(F.substring(text, -1, 1))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(words).cast("long")
 
 
 def _bin(value: Column, borders: tuple) -> Column:
     out = F.lit(len(borders))
     for i in reversed(range(len(borders))):
         out = F.when(value <= borders[i], i).otherwise(out)
-    return out
+    return out.cast("int")
+
 
+def binned(docs: DataFrame, marks: list[str]) -> DataFrame:
+    """``docs`` with _mix_tokens and _mix_bins (array<int>, a bin for each measure).
 
-def binned(docs: DataFrame, marks: list[str], keep: list[str]) -> DataFrame:
-    """``keep``, tokens and bins (array<int>, a bin for each measure)."""
-    found = measures(F.col("text"), marks)
-    return docs.select(*keep, tokens_of(F.col("text")).alias("_tokens"), F.array(*[_bin(found[k], b).cast("int") for k, b in BINS.items()]).alias("_bins"))
+    In steps, so that each count is made once and used by name: what a pattern finds in a
+    whole text costs far more than all that is reckoned from it.
+    """
+    text = F.coalesce("text", F.lit(""))
+    found = F.lit(0)
+    for word in marks:
+        found = found + F.contains(text, F.lit(word)).cast("int")
+    counts = {
+        "_mix_tokens": tokens_of(F.col("text")),
+        "_mix_chars": F.length(text),
+        "_mix_upper": F.regexp_count(text, F.lit("[A-ZÀ-Þ]")),
+        "_mix_symbols": F.regexp_count(text, F.lit("[!#$%&*|<>{}=\\\\^~]")),
+        "_mix_repeats": F.regexp_count(text, F.lit(r"(?<=\s)(\S++)\s\1(?=\s)")),
+        "_mix_marks": found,
+    }
+    chars, words = F.greatest("_mix_chars", F.lit(1)), F.greatest("_mix_tokens", F.lit(1))
+    measures = {
+        "upper": F.col("_mix_upper") / chars,
+        "symbols": F.col("_mix_symbols") / chars,
+        "repeats": F.col("_mix_repeats") / words,
+        "word_length": chars / words,
+        "size": words.cast("double"),
+        "marks": F.col("_mix_marks").cast("double"),
+    }
+    reckoned = docs.withColumns(counts).withColumns({f"_mix_m_{k}": measures[k] for k in BINS})
+    bins = F.array(*[_bin(F.col(f"_mix_m_{k}"), borders) for k, borders in BINS.items()])
+    return reckoned.select(*docs.columns, "_mix_tokens", bins.alias("_mix_bins"))
 
 
 @dataclass
@@ -114,17 +127,25 @@ class Classifier:
     log_prior: list[float]
     log_share: list[list[list[float]]]
 
-    def posterior(self, bins: Column) -> Column:
-        """array<double> of the probability of each domain."""
-        logs = []
+    def logs(self, bins: Column) -> list[Column]:
+        """Log of prior and shares for each domain, up to a common constant."""
+        out = []
         for d in range(len(self.domains)):
             total = F.lit(self.log_prior[d])
             for m, shares in enumerate(self.log_share):
                 total = total + F.element_at(F.array(*[F.lit(x) for x in shares[d]]), bins[m] + 1)
-            logs.append(total)
-        top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-        weights = F.transform(F.array(*logs), lambda x: F.exp(x - top))
-        return F.transform(weights, lambda x: x / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b))
+            out.append(total)
+        return out
+
+
+def with_posterior(rows: DataFrame, classifier: Classifier, bins: str) -> DataFrame:
+    """``rows`` with _posterior, array<double> of the probability of each domain."""
+    names = [f"_mix_log_{d}" for d in range(len(classifier.domains))]
+    logged = rows.withColumns(dict(zip(names, classifier.logs(F.col(bins)), strict=True)))
+    top = F.greatest(*names) if len(names) > 1 else F.col(names[0])
+    weighed = logged.withColumn("_mix_top", top).withColumns({n: F.exp(F.col(n) - F.col("_mix_top")) for n in names})
+    total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
+    return weighed.withColumn("_mix_total", total).withColumn("_posterior", F.array(*[F.col(n) / F.col("_mix_total") for n in names])).drop(*names, "_mix_top", "_mix_total")
 
 
 def trained(bins: DataFrame, domains: DataFrame, names: tuple[str, ...] = DOMAINS) -> Classifier:
@@ -186,12 +207,13 @@ def learned(docs: DataFrame, labels: DataFrame, targets: dict[str, float], ancho
     """(marking words, classifier, members, gradients, target tokens) for all of docs."""
     domains = stored(domains_of(labels), "domains")
     marks = marking_words(docs, domains)
-    bins = stored(binned(docs, marks, ["doc_id"]), "bins")
+    bins = stored(binned(docs.select("doc_id", "text"), marks).select("doc_id", F.col("_mix_tokens").alias("_tokens"), F.col("_mix_bins").alias("_bins")), "bins")
     classifier = trained(bins, domains)
-    members = bins.select("doc_id", "_tokens", classifier.posterior(F.col("_bins")).alias("_posterior"))
-    members = stored(members, "members")
-    gradients, want = fitted_rates(members, targets, anchor=anchor)
-    return marks, classifier, members, gradients, want
+    # A posterior is decided by the bins, so the rounds run over the different bins with the
+    # tokens of all their documents: at most one row for each cell of the grid.
+    cells = stored(with_posterior(bins.groupBy("_bins").agg(F.sum("_tokens").alias("_tokens")), classifier, "_bins"), "cells")
+    gradients, want = fitted_rates(cells, targets, anchor=anchor)
+    return marks, classifier, with_posterior(bins, classifier, "_bins"), gradients, want
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
@@ -211,12 +233,9 @@ def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | No
     surely clean has a rate of 1 or more and always stays; nothing is repeated.
     """
     marks, classifier, _, gradients, _ = learned(docs, labels, targets or TARGETS, anchor="clean")
-    found = measures(F.col("text"), marks)
-    bins = F.array(*[_bin(found[k], b).cast("int") for k, b in BINS.items()])
     chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    # Made beside the rows, in two steps so that each measure is computed once.
-    step = docs.withColumn("_mix_bins", bins).withColumn("_mix_rate", rate(classifier.posterior(F.col("_mix_bins")), gradients))
-    return step.where(chance < F.col("_mix_rate")).select(*docs.columns)
+    rated = with_posterior(binned(docs, marks), classifier, "_mix_bins").withColumn("_mix_rate", rate(F.col("_posterior"), gradients))
+    return rated.where(chance < F.col("_mix_rate")).select(*docs.columns)
 
 
 def op4_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
