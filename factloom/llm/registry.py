@@ -9,7 +9,7 @@ from factloom.llm.mixing import op4_mixing_to_targets
 from factloom.llm.neighbours import op8_nearest_neighbours
 from factloom.llm.quality import op5_quality_classifier
 from factloom.llm.simhash import op10_simhash_near_dedup
-from factloom.llm.substring import op1_substring_dedup
+from factloom.llm.substring import OP1_SQL, op1_substring_dedup
 from factloom.llm.tokenfiles import op9_token_files
 from factloom.llm.toxicity import op6_toxicity
 
@@ -36,4 +36,4 @@ def pipeline(spark, sf_dir):
 
 QUERIES["pipeline"] = pipeline
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL}
