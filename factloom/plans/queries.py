@@ -458,3 +458,73 @@ def lru_cache(spark, sf):
     return aggregates.keep_latest(t(spark, sf, "events"), "user_id", "event_type", "event_id", 4).withColumn("place", long("place"))
 
 
+
+
+# Listings, changes, health, reports
+
+
+@query("""SELECT reason, count(*) AS total FROM (SELECT CASE WHEN source = 'src1' THEN 'symlink' WHEN doc_id % 7 = 0 THEN 'excluded-directory' WHEN doc_id % 5 = 0 THEN 'generated-file' WHEN n_chars > 5000 AND doc_id % 3 <> 0 THEN 'file-too-large' END AS reason FROM documents) WHERE reason IS NOT NULL GROUP BY 1""")
+def scan_skip_reasons(spark, sf):
+    """Documents as entries of a repository: why each is not read."""
+    from factloom.sources.files import Limits, skip_reason
+
+    n = F.col("doc_id")
+    name = F.when(n % 5 == 0, "a.min.js").when(n % 3 == 0, "yarn.lock").otherwise("a.py")
+    path = F.concat(F.lit("p"), n.cast("string"), F.when(n % 7 == 0, "/node_modules/").otherwise("/"), name)
+    entries = t(spark, sf, "documents").select(path.alias("path"), F.col("n_chars").alias("size"), F.when(F.col("source") == "src1", "symlink").otherwise("file").alias("kind"))
+    return entries.withColumn("reason", skip_reason(Limits(file_bytes=5000))).where("reason is not null").groupBy("reason").agg(F.count("*").alias("total"))
+
+
+@query(f"""WITH p AS ({PATH_SQL}), r AS (SELECT DISTINCT string_split(path, '/')[1] AS root FROM p WHERE page_id % 10 = 0 UNION SELECT 'nowhere') SELECT root, count(path) > 0 AS matched, count(path) AS files FROM r LEFT JOIN p ON starts_with(path, root || '/') GROUP BY 1""")
+def scope_counts(spark, sf):
+    from factloom.sources import files
+
+    p = _page_paths(spark, sf)
+    roots = p.where("page_id % 10 = 0").select(F.split("path", "/")[0].alias("root")).union(spark.range(1).select(F.lit("nowhere"))).distinct()
+    return files.scope_counts(p, roots).select("root", "matched", long("files").alias("files"))
+
+
+@query("""WITH b AS (SELECT o_custkey AS name, o_orderpriority AS kind, max(o_orderkey) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2), h AS (SELECT o_custkey AS name, o_orderpriority AS kind, max(o_orderkey) AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2),
+d AS (SELECT coalesce(b.name, h.name) AS name, coalesce(b.kind, h.kind) AS kind, CASE WHEN b.name IS NULL THEN 'added' WHEN h.name IS NULL THEN 'removed' ELSE 'changed' END AS change FROM b FULL JOIN h ON b.name = h.name AND b.kind = h.kind WHERE b.v IS DISTINCT FROM h.v),
+r AS (SELECT *, row_number() OVER (PARTITION BY name, change ORDER BY kind) AS n, count(*) FILTER (WHERE change = 'added') OVER (PARTITION BY name) AS a, count(*) FILTER (WHERE change = 'removed') OVER (PARTITION BY name) AS g FROM d)
+SELECT CASE WHEN change = 'removed' AND n <= a THEN 'changed' ELSE change END AS change, CASE WHEN change = 'removed' AND n <= a THEN true ELSE false END AS moved, count(*) AS n FROM r WHERE NOT (change = 'added' AND n <= g) GROUP BY 1, 2""")
+def dependency_changes(spark, sf):
+    """Orders as declarations of a customer under a priority, from one status to another."""
+    from factloom.operators import changes
+
+    state = lambda s: t(spark, sf, "orders").where(F.col("o_orderstatus") == s).groupBy(F.lit("e").alias("ecosystem"), F.lit(".").alias("project"), F.col("o_custkey").cast("string").alias("name"), F.col("o_orderpriority").alias("kind")).agg(F.max("o_orderkey").alias("constraint"))
+    found = changes.dependency_changes(state("F"), state("O"))
+    moved = F.coalesce(F.col("kind_before") != F.col("kind_after"), F.lit(False))
+    return found.groupBy("change", moved.alias("moved")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH one AS (SELECT l_partkey, min(l_suppkey) AS s FROM lineitem WHERE l_quantity > 40 GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1)
+SELECT p_partkey, signal FROM (SELECT p_partkey, unnest([CASE WHEN s_acctbal < 0 THEN 'registry-deprecated' END, CASE WHEN s_nationkey < 5 THEN 'repository-archived' END, 'locked-version-published']) AS signal FROM part JOIN one ON l_partkey = p_partkey JOIN supplier ON s_suppkey = s) WHERE signal IS NOT NULL""")
+def health_facts(spark, sf):
+    """Parts with exactly one supplier of large quantities, and what is known of it."""
+    from factloom.operators import health
+
+    fixed = {"ecosystem": F.lit("e"), "project": F.lit(".")}
+    parts = t(spark, sf, "part").withColumns(fixed).withColumn("name", F.col("p_partkey").cast("string"))
+    nodes = t(spark, sf, "lineitem").where("l_quantity > 40").withColumns(fixed).select("ecosystem", "project", F.col("l_partkey").cast("string").alias("name"), F.col("l_suppkey").cast("string").alias("version"), F.lit("o").alias("origin"))
+    locked = health.locked_version(parts, nodes)
+    supplier = t(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("version"), (F.col("s_acctbal") < 0).alias("deprecated"), (F.col("s_nationkey") < 5).alias("archived"))
+    registry = locked.select("ecosystem", "name", "version").distinct().join(supplier, "version").withColumn("published", F.lit("2024-01-31"))
+    return health.facts(locked, registry).select(F.col("name").cast("bigint").alias("p_partkey"), "signal")
+
+
+@query("""SELECT c_custkey, '{"balance":' || CAST(CAST(round(c_acctbal) AS BIGINT) AS VARCHAR) || ',"name":"' || c_name || '"' || CASE WHEN c_nationkey > 10 THEN ',"nation":' || c_nationkey ELSE '' END || '}' AS report FROM customer""")
+def canonical_json(spark, sf):
+    from factloom.operators import report
+
+    rows = t(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("name"), F.when(F.col("c_nationkey") > 10, F.col("c_nationkey")).alias("nation"), F.round("c_acctbal").cast("bigint").alias("balance"))
+    return rows.select("c_custkey", report.canonical_json(["name", "nation", "balance"]).alias("report"))
+
+
+@query(f"""WITH s AS ({SEVERITY_SQL}) SELECT 'neutral' AS conclusion, count_if(kind <> 'info') AS verdicts, count_if(kind <> 'info' AND severity IN ('critical', 'high', 'medium')) AS failing, 'medium' AS worst FROM s""")
+def check_outcome(spark, sf):
+    from factloom.operators import report
+
+    no = F.lit(None).cast("boolean")
+    rows = _severities(spark, sf).withColumn("finding_group", rules.finding_group(F.col("kind"), no, no, no))
+    return report.outcome(rows, "medium")

@@ -1,19 +1,16 @@
-from factloom.operators import graph
-from factloom.sources import diffs, lockfiles, manifests, references
+import pytest
+from factloom.operators import changes, graph, health, report
+from factloom.sources import diffs, files, lockfiles, manifests, references
 
 FILES = "path string, text string"
 
 
-def files(spark, **by_path):
-    return spark.createDataFrame([(k.replace("__", "/").replace("_dot_", "."), v) for k, v in by_path.items()], FILES)
-
-
 def table(spark, rows):
     return spark.createDataFrame(rows, FILES)
 
 
 def tuples(df, *columns):
-    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+    return sorted((tuple(r[c] for c in columns or df.columns) for r in df.collect()), key=repr)
 
 
 def test_package_json(spark):
@@ -153,3 +150,74 @@ def test_scripts_and_workflows(spark):
     scripts = references.package_scripts(rows)
     assert tuples(references.commands(scripts), "name", "command") == [("b", "tee"), ("b", "tsc"), ("b", "vite"), ("t", "jest")]
     assert [s.strip().split("\n")[0].strip() for (s,) in tuples(references.workflow_steps(rows), "script")] == ["eslint .", "npm test"]
+
+
+def test_scan(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("x = 1")
+    (tmp_path / "README").write_text("hello")
+    assert tuples(files.tree(spark, f"file://{tmp_path}"), "path", "size") == [("README", 5), ("src/a.py", 5)]
+    entries = [("a.js", 5, "file"), ("b.js", 9, "file"), ("b/c.js", 1, "file"), ("l", 1, "symlink"), ("s", 1, "socket"), ("node_modules/x.js", 1, "file"), ("x.min.js", 1, "file"), ("big.js", 99, "file"), ("yarn.lock", 99, "file"), ("../x", 1, "file"), ("d/e/f/g.js", 1, "file")]
+    df = spark.createDataFrame(entries, "path string, size long, kind string")
+    limits = files.Limits(file_bytes=50, depth=3, total_bytes=120)
+    kept, skipped = files.scanned(df, limits)
+    assert [p for (p,) in tuples(kept, "path")] == ["a.js", "b.js", "b/c.js", "yarn.lock"]
+    assert dict(tuples(skipped, "path", "reason")) == {"l": "symlink", "s": "special-file", "node_modules/x.js": "excluded-directory", "x.min.js": "generated-file", "big.js": "file-too-large", "../x": "unsafe-name", "d/e/f/g.js": "too-deep"}
+    kept, skipped = files.scanned(df, files.Limits(file_bytes=50, total_bytes=14))
+    assert [p for (p,) in tuples(kept, "path")] == ["a.js", "b.js"]
+    kept, _ = files.scanned(df, files.Limits(file_bytes=50, files=1))
+    assert [p for (p,) in tuples(kept, "path")] == ["a.js"]
+    with pytest.raises(ValueError):
+        files.Limits(files=-1)
+
+
+def test_scope(spark):
+    rows = table(spark, [("fx/a/package.json", ""), ("fx/b.js", ""), ("fxx/c.js", ""), ("d.js", "")])
+    roots = spark.createDataFrame([("fx",), ("none",)], "root string")
+    assert tuples(files.scope_counts(rows, roots)) == [("fx", True, 2, 1), ("none", False, 0, 0)]
+    assert tuples(files.outside(rows, roots), "path") == [("d.js",), ("fxx/c.js",)]
+
+
+def test_changes_and_coverage(spark):
+    row = "ecosystem string, project string, name string, kind string, constraint string"
+    base = spark.createDataFrame([("js", ".", "a", "dev", "1"), ("js", ".", "b", "runtime", "1"), ("js", ".", "c", "runtime", "1")], row)
+    head = spark.createDataFrame([("js", ".", "a", "runtime", "2"), ("js", ".", "b", "runtime", "2"), ("go", "x", "d", "runtime", "1")], row)
+    found = changes.dependency_changes(base, head)
+    assert tuples(found, "name", "change", "kind_before", "kind_after", "before", "after") == [("a", "changed", "dev", "runtime", "1", "2"), ("b", "changed", "runtime", "runtime", "1", "2"), ("c", "removed", "runtime", None, "1", None), ("d", "added", None, "runtime", None, "1")]
+    listed = spark.createDataFrame([("js", ".", "b")], "ecosystem string, project string, name string")
+    seen = spark.createDataFrame([("js",)], "ecosystem string")
+    assert tuples(changes.coverage(found, listed, seen), "name", "reason") == [("a", "not listed"), ("d", "ecosystem not analysed")]
+    changed = table(spark, [("package.json", ""), ("apps/x/package.json", ""), ("apps/yarn.lock", ""), ("py/pyproject.toml", ""), ("py/yarn.lock", "")])
+    assert tuples(changes.uncovered_manifests(changed), "path") == [("package.json",), ("py/pyproject.toml",)]
+    assert changes.is_source_only(table(spark, [("a.ts", ""), ("README", "")]), True)
+    assert not changes.is_source_only(table(spark, [("a.ts", ""), ("go.mod", "")]), True)
+    assert not changes.is_source_only(table(spark, [("a.ts", "")]), False)
+
+
+def test_verified_lines(spark):
+    rows = table(spark, [("requirements.txt", "Zope.Interface>=1\nother"), ("package.json", '{"a-b": 1,\n"a": 2}')])
+    declared = spark.createDataFrame([("python", "zope-interface", "requirements.txt", 1), ("python", "other", "requirements.txt", 1), ("js", "a", "package.json", 1), ("js", "a", "package.json", 2), ("js", "x", "gone", 1)], "ecosystem string, name string, declared_in string, declared_line int")
+    assert tuples(changes.verified_lines(declared, manifests.lines(rows)), "name", "declared_line") == [("a", 2), ("a", None), ("other", None), ("x", None), ("zope-interface", 1)]
+
+
+def test_health(spark):
+    key = "ecosystem string, project string, name string"
+    direct = spark.createDataFrame([("js", ".", "a"), ("js", ".", "b"), ("js", ".", "c")], key)
+    nodes = spark.createDataFrame([("js", ".", "a", "1", "o"), ("js", ".", "b", "1", "o"), ("js", ".", "b", "2", "o"), ("js", ".", "c", "1", "o")], key + ", version string, origin string")
+    registry = spark.createDataFrame([("js", "a", "1", True, None, "2024-02-30"), ("js", "c", "1", True, True, "2024-13-01"), ("js", "c", "1", True, True, "x")], "ecosystem string, name string, version string, deprecated boolean, archived boolean, published string")
+    locked = health.locked_version(direct, nodes)
+    assert tuples(locked, "name") == [("a",), ("c",)]
+    assert tuples(health.facts(locked, registry), "name", "signal") == [("a", "locked-version-published"), ("a", "registry-deprecated")]
+
+
+def test_reports(spark, tmp_path):
+    rows = [("unused", "unused", "medium", "high", "b", "p.json", 3, "verdict"), ("info", "x", "info", "high", "a", "p.json", 4, "note"), ("unused", "unused", "low", "high", "c", None, None, "verdict")]
+    found = spark.createDataFrame(rows, "kind string, rule string, severity string, confidence string, dependency string, file string, line int, finding_group string")
+    assert [r.dependency for r in report.ordered(found).collect()] == ["b", "c", "a"]
+    added = spark.createDataFrame([("p.json", 3)], "path string, line int")
+    assert tuples(report.annotated(found, added), "dependency") == [("b",)]
+    assert tuples(report.outcome(found, "medium")) == [("neutral", 2, 1, "medium")]
+    assert tuples(report.outcome(found.where("dependency = 'a'"), "medium")) == [("success", 0, 0, None)]
+    report.written(found, f"file://{tmp_path}/r")
+    lines = [r.value for r in spark.read.text(f"file://{tmp_path}/r").collect()]
+    assert len(lines) == 3 and lines[0].startswith('{"confidence":"high","dependency":"b"')
