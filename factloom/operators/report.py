@@ -44,4 +44,4 @@ def outcome(findings: DataFrame, threshold: str) -> DataFrame:
         F.count_if(verdict).alias("verdicts"), F.count_if(verdict & (place <= SEVERITIES.index(threshold) + 1)).alias("failing"), F.count_if(F.col("finding_group") == "incomplete").alias("open"), F.min(F.when(verdict, place)).alias("worst")
     )
     conclusion = F.when(F.col("failing") + F.col("open") + F.col("verdicts") > 0, "neutral").otherwise("success")
-    return counted.select(conclusion.alias("conclusion"), "verdicts", "failing", F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("worst")).alias("worst"))
+    return counted.select(conclusion.alias("conclusion"), "verdicts", "failing", F.when(F.col("verdicts") > 0, F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("worst"))).alias("worst"))
