@@ -190,7 +190,7 @@ def fitted_rates(members: DataFrame, targets: dict[str, float], domains: tuple[s
     if total is None:
         total = everything
         if anchor is not None and targets.get(anchor):
-            total = 1.02 * now[domains.index(anchor)] * weight / targets[anchor]
+            total = 1.1 * now[domains.index(anchor)] * weight / targets[anchor]
     want = [total * targets.get(d, 0.0) / weight for d in domains]
     gradients: list[list[float]] = []
     while everything and len(gradients) < ROUNDS:
@@ -235,7 +235,10 @@ def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | No
     marks, classifier, _, gradients, _ = learned(docs, labels, targets or TARGETS, anchor="clean")
     chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     rated = with_posterior(binned(docs, marks), classifier, "_mix_bins").withColumn("_mix_rate", rate(F.col("_posterior"), gradients))
-    return rated.where(chance < F.col("_mix_rate")).select(*docs.columns)
+    # A filter is pushed below what it reads, which would repeat each pattern search in every
+    # term of the rate; it is not pushed below a row number that it reads too.
+    rated = rated.withColumn("_mix_row", F.monotonically_increasing_id())
+    return rated.where((F.col("_mix_row") >= 0) & (chance < F.col("_mix_rate"))).select(*docs.columns)
 
 
 def op4_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
