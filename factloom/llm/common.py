@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.graph import scratch_dir
+
 #: Bytes of text that a task works on at once; a longer document is taken alone.
 CHUNK_BYTES = 1 << 20
 
@@ -20,15 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/") + "/factloom"
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later jobs neither
     recompute it nor depend on the executors that made it."""
