@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,8 +38,8 @@ UNKNOWN = 0.6
 DECAY = 0.9
 #: Rows of all trees up to which they are sent to every task; beyond it, pages are joined.
 BROADCAST_ROWS = 200_000
-#: Deepest nesting that is told apart; what is deeper belongs to the node there.
-MAX_DEPTH = 60
+#: Depth to which style paths grow; a deeper element's path is the one there and its own style.
+PATH_DEPTH = 60
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
@@ -104,8 +105,17 @@ def parsed(page: str | None) -> Node:
     items and table cells; an end tag without an open element is dropped."""
     root = Node("#root", "", None, UNKNOWN)
     text = page or ""
-    at, open_node, depth = 0, root, 0
+    at, open_node = 0, root
     position = 0
+    opened: Counter[str] = Counter()  # open elements by tag, so that no end tag is sought in vain
+
+    def closed(node: Node) -> Node:
+        last = open_node
+        while last is not node.parent:
+            opened[last.tag] -= 1
+            last = last.parent
+        return last
+
     while True:
         match = TOKEN.search(text, position)
         if match is None:
@@ -117,46 +127,41 @@ def parsed(page: str | None) -> Node:
         if not tag:
             continue
         if match[1]:
-            node = open_node
+            node = open_node if opened[tag] else root
             while node is not root and node.tag != tag:
                 if node.tag in ("td", "th") and tag not in ("tr", "tbody", "thead", "tfoot", "table"):
                     node = root
                     break
                 node = node.parent
             if node is not root:
-                while open_node is not node:
-                    open_node, depth = open_node.parent, depth - 1
-                open_node, depth = node.parent, depth - 1
+                open_node = closed(node)
             elif tag == "p":
                 open_node.children.append(Node("p", "p", open_node, open_node.prior))
             continue
-        if tag in BLOCKS:
+        if tag in BLOCKS and opened["p"]:
             # An open paragraph ends where a block begins.
             node = open_node
             while node is not root and node.tag != "p" and node.tag not in BLOCKS:
                 node = node.parent
             if node.tag == "p":
-                while open_node is not node:
-                    open_node, depth = open_node.parent, depth - 1
-                open_node, depth = node.parent, depth - 1
-        if tag in CLOSES:
+                open_node = closed(node)
+        if tag in CLOSES and any(opened[x] for x in CLOSES[tag]):
             node = open_node
             while node is not root and node.tag not in CLOSES[tag] and node.tag not in SCOPES:
                 node = node.parent
             if node.tag in CLOSES[tag]:
-                while open_node is not node:
-                    open_node, depth = open_node.parent, depth - 1
-                open_node, depth = node.parent, depth - 1
+                open_node = closed(node)
                 if tag == "tr" and open_node.tag == "tr":
-                    open_node, depth = open_node.parent, depth - 1
+                    open_node = closed(open_node)
         style, names, roles, hidden = _style(tag, match[3])
         node = Node(tag, style, open_node, _prior(tag, names, roles, hidden, open_node.prior, open_node.prior == 1.0))
         open_node.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}[^>]*>", re.I).search(text, position)
             position = at = end.end() if end else len(text)
-        elif tag not in VOID and not match[3].rstrip().endswith("/") and depth < MAX_DEPTH:
-            open_node, depth = node, depth + 1
+        elif tag not in VOID and not match[3].rstrip().endswith("/"):
+            open_node = node
+            opened[tag] += 1
     if at < len(text):
         rest = text[at:]
         open_node.children.append(rest)
@@ -190,13 +195,16 @@ def blocks(root: Node, kept=lambda path, node: True, main_only: bool = False) ->
                 out.append((path, text))
             pieces.clear()
 
-    def walk(node: Node, path: str, block: str) -> None:
-        for child in node.children:
+    # (element, children to come, path that its children's begin with, depth, block)
+    stack = [(root, iter(root.children), "", 0, "")]
+    while stack:
+        node, rest, base, depth, block = stack[-1]
+        for child in rest:
             if isinstance(child, str):
                 if not main_only or node.prior == 1.0:
                     pieces.append(child)
                 continue
-            inner = f"{path}/{child.style}"
+            inner = f"{base}/{child.style}"
             if child.tag == "br":
                 pieces.append(" ")
                 continue
@@ -206,25 +214,27 @@ def blocks(root: Node, kept=lambda path, node: True, main_only: bool = False) ->
                 continue
             if child.tag in BLOCKS:
                 flush(block)
-                walk(child, inner, inner)
-                flush(inner)
-            else:
-                walk(child, inner, block)
-
-    walk(root, "", "")
+            stack.append((child, iter(child.children), inner if depth < PATH_DEPTH else base, depth + 1, inner if child.tag in BLOCKS else block))
+            break
+        else:
+            stack.pop()
+            if node.tag in BLOCKS:
+                flush(block)
     flush("")
     return out
 
 
 def _shapes(root: Node) -> Iterator[tuple[str, str]]:
     """(style path, order of different child styles) of every element."""
-    stack = [(root, "")]
+    stack = [(root, "", "", 0)]
     while stack:
-        node, path = stack.pop()
+        node, path, base, depth = stack.pop()
         inside = [c for c in node.children if not isinstance(c, str)]
         if node.parent is not None:
             yield path, ">".join(dict.fromkeys(c.style for c in inside))
-        stack += [(c, f"{path}/{c.style}") for c in inside]
+        for c in inside:
+            inner = f"{base}/{c.style}"
+            stack.append((c, inner, inner if depth < PATH_DEPTH else base, depth + 1))
 
 
 def _hashed(text: str) -> int:

@@ -56,3 +56,15 @@ def test_odd_pages(spark):
     assert [got[i].text for i in range(7)] == ["", "", "no markup at all", "open never", "deep", "a", "a < b"]
     assert got[7].n_chars == len("long " * 40_000) - 1
     assert texts(spark, []) == {}
+
+
+def test_deep_nesting_loses_no_text(spark):
+    deep = "<div>" * 100
+    pages = [
+        f"<div id=page><main><h1>Head</h1>{deep}inside<nav>menu</nav><form>field</form>{'</div>' * 100}<p>after</p></main></div>",
+        f"<main>{'<div>' * 100_000}<p>one<aside>gone</aside><p>two{'</div></i>' * 100_000}<p>after</main>outside",
+    ]
+    got = texts(spark, [(f"http://h{i}.example/", p) for i, p in enumerate(pages)])
+    assert got[0].text == "Head\ninside\nafter"
+    assert got[1].text == "one\ntwo\nafter"
+    assert max(len(path) for path, _ in html._shapes(html.parsed(pages[1]))) < 70 * len("/main")
