@@ -8,10 +8,17 @@ are measured for each node over the host's pages:
 - content: one less the mean entropy of its text blocks over the pages, so that text
   which many pages repeat counts little, and text of one page alone counts fully.
 
-A node's composite importance mixes both with its children's, and is weighed against
-what its tag and names say of it (``PRIOR``), the more so the more pages were merged.
-A page loses every branch whose node lies below ``THRESHOLD``.  A host of few pages is
-thus judged mostly by tags and names, and one of many pages also by its statistics.
+A node's composite importance mixes both with its children's.  A text block is judged by
+its own content and its node's composite, weighed against what tags and names say of it
+(its prior), the more so the more pages were merged.  A page loses every block below
+``THRESHOLD``, and so every branch in which no block reaches it.  A host of few pages is
+thus judged by tags and names; from about ten pages on its statistics decide, and from
+about twenty inside an article; also for elements whose names only tell of layout.
+
+Some elements go whatever the statistics: those that hold no text to read (scripts, forms,
+navigation, hidden ones), and names of what differs from page to page by nature (comments,
+adverts, related links), for which a text of one page alone is no sign of main text.
+A page of which the statistics would leave nothing is judged by tags and names alone.
 """
 
 from __future__ import annotations
@@ -30,10 +37,14 @@ from factloom.llm.common import stored, table
 #: Composite importance below which a branch goes.
 THRESHOLD = 0.4
 #: The most that the host's statistics weigh, and the pages at which they weigh half of it.
-MOST_WEIGHT = 0.38
+MOST_WEIGHT = 0.9
 HALF_PAGES = 5
-#: Importance of what neither tag nor names tell, before any statistics.
+#: Importance of what neither tag nor names tell, before any statistics, and of what has a
+#: name of layout.
 UNKNOWN = 0.6
+NAMED = 0.1
+#: How much of a block's importance is its own text's; the rest is its node's composite.
+OWN = 0.75
 #: How much of a node's importance is its own; the rest is its children's.
 DECAY = 0.9
 #: Rows of all trees up to which they are sent to every task; beyond it, pages are joined.
@@ -52,7 +63,11 @@ SCOPES = frozenset("ul ol menu dl table select body html article div section mai
 #: Elements that never hold the main text, and names that say so of any element.
 NOISE_TAGS = frozenset("aside button canvas datalist dialog fieldset footer form head iframe input label menu nav noscript object optgroup option script search select style svg template textarea title".split())
 NOISE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot banner banners breadcrumb breadcrumbs comment comments commentlist comment-list consent cookie cookies copyright dialog disclaimer discussion disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay paging pagination pager popup privacy promo promoted promotion related recommended replies respond search share sharing sidebar sidebars signup site-header site-footer skip skip-link social sponsor sponsored subscribe subscription tags toc toolbar topbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot breadcrumb breadcrumbs comment comments commentlist comment-list discussion disqus form login paging pagination pager promo promoted promotion related recommended replies respond search share sharing sidebar sidebars signup skip skip-link sponsor sponsored tags toc".split()
+)
+#: Names of layout: noise as long as the host's pages do not show that the text is fresh.
+LAYOUT_NAMES = frozenset(
+    "banner banners consent cookie cookies copyright dialog disclaimer footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay popup privacy site-header site-footer social subscribe subscription toolbar topbar widget widgets".split()
 )
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
 MAIN_TAGS = frozenset({"article", "main"})
@@ -64,10 +79,11 @@ HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 class Node:
-    __slots__ = ("children", "noise", "parent", "prior", "style", "tag")
+    __slots__ = ("children", "main", "parent", "prior", "style", "tag")
 
     def __init__(self, tag: str, style: str, parent, prior: float):
         self.tag, self.style, self.parent, self.prior = tag, style, parent, prior
+        self.main = prior == 1.0 or (prior > 0.0 and parent is not None and parent.main)
         self.children: list = []  # nodes, and strings of text
 
 
@@ -85,7 +101,7 @@ def _style(tag: str, attributes: str) -> tuple[str, set[str], set[str], bool]:
 
 
 def _prior(tag: str, names: set[str], roles: set[str], hidden: bool, parent: float, in_main: bool) -> float:
-    """What the tag and names say: 0 noise, 1 main text, between them unknown."""
+    """What the tag and names say: 0 noise, NAMED layout, 1 main text, else unknown."""
     if parent == 0.0 or hidden or tag in NOISE_TAGS or roles & NOISE_ROLES:
         return 0.0
     if tag == "header" and not in_main:
@@ -95,6 +111,8 @@ def _prior(tag: str, names: set[str], roles: set[str], hidden: bool, parent: flo
         return 0.0
     if tag in MAIN_TAGS and parts & {"comment", "comments", "related", "promo", "sponsored", "ad"}:
         return 0.0
+    if parent == NAMED or (tag not in MAIN_TAGS and parts & LAYOUT_NAMES and not (in_main and tag == "header")):
+        return NAMED
     if tag in MAIN_TAGS or roles & MAIN_ROLES or parent == 1.0:
         return 1.0
     return UNKNOWN
@@ -154,7 +172,7 @@ def parsed(page: str | None) -> Node:
                 if tag == "tr" and open_node.tag == "tr":
                     open_node = closed(open_node)
         style, names, roles, hidden = _style(tag, match[3])
-        node = Node(tag, style, open_node, _prior(tag, names, roles, hidden, open_node.prior, open_node.prior == 1.0))
+        node = Node(tag, style, open_node, _prior(tag, names, roles, hidden, open_node.prior, open_node.main))
         open_node.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}[^>]*>", re.I).search(text, position)
@@ -176,51 +194,64 @@ def _has_main(root: Node) -> bool:
     stack = [root]
     while stack:
         node = stack.pop()
-        if node.prior == 1.0:
+        if node.main:
+            return True
+        stack += [c for c in node.children if not isinstance(c, str)]
+    return False
+
+
+def _holds_block(node: Node) -> bool:
+    """Whether it is or holds a block; text in line has no statistics of its own."""
+    stack = [node]
+    while stack:
+        node = stack.pop()
+        if node.tag in BLOCKS:
             return True
         stack += [c for c in node.children if not isinstance(c, str)]
     return False
 
 
-def blocks(root: Node, kept=lambda path, node: True, main_only: bool = False) -> list[tuple[str, str]]:
-    """(style path, text) of each block in page order, without branches not kept and, with
-    main_only, without text outside the elements marked as main."""
+def blocks(root: Node, kept=lambda path, node: True, main_only: bool = False, noise: bool = True) -> list[tuple[str, str]]:
+    """(style path, text) of each block in page order, without blocks not kept, without
+    branches that are noise by tag or name unless ``noise``, and, with main_only, without
+    text outside the elements marked as main."""
     out: list[tuple[str, str]] = []
     pieces: list[str] = []
 
-    def flush(path: str) -> None:
+    def flush(path: str, node: Node) -> None:
         if pieces:
             text = _clean(pieces)
-            if text:
+            if text and kept(path, node):
                 out.append((path, text))
             pieces.clear()
 
-    # (element, children to come, path that its children's begin with, depth, block)
-    stack = [(root, iter(root.children), "", 0, "")]
+    # (element, children to come, path that its children's begin with, depth, block, its element)
+    stack = [(root, iter(root.children), "", 0, "", root)]
     while stack:
-        node, rest, base, depth, block = stack[-1]
+        node, rest, base, depth, block, holder = stack[-1]
         for child in rest:
             if isinstance(child, str):
-                if not main_only or node.prior == 1.0:
+                if not main_only or node.main:
                     pieces.append(child)
                 continue
             inner = f"{base}/{child.style}"
             if child.tag == "br":
                 pieces.append(" ")
                 continue
-            if not kept(inner, child):
+            if not noise and (child.prior == 0.0 or (child.prior == NAMED != node.prior and not _holds_block(child))):
                 if child.tag in BLOCKS:
-                    flush(block)
+                    flush(block, holder)
                 continue
-            if child.tag in BLOCKS:
-                flush(block)
-            stack.append((child, iter(child.children), inner if depth < PATH_DEPTH else base, depth + 1, inner if child.tag in BLOCKS else block))
+            opens = child.tag in BLOCKS
+            if opens:
+                flush(block, holder)
+            stack.append((child, iter(child.children), inner if depth < PATH_DEPTH else base, depth + 1, inner if opens else block, child if opens else holder))
             break
         else:
             stack.pop()
             if node.tag in BLOCKS:
-                flush(block)
-    flush("")
+                flush(block, holder)
+    flush("", root)
     return out
 
 
@@ -287,6 +318,7 @@ class Importance:
 
     def __init__(self, rows: list[tuple[str, int, float, float | None]]):
         self.value: dict[str, tuple[int, float]] = {}
+        self.text: dict[str, float] = {p: content for p, _, _, content in rows if content is not None}
         own: dict[str, tuple[int, float, float | None]] = {p: (n, a, b) for p, n, a, b in rows}
         below: dict[str, list[str]] = {}
         for path in own:
@@ -307,17 +339,24 @@ class Importance:
             self.value[path] = (n, max(mean, (1 - mix) * presentation + mix * mean) if inner else mean)
 
     def keeps(self, path: str, node: Node, threshold: float = THRESHOLD) -> bool:
-        n, value = self.value.get(path, (0, 1.0))
-        weight = MOST_WEIGHT * n / (n + HALF_PAGES)
+        """Whether a block of text at the path stays."""
+        n, composite = self.value.get(path, (0, 1.0))
+        value = OWN * self.text.get(path, composite) + (1 - OWN) * composite
+        weight = MOST_WEIGHT * n * n / (n * n + HALF_PAGES * HALF_PAGES)
         return (1 - weight) * node.prior + weight * value >= threshold
 
 
 def main_text(page: str | None, importance: Importance) -> str:
     """The kept blocks inside what the page marks as main, if that has any text; of a page
-    without such marks, all kept blocks."""
+    without such marks, all kept blocks.  Where the statistics would keep none, tags and
+    names decide."""
     root = parsed(page)
-    found = blocks(root, importance.keeps, True) if _has_main(root) else []
-    return "\n".join(text for _, text in found or blocks(root, importance.keeps))
+    for main_only in (True, False) if _has_main(root) else (False,):
+        for keeps in (importance.keeps, Importance([]).keeps):
+            found = blocks(root, keeps, main_only, False)
+            if found:
+                return "\n".join(text for _, text in found)
+    return ""
 
 
 def _extracting(importance_of):

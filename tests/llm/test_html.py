@@ -68,3 +68,24 @@ def test_deep_nesting_loses_no_text(spark):
     assert got[0].text == "Head\ninside\nafter"
     assert got[1].text == "one\ntwo\nafter"
     assert max(len(path) for path, _ in html._shapes(html.parsed(pages[1]))) < 70 * len("/main")
+
+
+@pytest.mark.parametrize(("n", "around"), [(10, "<div class='kk'>{}</div>"), (40, "<div class='kk'>{}</div>"), (20, "<article>{}</article>"), (40, "<article>{}</article>")])
+def test_rotating_boilerplate_goes(spark, n, around):
+    page = lambda i: "<body>" + around.format(f"<div class='zq'>Offer {'AB'[i % 2]} of the day</div><h1>Head {i}</h1><p>Fresh {i}.</p><div class='xv'>Call us</div>") + "</body>"
+    got = texts(spark, [(f"http://a.example/{i}", page(i)) for i in range(n)])
+    assert [got[i].text for i in range(n)] == [f"Head {i}\nFresh {i}." for i in range(n)]
+
+
+def test_fresh_text_under_names_of_layout_stays(spark):
+    page = lambda i: f"<body><div class='modal-widget'><h1>Head {i}</h1><p>Fresh {i}.</p></div><div class='banner'>Buy now</div><div class='comments'><p>I think {i}</p></div></body>"
+    got = texts(spark, [(f"http://a.example/{i}", page(i)) for i in range(20)])
+    assert [got[i].text for i in range(20)] == [f"Head {i}\nFresh {i}." for i in range(20)]
+
+
+def test_statistics_never_empty_a_page(spark):
+    one = "<body><article><h1>Head</h1><p>The only text.</p></article><div>foot</div></body>"
+    own = lambda i: f"<body>Own text {i}<div class='a'>top</div><div class='b'>mid</div><div class='c'>end</div></body>"
+    got = texts(spark, [("http://a.example/", one)] * 30 + [(f"http://b.example/{i}", own(i)) for i in range(30)])
+    assert all(got[i].text == "Head\nThe only text." for i in range(30))
+    assert all(got[30 + i].text == f"Own text {i}" for i in range(30))
