@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import pytest
@@ -218,3 +219,19 @@ def test_streams(spark, tmp_path):
 
     assert tuples(run(queue.deduplicated_stream(stream(), ["repo", "key"], "at"), "dedupe", "append"), "repo", "key") == [("a", "k1"), ("a", "k3"), ("b", "k2")]
     assert tuples(run(queue.notices_stream(stream(), "repo", "at"), "notices", "complete"), "repo", "jobs") == [("a", 3), ("b", 1)]
+
+
+def test_greedy_fit_equals_a_fold_and_holds_no_group(spark):
+    r = random.Random(3)
+    rows = [(g, i, r.choice([0, 1, 2, r.randrange(900), None])) for g in ("a", "b", None) for i in range(400)] + [("c", i, 500 - i // 2 if i % 2 else 1) for i in range(300)] + [("d", 1, 5000), ("e", 1, 1000), ("e", 2, 0)]
+    r.shuffle(rows)
+    want = {}
+    for g, _, n in sorted(rows, key=lambda x: (str(x[0]), x[1])):
+        taken, spent = want.get(g, (0, 0))
+        want[g] = (taken + 1, spent + n) if n is not None and spent + n <= 1000 else (taken, spent)
+    got = budgets.greedy_fit(spark.createDataFrame(rows, "g string, i int, n long"), "g", "i", "n", 1000)
+    assert {x.g: (x.taken, x.spent) for x in got.collect()} == want
+    assert "collect_list" not in inspect.getsource(budgets.greedy_fit)
+    with pytest.raises(Exception, match="negative"):
+        budgets.greedy_fit(spark.createDataFrame([("a", 1, -1)], "g string, i int, n long"), "g", "i", "n", 9).collect()
+    assert budgets.greedy_fit(spark.createDataFrame([], "g string, i int, n long"), "g", "i", "n", 9).count() == 0
