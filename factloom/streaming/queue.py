@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.budgets import placed
+from factloom.operators.graph import stored
+
 
 def deduplicated_stream(jobs: DataFrame, key: list[str], at: str, window: str = "10 minutes") -> DataFrame:
     """Jobs of a stream whose key was not seen within the window."""
@@ -37,10 +40,28 @@ def rate_limited(events: DataFrame, key: str, seconds: str, gap: int) -> DataFra
     """key and seconds of the events that may notify: the first of a key, and each that
     comes ``gap`` seconds or more after the last that did.
 
-    Who notifies depends on all before, so a key's different seconds are one fold.
+    Each second knows the next that may notify after it; joining that table with itself
+    doubles its step, so all that notify are reached in as many rounds as the longest chain
+    has binary digits.  Keys of joins are a key with a second, and the next second is found
+    in two levels (ranges, then within a range), so no task holds a key.
     """
-    different = events.select(key, seconds).distinct()
-    none = F.array().cast("array<bigint>")
-    ordered = F.array_sort(F.collect_list(F.col(seconds).cast("bigint")))
-    fold = F.aggregate(ordered, none, lambda done, s: F.when((F.size(done) == 0) | (s - F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) >= gap), F.concat(done, F.array(s))).otherwise(done))
-    return different.groupBy(key).agg(fold.alias("_all")).select(key, F.explode("_all").alias(seconds))
+    held = F.struct(F.col(key).alias("k"))  # a null key is a key too
+    different = stored(events.select(held.alias("_k"), F.col(seconds).cast("bigint").alias("_s")).where("_s is not null").distinct())
+    # Seconds, and for each the first time that may follow it; before a second of its time.
+    asked = different.select("_k", (F.col("_s") + max(gap, 1)).alias("_time"), F.lit(0).alias("_kind"), "_s")
+    known = different.select("_k", F.col("_s").alias("_time"), F.lit(1).alias("_kind"), "_s")
+    at = placed(asked.unionAll(known), "_k", "_time", "_kind", "_s")
+    own = F.when(F.col("_kind") == 1, F.col("_s"))
+    ahead = Window.partitionBy("_k").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    beyond = at.groupBy("_k", "_b").agg(F.min(own).alias("_m")).select("_k", "_b", F.min("_m").over(ahead).alias("_beyond"))
+    below = Window.partitionBy("_k", "_b").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
+    within = at.withColumn("_within", F.min(own).over(below)).where("_kind = 0")
+    jump = stored(within.join(beyond, ["_k", "_b"]).select("_k", "_s", F.coalesce("_within", "_beyond").alias("_n")).where("_n is not null"))
+    found = stored(different.groupBy("_k").agg(F.min("_s").alias("_s")))
+    while not jump.isEmpty():
+        found = stored(found.unionAll(found.join(jump, ["_k", "_s"]).select("_k", F.col("_n").alias("_s"))))
+        # Only what is found, or follows something, can be stepped from again.
+        wanted = found.unionAll(jump.select("_k", F.col("_n").alias("_s"))).distinct()
+        jump = stored(jump.join(wanted, ["_k", "_s"], "left_semi"))
+        jump = stored(jump.join(jump.select("_k", F.col("_s").alias("_n"), F.col("_n").alias("_m")), ["_k", "_n"]).select("_k", "_s", F.col("_m").alias("_n")))
+    return found.select(F.col("_k.k").alias(key), F.col("_s").alias(seconds))

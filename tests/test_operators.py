@@ -235,3 +235,17 @@ def test_greedy_fit_equals_a_fold_and_holds_no_group(spark):
     with pytest.raises(Exception, match="negative"):
         budgets.greedy_fit(spark.createDataFrame([("a", 1, -1)], "g string, i int, n long"), "g", "i", "n", 9).collect()
     assert budgets.greedy_fit(spark.createDataFrame([], "g string, i int, n long"), "g", "i", "n", 9).count() == 0
+
+
+@pytest.mark.parametrize("gap", [0, 1, 7, 60])
+def test_rate_limits_equal_a_fold_and_hold_no_key(spark, gap):
+    r = random.Random(gap)
+    rows = [("hot", r.randrange(-500, 3000)) for _ in range(3000)] + [(None, r.randrange(100)) for _ in range(40)] + [(f"k{i}", r.randrange(90)) for i in range(30)] + [("none", None)]
+    want, last = set(), {}
+    for k, s in sorted({x for x in rows if x[1] is not None}, key=lambda x: (str(x[0]), x[1])):
+        if k not in last or s - last[k] >= gap:
+            want.add((k, s))
+            last[k] = s
+    got = tuples(queue.rate_limited(spark.createDataFrame(rows, "repo string, s long"), "repo", "s", gap))
+    assert len(got) == len(want) and set(got) == want
+    assert "collect_list" not in inspect.getsource(queue.rate_limited)
