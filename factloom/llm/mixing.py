@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,10 +94,16 @@ def binned(docs: DataFrame, marks: list[str]) -> DataFrame:
     In steps, so that each count is made once and used by name: what a pattern finds in a
     whole text costs far more than all that is reckoned from it.
     """
+    columns = docs.columns
     text = F.coalesce("text", F.lit(""))
     found = F.lit(0)
-    for word in marks:
-        found = found + F.contains(text, F.lit(word)).cast("int")
+    if marks:
+        # Most texts hold no mark even as a part of a word, and are not searched for words.
+        lower = F.col("_mix_lower")
+        held = reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w)) for w in marks])
+        whole = F.regexp_extract_all(lower, F.lit(rf"(?<!\p{{L}})(?:{'|'.join(marks)})(?!\p{{L}})"), F.lit(0))
+        found = F.when(held, F.size(F.array_distinct(whole))).otherwise(0)
+        docs = docs.withColumn("_mix_lower", F.lower(text))
     counts = {
         "_mix_tokens": tokens_of(F.col("text")),
         "_mix_chars": F.length(text),
@@ -116,7 +123,7 @@ def binned(docs: DataFrame, marks: list[str]) -> DataFrame:
     }
     reckoned = docs.withColumns(counts).withColumns({f"_mix_m_{k}": measures[k] for k in BINS})
     bins = F.array(*[_bin(F.col(f"_mix_m_{k}"), borders) for k, borders in BINS.items()])
-    return reckoned.select(*docs.columns, "_mix_tokens", bins.alias("_mix_bins"))
+    return reckoned.select(*columns, "_mix_tokens", bins.alias("_mix_bins"))
 
 
 @dataclass

@@ -97,3 +97,20 @@ def test_odd_tables(spark, documents, odd_texts):
     assert all(r.rate >= 0 for r in mixing.mixed(documents(odd_texts), odd).collect())
     assert mixing.mixed(documents([]), odd).count() == 0
     assert mixing.resampled(documents([]), odd).count() == 0
+
+
+def test_marks_are_whole_words_in_any_case(spark, documents):
+    texts = ["a Badword here", "YOU BADWORD!", "badword, badword: Badword", "a badwordish abadword étébadword", "vile-BADWORD_vile", "Éclat éclats", "ÉCLAT 1badword2", "", None]
+    bins = mixing.binned(documents(texts), ["badword", "vile", "éclat"])
+    at = list(mixing.BINS).index("marks")
+    assert bins.columns == [*documents([]).columns, "_mix_tokens", "_mix_bins"]
+    got = {r.doc_id: r._mix_bins[at] for r in bins.collect()}
+    assert [got[i] for i in range(len(texts))] == [1, 1, 1, 0, 2, 1, 2, 0, 0]
+
+
+def test_toxic_documents_in_capitals(spark, documents):
+    texts, labels = corpus(400, 5)
+    loud = [t.replace("vileword", "VILEWORD") if i % 2 == 0 else t for i, t in enumerate(texts)]
+    rows = mixing.mixed(documents(loud), spark.createDataFrame([x for x in labels if x[0] % 2], LABELS)).collect()
+    toxic = {i for i, _, t in labels if t}
+    assert all((r.p_toxic > 0.5) == (r.doc_id in toxic) for r in rows if r.doc_id % 2 == 0)
