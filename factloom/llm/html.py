@@ -1,24 +1,30 @@
 """Operator 7: HTML extraction by a site style tree.
 
-Every page is parsed to its elements.  The pages of one host are merged into one tree
-whose nodes are style paths (tags with their classes, ids and roles).  Two importances
-are measured for each node over the host's pages:
-
-- presentation: the entropy of the orders of child styles it is seen with;
-- content: one less the mean entropy of its text blocks over the pages, so that text
-  which many pages repeat counts little, and text of one page alone counts fully.
-
-A node's composite importance mixes both with its children's.  A text block is judged by
-its own content and its node's composite, weighed against what tags and names say of it
-(its prior), the more so the more pages were merged.  A page loses every block below
-``THRESHOLD``, and so every branch in which no block reaches it.  A host of few pages is
-thus judged by tags and names; from about ten pages on its statistics decide, and from
-about twenty inside an article; also for elements whose names only tell of layout.
-
-Some elements go whatever the statistics: those that hold no text to read (scripts, forms,
-navigation, hidden ones), and names of what differs from page to page by nature (comments,
-adverts, related links), for which a text of one page alone is no sign of main text.
-A page of which the statistics would leave nothing is judged by tags and names alone.
+1. Every page is parsed once, to its blocks of text and the layout of its elements, which
+   are stored (``outlined``).  An element's style path is its tags with their classes, ids
+   and roles, from the root down.
+2. The pages of one host are merged into one tree of style paths (``trees``), with two
+   importances for each node, both from entropies over the host's pages:
+
+   - presentation: the entropy of the orders in which it holds other blocks; what a
+     template fixes has 0, however fresh the text in it;
+   - content: one less the mean entropy of its texts, so a text that every page repeats
+     counts nothing, and a text of one page alone counts fully.
+
+   A node's composite importance is its content's, times a quarter and three quarters of
+   the greatest presentation importance from the root down to it.
+3. Each host sets its own scale (``ruled``): a node counts relative to the composite of
+   the host's typical important text, and a node seen on few pages also by what the trees
+   of other hosts say of its path.  This is weighed against a weak prior of its tags, the
+   more so the more pages there are, and blocks below ``THRESHOLD`` leave the page, and
+   with them every branch in which no block stays.
+
+Tags alone keep every block (``extracted(pages, statistics=False)`` shows that), so on a
+host of two pages or more the tree decides.  A host of one page has no tree; there, and on
+pages of which the tree would leave nothing, tags and names decide, inside what the page
+marks as main if that has text.  Some elements go always: those that hold no text to read
+(scripts, styles, form fields, hidden ones), and those that name themselves adverts or
+readers' comments, whose text is as fresh as an article's.
 """
 
 from __future__ import annotations
@@ -29,28 +35,26 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import stored, table
 
-#: Composite importance below which a branch goes.
-THRESHOLD = 0.4
-#: The most that the host's statistics weigh, and the pages at which they weigh half of it.
+#: Importance below which a block goes.
+THRESHOLD = 0.5
+#: The most that statistics weigh, and the pages at which they weigh half of it.
 MOST_WEIGHT = 0.9
-HALF_PAGES = 5
-#: Importance of what neither tag nor names tell, before any statistics, and of what has a
-#: name of layout.
-UNKNOWN = 0.6
-NAMED = 0.1
-#: How much of a block's importance is its own text's; the rest is its node's composite.
-OWN = 0.75
-#: How much of a node's importance is its own; the rest is its children's.
-DECAY = 0.9
-#: Rows of all trees up to which they are sent to every task; beyond it, pages are joined.
-BROADCAST_ROWS = 200_000
+HALF_PAGES = 3
+#: Importance by tags, before any statistics.
+NOISE, UNKNOWN, MAIN = 0.5, 0.6, 0.75
+#: How much of a text's importance rests on the freedom of the layout around it.
+LAYOUT = 0.75
+#: Pages that the trees of other hosts count as, at most.
+ELSEWHERE = 8
 #: Depth to which style paths grow; a deeper element's path is the one there and its own style.
 PATH_DEPTH = 60
+#: Copies of a tree's rows that pages are joined to, so that no path of a large host is one key.
+SALTS = 16
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
@@ -60,68 +64,96 @@ BLOCKS = frozenset(
 #: An opening tag on the left closes an open one on the right (within its list or table).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol menu dl table select body html article div section main".split())
-#: Elements that never hold the main text, and names that say so of any element.
-NOISE_TAGS = frozenset("aside button canvas datalist dialog fieldset footer form head iframe input label menu nav noscript object optgroup option script search select style svg template textarea title".split())
-NOISE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot breadcrumb breadcrumbs comment comments commentlist comment-list discussion disqus form login paging pagination pager promo promoted promotion related recommended replies respond search share sharing sidebar sidebars signup skip skip-link sponsor sponsored tags toc".split()
-)
-#: Names of layout: noise as long as the host's pages do not show that the text is fresh.
+#: Items of lists and tables: however many follow each other, they are one in a layout.
+ITEMS = frozenset("li dt dd tr td th".split())
+#: Elements without text to read, and elements that seldom hold the main text.
+NEVER = frozenset("button canvas datalist head iframe input label noscript object optgroup option script select style svg template textarea title".split())
+NOISE_TAGS = frozenset("aside dialog fieldset footer form header menu nav search".split())
+NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
+MAIN_TAGS = MAIN_ROLES = frozenset({"article", "main"})
+#: Names of what advertisers and readers wrote.
+OTHERS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense adslot comment comments commentlist disqus promo promoted promotion replies reply respond sponsor sponsored".split())
+#: Names of layout, heeded where a host has no tree.
 LAYOUT_NAMES = frozenset(
-    "banner banners consent cookie cookies copyright dialog disclaimer footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay popup privacy site-header site-footer social subscribe subscription toolbar topbar widget widgets".split()
+    "banner banners breadcrumb breadcrumbs consent cookie cookies copyright dialog disclaimer footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paging popup privacy recommended related search share sharing sidebar sidebars signup skip social subscribe subscription tags toc toolbar topbar".split()
 )
-NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
-MAIN_TAGS = frozenset({"article", "main"})
-MAIN_ROLES = frozenset({"article", "main"})
+#: Parts of names that tell nothing; a name counts if all its other parts are in a list.
+PLAIN = frozenset("area bar block body bottom box container content form group inner item items left link links list main outer page pane panel posts reader right row section site slot static stories top unit user view widget widgets wrap wrapper zone".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 class Node:
-    __slots__ = ("children", "main", "parent", "prior", "style", "tag")
+    """An element.  ``gone``: its text is never read; ``noise``: its tag or role, or one
+    above, seldom holds main text; ``named``: a name says so; ``main``: it is within what
+    the page marks as main.  ``id`` is a hash of its style path."""
 
-    def __init__(self, tag: str, style: str, parent, prior: float):
-        self.tag, self.style, self.parent, self.prior = tag, style, parent, prior
-        self.main = prior == 1.0 or (prior > 0.0 and parent is not None and parent.main)
+    __slots__ = ("anchor", "children", "depth", "gone", "id", "main", "named", "noise", "parent", "style", "tag")
+
+    def __init__(self, tag: str, style: str, parent, gone=False, noise=False, named=False, main=False):
+        self.tag, self.style, self.parent = tag, style, parent
+        self.gone, self.noise, self.named, self.main = gone, noise, named, main
         self.children: list = []  # nodes, and strings of text
+        self.depth = 0 if parent is None else parent.depth + 1
+        self.id = 0 if parent is None else _hashed(f"{parent.anchor.id}/{style}")
+        #: The element whose path those of its children go on from.
+        self.anchor = self if self.depth <= PATH_DEPTH else parent.anchor
+
+    def path(self) -> list[int]:
+        """Ids from this element up to the root."""
+        out, node = [self.id], self.anchor if self.anchor is not self else self.parent
+        while node is not None:
+            out.append(node.id)
+            node = node.parent
+        return out
+
+
+def _hashed(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
+def _named(names: list[str], known: frozenset) -> bool:
+    """Whether a name is one of the known, beside parts that tell nothing."""
+    for name in names:
+        parts = {p for p in re.split(r"[-_\d]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if p}
+        if parts & known and parts <= known | PLAIN:
+            return True
+    return False
 
 
-def _style(tag: str, attributes: str) -> tuple[str, set[str], set[str], bool]:
-    """(style, names, roles, hidden): digits in names do not tell styles apart."""
-    names, roles = [], set()
+def _element(tag: str, attributes: str, parent: Node) -> Node:
+    """Digits in names do not tell styles apart."""
+    names, roles, unseen = [], set(), False
     for key, *values in ATTRIBUTE.findall(attributes):
-        words = "".join(values).lower().split()
-        if key.lower() == "role":
-            roles.update(words)
-        else:
-            names += words
-    style = tag + "".join("." + re.sub(r"\d+", "0", x) for x in sorted({*names})[:6]) + "".join("@" + x for x in sorted(roles))
-    return style[:120], {*names}, roles, bool(HIDDEN.search(attributes))
-
-
-def _prior(tag: str, names: set[str], roles: set[str], hidden: bool, parent: float, in_main: bool) -> float:
-    """What the tag and names say: 0 noise, NAMED layout, 1 main text, else unknown."""
-    if parent == 0.0 or hidden or tag in NOISE_TAGS or roles & NOISE_ROLES:
-        return 0.0
-    if tag == "header" and not in_main:
-        return 0.0
-    parts = names | {p for n in names for p in re.split(r"[-_]+", n)} if tag not in ("html", "body", "main") else set()
-    if tag not in MAIN_TAGS and parts & NOISE_NAMES and not (in_main and tag == "header"):
-        return 0.0
-    if tag in MAIN_TAGS and parts & {"comment", "comments", "related", "promo", "sponsored", "ad"}:
-        return 0.0
-    if parent == NAMED or (tag not in MAIN_TAGS and parts & LAYOUT_NAMES and not (in_main and tag == "header")):
-        return NAMED
-    if tag in MAIN_TAGS or roles & MAIN_ROLES or parent == 1.0:
-        return 1.0
-    return UNKNOWN
+        key, value = key.lower(), "".join(values)
+        if key in ("class", "id"):
+            names += value.split()
+        elif key == "role":
+            roles.update(value.lower().split())
+        elif key == "hidden":
+            unseen = True
+        elif key == "aria-hidden":
+            unseen = unseen or value.lower() == "true"
+        elif key == "style":
+            unseen = unseen or bool(UNSEEN.search(value))
+    style = tag + "".join("." + x for x in sorted({re.sub(r"\d+", "0", n.lower()) for n in names})) + "".join("@" + x for x in sorted(roles))
+    of_page = tag in ("html", "body", "main")
+    gone = parent.gone or unseen or tag in NEVER or (not of_page and _named(names, OTHERS))
+    noise = parent.noise or bool(roles & NOISE_ROLES) or (tag in NOISE_TAGS and not (tag == "header" and parent.main))
+    main = parent.main or tag in MAIN_TAGS or bool(roles & MAIN_ROLES)
+    layout = LAYOUT_NAMES - {"header", "masthead"} if parent.main else LAYOUT_NAMES
+    named = parent.named or (not of_page and tag != "article" and _named(names, layout))
+    return Node(tag, style, parent, gone, noise, named, main)
 
 
 def parsed(page: str | None) -> Node:
     """The page's tree.  Missing end tags are implied as browsers do for paragraphs, list
     items and table cells; an end tag without an open element is dropped."""
-    root = Node("#root", "", None, UNKNOWN)
+    root = Node("#root", "", None)
     text = page or ""
     at, open_node = 0, root
     position = 0
@@ -154,7 +186,7 @@ def parsed(page: str | None) -> Node:
             if node is not root:
                 open_node = closed(node)
             elif tag == "p":
-                open_node.children.append(Node("p", "p", open_node, open_node.prior))
+                open_node.children.append(_element("p", "", open_node))
             continue
         if tag in BLOCKS and opened["p"]:
             # An open paragraph ends where a block begins.
@@ -171,8 +203,7 @@ def parsed(page: str | None) -> Node:
                 open_node = closed(node)
                 if tag == "tr" and open_node.tag == "tr":
                     open_node = closed(open_node)
-        style, names, roles, hidden = _style(tag, match[3])
-        node = Node(tag, style, open_node, _prior(tag, names, roles, hidden, open_node.prior, open_node.main))
+        node = _element(tag, match[3], open_node)
         open_node.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}[^>]*>", re.I).search(text, position)
@@ -181,97 +212,65 @@ def parsed(page: str | None) -> Node:
             open_node = node
             opened[tag] += 1
     if at < len(text):
-        rest = text[at:]
-        open_node.children.append(rest)
+        open_node.children.append(text[at:])
     return root
 
 
-def _clean(pieces: list[str]) -> str:
-    return " ".join(entities.unescape("".join(pieces)).split())
-
-
-def _has_main(root: Node) -> bool:
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        if node.main:
-            return True
-        stack += [c for c in node.children if not isinstance(c, str)]
-    return False
-
-
-def _holds_block(node: Node) -> bool:
-    """Whether it is or holds a block; text in line has no statistics of its own."""
-    stack = [node]
-    while stack:
-        node = stack.pop()
-        if node.tag in BLOCKS:
-            return True
-        stack += [c for c in node.children if not isinstance(c, str)]
-    return False
-
-
-def blocks(root: Node, kept=lambda path, node: True, main_only: bool = False, noise: bool = True) -> list[tuple[str, str]]:
-    """(style path, text) of each block in page order, without blocks not kept, without
-    branches that are noise by tag or name unless ``noise``, and, with main_only, without
-    text outside the elements marked as main."""
-    out: list[tuple[str, str]] = []
+def blocks(root: Node) -> list[tuple[Node, str]]:
+    """(element, text) of each block in page order, without elements that are gone."""
+    out: list[tuple[Node, str]] = []
     pieces: list[str] = []
 
-    def flush(path: str, node: Node) -> None:
+    def flush(holder: Node) -> None:
         if pieces:
-            text = _clean(pieces)
-            if text and kept(path, node):
-                out.append((path, text))
+            text = " ".join(entities.unescape("".join(pieces)).split())
+            if text:
+                out.append((holder, text))
             pieces.clear()
 
-    # (element, children to come, path that its children's begin with, depth, block, its element)
-    stack = [(root, iter(root.children), "", 0, "", root)]
+    stack = [(root, iter(root.children), root)]  # element, children to come, the block that holds its text
     while stack:
-        node, rest, base, depth, block, holder = stack[-1]
+        node, rest, holder = stack[-1]
         for child in rest:
             if isinstance(child, str):
-                if not main_only or node.main:
-                    pieces.append(child)
-                continue
-            inner = f"{base}/{child.style}"
-            if child.tag == "br":
+                pieces.append(child)
+            elif child.tag == "br":
                 pieces.append(" ")
-                continue
-            if not noise and (child.prior == 0.0 or (child.prior == NAMED != node.prior and not _holds_block(child))):
-                if child.tag in BLOCKS:
-                    flush(block, holder)
-                continue
-            opens = child.tag in BLOCKS
-            if opens:
-                flush(block, holder)
-            stack.append((child, iter(child.children), inner if depth < PATH_DEPTH else base, depth + 1, inner if opens else block, child if opens else holder))
-            break
+            elif child.tag in BLOCKS:
+                flush(holder)
+                if not child.gone:
+                    stack.append((child, iter(child.children), child))
+                    break
+            elif not child.gone:
+                stack.append((child, iter(child.children), holder))
+                break
         else:
             stack.pop()
             if node.tag in BLOCKS:
-                flush(block, holder)
-    flush("", root)
+                flush(holder)
+    flush(root)
     return out
 
 
-def _shapes(root: Node) -> Iterator[tuple[str, str]]:
-    """(style path, order of different child styles) of every element."""
-    stack = [(root, "", "", 0)]
+def layouts(root: Node) -> Iterator[tuple[Node, str]]:
+    """(element, styles of the blocks in it, in order) of the root and every block."""
+    stack = [root]
     while stack:
-        node, path, base, depth = stack.pop()
-        inside = [c for c in node.children if not isinstance(c, str)]
-        if node.parent is not None:
-            yield path, ">".join(dict.fromkeys(c.style for c in inside))
-        for c in inside:
-            inner = f"{base}/{c.style}"
-            stack.append((c, inner, inner if depth < PATH_DEPTH else base, depth + 1))
+        node = stack.pop()
+        if node is root or node.tag in BLOCKS:
+            styles: list[str] = []
+            for c in node.children:
+                if not isinstance(c, str) and c.tag in BLOCKS and not c.gone and not (c.tag in ITEMS and styles and styles[-1] == c.style):
+                    styles.append(c.style)
+            yield node, ">".join(styles)
+        stack += [c for c in node.children if not isinstance(c, str) and not c.gone]
 
 
-def _hashed(text: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+#: Bits of a block's kind.
+IS_NOISE, IS_NAMED, IS_MAIN = 1, 2, 4
+_BLOCK = pa.struct([("at", pa.int32()), ("id", pa.int64()), ("kind", pa.int32()), ("first", pa.bool_()), ("text", pa.string())])
+_SHAPE = pa.struct([("id", pa.int64()), ("shape", pa.int64())])
+OUTLINE = "blocks array<struct<at: int, id: long, kind: int, first: boolean, text: string>>, paths array<struct<id: long, up: array<long>>>, shapes array<struct<id: long, shape: long>>"
 
 
 def host_of(url):
@@ -279,128 +278,115 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
 
 
-def trees(pages: DataFrame) -> DataFrame:
-    """host, path, pages, presentation, content: the merged tree of every host.
-
-    A page sends each of its styles once, and each block's hash once for a style; counts
-    are pre-aggregated, so a host with a third of all pages costs its styles, not pages.
-    """
+def outlined(pages: DataFrame) -> DataFrame:
+    """row (a number of its own), page_id, url, host, blocks (in page order: the place of
+    its path in ``paths``, its path, kind, whether its path and text are met first on the
+    page, text), paths (different ones of blocks, with all above) and shapes (different
+    pairs of path and layout).  Written once, so row numbers stay."""
+    source = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", host_of(F.col("url")).alias("host"), "html")
+
+    def outline(page: str | None) -> tuple[list, list, list]:
+        root = parsed(page)
+        place: dict[int, int] = {}
+        seen, found, paths = set(), [], []
+        for node, text in blocks(root):
+            if node.id not in place:
+                place[node.id] = len(paths)
+                paths.append({"id": node.id, "up": node.path()})
+            key = (node.id, text)
+            found.append({"at": place[node.id], "id": node.id, "kind": IS_NOISE * node.noise + IS_NAMED * node.named + IS_MAIN * node.main, "first": key not in seen, "text": text})
+            seen.add(key)
+        shapes = [{"id": i, "shape": s} for i, s in dict.fromkeys((node.id, _hashed(shape)) for node, shape in layouts(root))]
+        return found, paths, shapes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = pa.struct([("id", pa.int64()), ("up", pa.list_(pa.int64()))])
         for batch in batches:
-            rows: dict[tuple, int] = {}
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                root = parsed(page)
-                seen = {(host, path, 0, _hashed(shape)) for path, shape in _shapes(root)}
-                seen |= {(host, path, 1, _hashed(text)) for path, text in blocks(root)}
-                for key in seen:
-                    rows[key] = rows.get(key, 0) + 1
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(list(rows.values()), pa.int64())], names=["host", "path", "kind", "hash", "n"])
-
-    seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, kind int, hash long, n long")
-    counted = seen.groupBy("host", "path", "kind", "hash").agg(F.sum("n").alias("n"))
-    entropy = F.sum(F.col("n") * F.log("n"))
-    per = counted.groupBy("host", "path", "kind").agg(F.sum("n").alias("seen"), entropy.alias("nlogn"))
-    shape, block = F.col("kind") == 0, F.col("kind") == 1
-    merged = per.groupBy("host", "path").agg(
-        F.max(F.when(shape, F.col("seen"))).alias("pages"), F.max(F.when(shape, F.col("nlogn"))).alias("a"), F.max(F.when(block, F.col("seen"))).alias("blocks"), F.max(F.when(block, F.col("nlogn"))).alias("b")
-    )
-    base = F.log("pages")
-    one = F.col("pages") <= 1
-    presentation = F.when(one, 1.0).otherwise(1 - F.col("a") / (F.col("pages") * base))
-    content = F.when(F.col("blocks").isNull(), None).when(one, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("b") / (F.col("blocks") * base)))
-    return merged.where("pages is not null").select("host", "path", F.col("pages").cast("long").alias("pages"), presentation.alias("presentation"), content.alias("content"))
-
-
-class Importance:
-    """Composite importance of a host's styles."""
-
-    def __init__(self, rows: list[tuple[str, int, float, float | None]]):
-        self.value: dict[str, tuple[int, float]] = {}
-        self.text: dict[str, float] = {p: content for p, _, _, content in rows if content is not None}
-        own: dict[str, tuple[int, float, float | None]] = {p: (n, a, b) for p, n, a, b in rows}
-        below: dict[str, list[str]] = {}
-        for path in own:
-            below.setdefault(path.rpartition("/")[0], []).append(path)
-        for path in sorted(own, key=lambda p: -p.count("/")):
-            n, presentation, content = own[path]
-            inner = [self.value[c] for c in below.get(path, ())]
-            parts = [(m, v) for m, v in inner]
-            if content is not None:
-                parts.append((n, content))
-            if not parts:
-                self.value[path] = (n, presentation)
-                continue
-            weight = sum(m for m, _ in parts)
-            mean = sum(m * v for m, v in parts) / weight
-            mix = DECAY ** len(inner) if inner else 0.0
-            # Presentation only adds: a fixed layout around fresh text is no noise.
-            self.value[path] = (n, max(mean, (1 - mix) * presentation + mix * mean) if inner else mean)
-
-    def keeps(self, path: str, node: Node, threshold: float = THRESHOLD) -> bool:
-        """Whether a block of text at the path stays."""
-        n, composite = self.value.get(path, (0, 1.0))
-        value = OWN * self.text.get(path, composite) + (1 - OWN) * composite
-        weight = MOST_WEIGHT * n * n / (n * n + HALF_PAGES * HALF_PAGES)
-        return (1 - weight) * node.prior + weight * value >= threshold
-
-
-def main_text(page: str | None, importance: Importance) -> str:
-    """The kept blocks inside what the page marks as main, if that has any text; of a page
-    without such marks, all kept blocks.  Where the statistics would keep none, tags and
-    names decide."""
-    root = parsed(page)
-    for main_only in (True, False) if _has_main(root) else (False,):
-        for keeps in (importance.keeps, Importance([]).keeps):
-            found = blocks(root, keeps, main_only, False)
-            if found:
-                return "\n".join(text for _, text in found)
-    return ""
-
-
-def _extracting(importance_of):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                texts = [main_text(page, importance_of(host, tree)) for host, page, tree in zip(part.column(3).to_pylist(), part.column(2).to_pylist(), part.column(4).to_pylist() if part.num_columns > 4 else [None] * part.num_rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            for low in range(0, batch.num_rows, 128):
+                part = batch.slice(low, 128)
+                found = list(zip(*map(outline, part.column(4).to_pylist()), strict=True))
+                lists = [pa.array(x, pa.list_(kind)) for x, kind in zip(found, (_BLOCK, path, _SHAPE), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *lists], names=["row", "page_id", "url", "host", "blocks", "paths", "shapes"])
+
+    kinds = dict(source.dtypes)
+    return stored(source.mapInArrow(run, f"row long, page_id {kinds['page_id']}, url {kinds['url']}, host string, {OUTLINE}"), "outline")
 
-    return run
 
+def trees(outline: DataFrame) -> DataFrame:
+    """host, id, pages, content, freedom, chars, composite of every path with text, on
+    hosts of two pages or more: the merged tree of each.
 
-def extracted(pages: DataFrame) -> DataFrame:
+    A page sends each of its layouts and texts once; counts are pre-aggregated, so a host
+    with a third of all pages costs what its tree has, not its pages.
+    """
+    evenness = 1 - F.sum(F.col("n") * F.log("n")) / (F.sum("n") * F.log(F.sum("n")))
+    shapes = outline.select("host", F.explode("shapes").alias("s")).groupBy("host", "s.id", "s.shape").agg(F.count("*").alias("n"))
+    layout = shapes.groupBy("host", "id").agg(F.when(F.sum("n") > 1, evenness).otherwise(1.0).alias("presentation"))
+    paths = outline.select("host", F.explode("paths").alias("p")).groupBy("host", "p.id").agg(F.count("*").alias("pages"), F.any_value("p.up").alias("up"))  # a path has one way up
+    salted = layout.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    above = paths.select("host", "id", F.explode("up").alias("above"), F.pmod("id", F.lit(SALTS)).cast("int").alias("salt"))
+    freedom = above.join(salted.withColumnRenamed("id", "above"), ["host", "above", "salt"]).groupBy("host", "id").agg(F.max("presentation").alias("freedom"))
+    texts = outline.select("host", F.explode("blocks").alias("b")).where("b.first").groupBy("host", "b.id", F.xxhash64("b.text").alias("hash"))
+    counted = texts.agg(F.count("*").alias("n"), F.max(F.length("b.text")).alias("size"))
+    spread = counted.groupBy("host", "id").agg(F.sum("n").alias("texts"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.sum(F.col("n") * F.col("size")).alias("chars"))
+    content = F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), 1 - F.col("nlogn") / (F.col("texts") * F.log("pages")))).otherwise(1.0)
+    grown = outline.groupBy("host").agg(F.count("*").alias("of")).where("of > 1")
+    joined = paths.drop("up").join(grown, "host", "left_semi").join(freedom, ["host", "id"]).join(spread, ["host", "id"])
+    measured = joined.select("host", "id", "pages", content.alias("content"), "freedom", "chars")
+    return measured.withColumn("composite", F.col("content") * (1 - LAYOUT + LAYOUT * F.col("freedom")))
+
+
+def ruled(forest: DataFrame) -> DataFrame:
+    """host, id, pages, importance: composites on each host's scale (1 is the mean over
+    its text, in which important text counts more), with those of the same path on other
+    hosts, which count as ``ELSEWHERE`` pages at most.  A host without any important text
+    has no rows."""
+    several = forest.where("pages > 1")
+    weight = F.col("chars") * F.col("composite")
+    scale = several.groupBy("host").agg(F.sum(weight * F.col("composite")).alias("a"), F.sum(weight).alias("b")).where("b > 0").select("host", (F.col("a") / F.col("b")).alias("scale"))
+    own = forest.join(scale, "host").select("host", "id", "pages", F.least(F.lit(1.0), F.col("composite") / F.col("scale")).alias("own"))
+    times = F.when(F.col("pages") > 1, F.col("pages")).otherwise(0)
+    everywhere = own.groupBy("id").agg(F.sum(times).alias("all_pages"), F.sum(times * F.col("own")).alias("all_sum"))
+    salted = everywhere.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = own.withColumn("salt", F.pmod(F.xxhash64("host"), F.lit(SALTS)).cast("int")).join(salted, ["id", "salt"])
+    others = F.col("all_pages") - times
+    heard = F.least(F.lit(ELSEWHERE), others)
+    elsewhere = F.when(others > 0, (F.col("all_sum") - times * F.col("own")) / others).otherwise(0.0)
+    return both.select("host", "id", (F.col("pages") + heard).alias("pages"), ((F.col("pages") * F.col("own") + heard * elsewhere) / (F.col("pages") + heard)).alias("importance"))
+
+
+def _main_text(statistics: bool) -> Column:
+    """The kept blocks of a row with ``blocks`` and ``rules`` (one for each path)."""
+    has = lambda b, bit: b["kind"].bitwiseAND(F.lit(bit)) != 0
+
+    def kept(b: Column) -> Column:
+        rule = F.element_at("rules", b["at"] + 1)
+        square = rule["pages"] * rule["pages"]
+        weight = MOST_WEIGHT * square / (square + HALF_PAGES * HALF_PAGES) if statistics else F.lit(0.0)
+        prior = F.when(has(b, IS_NOISE), NOISE).when(has(b, IS_MAIN), MAIN).otherwise(UNKNOWN)
+        return (1 - weight) * prior + weight * rule["importance"] >= THRESHOLD
+
+    plain = lambda b: ~has(b, IS_NOISE) & ~has(b, IS_NAMED)
+    by_tree = F.when(F.col("rules").isNotNull(), F.filter("blocks", kept))
+    by_main = F.filter("blocks", lambda b: plain(b) & has(b, IS_MAIN))
+    some = lambda found: F.when(F.size(found) > 0, found)
+    return F.array_join(F.transform(F.coalesce(some(by_tree), some(by_main), F.filter("blocks", plain)), lambda b: b["text"]), "\n")
+
+
+def extracted(pages: DataFrame, statistics: bool = True) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
     Null and empty pages have an empty text; pages without a host in their url are one
-    host; repeated rows count as pages and each give a row.
+    host; repeated rows count as pages and each give a row.  Without ``statistics`` the
+    trees' importances weigh nothing, which shows what tags alone would keep.
     """
-    forest = stored(trees(pages).where("pages > 1"), "trees")  # one page says nothing that its names do not
-    schema = f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long"
-    source = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    if forest.count() <= BROADCAST_ROWS:
-        found: dict[str, list] = {}
-        for r in forest.collect():
-            found.setdefault(r["host"], []).append((r["path"], r["pages"], r["presentation"], r["content"]))
-        grown = {host: Importance(rows) for host, rows in found.items()}
-        sent = pages.sparkSession.sparkContext.broadcast(grown)
-        none = Importance([])
-        return source.mapInArrow(_extracting(lambda host, tree: sent.value.get(host, none)), schema)
-    packed = forest.groupBy("host").agg(F.collect_list(F.struct("path", "pages", "presentation", "content")).alias("tree"))
-    known: dict[str, Importance] = {}
-
-    def importance_of(host, tree):
-        if host not in known:
-            if len(known) > 100:
-                known.clear()
-            known[host] = Importance([(x["path"], x["pages"], x["presentation"], x["content"]) for x in tree or ()])
-        return known[host]
-
-    return source.join(packed, "host", "left").select("page_id", "url", "html", "host", "tree").mapInArrow(_extracting(importance_of), schema)
+    outline = outlined(pages)
+    rules = stored(ruled(trees(outline)), "rules").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = outline.select("row", "host", F.posexplode("paths").alias("at", "p")).select("row", "host", "at", "p.id", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
+    found = asked.join(rules, ["host", "id", "salt"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "pages", "importance"))).alias("rules"))  # a page's own paths
+    text = outline.select("row", "page_id", "url", "blocks").join(found, "row", "left").select("page_id", "url", _main_text(statistics).alias("text"))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
-
-

@@ -1,3 +1,7 @@
+import math
+import os
+from collections import Counter, defaultdict
+
 import pytest
 
 from factloom.llm import html
@@ -41,15 +45,6 @@ def test_passages_that_pages_share_stay(spark):
     assert all(got[i].text == f"Head {i}\nThe very same passage.\nOwn {i}." for i in range(60))
 
 
-def test_a_joined_forest_gives_the_same(spark, monkeypatch):
-    page = lambda i: f"<body><div class='kk'><p>Text {i}</p></div><div class='xv'>same</div></body>"
-    pages = [(f"http://h{i % 3}.example/{i}", page(i)) for i in range(120)] + [(None, None)]
-    sent = texts(spark, pages)
-    monkeypatch.setattr(html, "BROADCAST_ROWS", 0)
-    assert texts(spark, pages) == sent
-    assert sent[7].text == "Text 7"
-
-
 def test_odd_pages(spark):
     pages = [(None, None), ("", ""), ("x", "no markup at all"), ("http://h/", "<p>open <b>never"), ("http://h/", "<div>" * 500 + "deep"), ("http://h/", "</p></div><p>a</p>"), ("http://h/", "<br/><p>a < b</p>"), ("http://h/", "<p>" + "long " * 40_000)]
     got = texts(spark, pages)
@@ -67,7 +62,7 @@ def test_deep_nesting_loses_no_text(spark):
     got = texts(spark, [(f"http://h{i}.example/", p) for i, p in enumerate(pages)])
     assert got[0].text == "Head\ninside\nafter"
     assert got[1].text == "one\ntwo\nafter"
-    assert max(len(path) for path, _ in html._shapes(html.parsed(pages[1]))) < 70 * len("/main")
+    assert max(len(node.path()) for node, _ in html.layouts(html.parsed(pages[1]))) <= html.PATH_DEPTH + 2
 
 
 @pytest.mark.parametrize(("n", "around"), [(10, "<div class='kk'>{}</div>"), (40, "<div class='kk'>{}</div>"), (20, "<article>{}</article>"), (40, "<article>{}</article>")])
@@ -89,3 +84,99 @@ def test_statistics_never_empty_a_page(spark):
     got = texts(spark, [("http://a.example/", one)] * 30 + [(f"http://b.example/{i}", own(i)) for i in range(30)])
     assert all(got[i].text == "Head\nThe only text." for i in range(30))
     assert all(got[30 + i].text == f"Own text {i}" for i in range(30))
+
+
+def slow_trees(pages):
+    """(host, path) -> pages, content, freedom by the definitions, from whole paths."""
+    shapes, texts, seen = defaultdict(Counter), defaultdict(Counter), Counter()
+    hosts = Counter(host for host, _ in pages)
+
+    def path(node):
+        return () if node.parent is None else (*path(node.parent), node.style)
+
+    for host, page in pages:
+        root = html.parsed(page)
+        for key in {(path(n), s) for n, s in html.layouts(root)}:
+            shapes[host, key[0]][key[1]] += 1
+        found = {(path(n), t) for n, t in html.blocks(root)}
+        for p, t in found:
+            texts[host, p][t] += 1
+        seen.update({(host, p) for p, _ in found})
+
+    def entropy(counts):
+        total = sum(counts)
+        return -sum(n / total * math.log(n / total, total) for n in counts) if total > 1 else 1.0
+
+    out = {}
+    for (host, p), n in seen.items():
+        if hosts[host] > 1:
+            words = texts[host, p]
+            content = 1 - sum(k * math.log(k, n) for k in words.values()) / sum(words.values()) if n > 1 else 1.0
+            freedom = max(entropy(shapes[host, p[:i]].values()) for i in range(len(p) + 1) if (host, p[:i]) in shapes)
+            out[host, p] = (n, content, freedom)
+    return out
+
+
+def site(i):
+    rows = "".join(f"<p>Text {i} {j}.</p>" for j in range(i % 5)) + ("<ul><li>a<li>b</ul>" if i % 3 else "")
+    return f"<body><nav><ul>{'<li><a>Menu</a>' * (3 + i % 2)}</ul></nav><div class='b c'>Note {i % 4}</div><article class=x{i}><h1>Head {i}</h1>{rows}</article><footer>end</footer></body>"
+
+
+def test_trees_by_their_definitions(spark):
+    pages = [(f"h{i % 3}.example", site(i)) for i in range(40)] + [("one.example", site(1)), ("", "<p>a")]
+    rows = spark.createDataFrame([(i, f"http://{h}/{i}" if h else None, p) for i, (h, p) in enumerate(pages)], SCHEMA)
+    got = html.trees(html.outlined(rows)).collect()
+    want = slow_trees(pages)
+    measured = sorted((r.host, r.pages, round(r.content, 9), round(r.freedom, 9)) for r in got)
+    assert measured == sorted((h, n, round(c, 9) + 0.0, round(f, 9) + 0.0) for (h, _), (n, c, f) in want.items())
+    assert all(r.composite == pytest.approx(r.content * (0.25 + 0.75 * r.freedom)) for r in got)
+
+
+def test_the_tree_decides(spark):
+    """Without the trees' statistics nearly every page keeps its menu and footer."""
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no tables")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    by_tree = {r.page_id: r.text for r in html.extracted(pages).collect()}
+    by_tags = {r.page_id: r.text for r in html.extracted(pages, statistics=False).collect()}
+    assert sum(by_tree[i] != by_tags[i] for i in by_tree) > 0.9 * len(by_tree)
+    assert all(len(by_tree[i]) < len(by_tags[i]) for i in by_tree if by_tree[i] != by_tags[i])
+
+
+def test_the_tree_overrules_tags(spark):
+    """A form around the whole page, fresh text in an aside, and boilerplate in an article."""
+    def page(i):
+        body = "".join(f"<p>Fresh {i} {j}.</p>" for j in range(1 + i % 7))
+        return f"<body><form><nav>Menu</nav><aside><h1>Head {i}</h1>{body}</aside><article><p>Subscribe now</p></article></form></body>"
+
+    got = texts(spark, [(f"http://a.example/{i}", page(i)) for i in range(30)])
+    assert [got[i].text for i in range(30)] == ["\n".join([f"Head {i}", *(f"Fresh {i} {j}." for j in range(1 + i % 7))]) for i in range(30)]
+
+
+@pytest.mark.parametrize("html_text", [
+    '<article><div class="post-header"><h1>Title</h1></div><p>Body.</p></article>',
+    '<article><header><h1>Title</h1></header><section class="search-results-discussion"><p>Body.</p></section></article>',
+    '<article><h1>Title</h1><p title="a hidden gem" data-x=\'display:none\'>Body.</p></article>',
+    '<article><h1>Title</h1><p style="overflow: hidden ;">Body.</p></article>',
+    '<article><h1>Title</h1><p>Body.</p>' + "<div>" * 70 + "<nav>MENU</nav>" + "</div>" * 70 + "</article>",
+    '<article><h1>Title</h1><p style="color:red; display : none">x</p><p aria-hidden=true>x</p><p>Body.</p></article>',
+    '<article><h1>Title</h1><p>Body.</p><div class="reader-comments"><article class="comment">I say</article></div><div id="AdSlot3">buy</div></article>',
+])
+def test_names_and_attributes(spark, html_text):
+    alone = texts(spark, [("http://h.example/", f"<body>{html_text}</body>")])
+    assert alone[0].text == "Title\nBody."
+
+
+def test_names_are_kept_whole(spark):
+    """Styles that differ only in a seventh class or after 120 characters are two nodes."""
+    names = " ".join(f"class{c}" * 6 for c in "abcdefg")
+    page = lambda i: f"<body><div class='{names} tail-x'>Same notice</div><div class='{names} tail-y'><p>Fresh {i}</p></div></body>"
+    got = texts(spark, [(f"http://a.example/{i}", page(i)) for i in range(12)])
+    assert [got[i].text for i in range(12)] == [f"Fresh {i}" for i in range(12)]
+
+
+def test_extra_columns_and_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, None, "<p>a", "x", 1), (1, None, "<p>a", "x", 1), (None, "u", None, None, None)], SCHEMA + ", text string, row long")
+    got = html.extracted(rows)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got.collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]
