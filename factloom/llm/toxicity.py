@@ -35,17 +35,19 @@ WORD = re.compile(r"\w+")
 #: Words whose features a task remembers.
 CACHE_WORDS = 200_000
 
-CATEGORIES = ("toxic", "toxic_fluent", "toxic_junk")
+#: In the order of the chain: whether a text is toxic at all is asked last, of a model that
+#: also sees how probable the two kinds are.
+CATEGORIES = ("toxic_fluent", "toxic_junk", "toxic")
 
 
 def categories_of(labels: DataFrame) -> DataFrame:
-    """doc_id and the chain's categories from labels of toxic and quality: toxic, toxic in
-    a text of good quality, toxic in a text of bad quality.  Rows without a doc_id or a
+    """doc_id and the chain's categories from labels of toxic and quality: toxic in a text
+    of good quality, toxic in a text of bad quality, toxic.  Rows without a doc_id or a
     toxic label teach nothing; repeated rows count once, as toxic if one says so."""
     clean = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     good = F.coalesce(F.col("quality"), F.lit(1)) == 1
     toxic = F.col("toxic") == 1
-    return clean.select("doc_id", toxic.cast("int").alias("toxic"), (toxic & good).cast("int").alias("toxic_fluent"), (toxic & ~good).cast("int").alias("toxic_junk"))
+    return clean.select("doc_id", (toxic & good).cast("int").alias("toxic_fluent"), (toxic & ~good).cast("int").alias("toxic_junk"), toxic.cast("int").alias("toxic"))
 
 
 def features_of(word: str) -> list[str]:
@@ -196,13 +198,16 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, p_toxic, p_toxic_fluent, p_toxic_junk and toxic (1 at the threshold)."""
+    """doc_id, p_toxic_fluent, p_toxic_junk, p_toxic and toxic (1 if p_toxic, the chain's last
+    link, is at the threshold or above).  Null and empty texts have no features and get the
+    intercepts' probabilities; every row has a row; an empty table gives none."""
     found = scored(docs, trained(docs, categories_of(labels)))
     return found.withColumn("toxic", (F.col("p_toxic") >= threshold).cast("int"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` below the threshold, all columns as they are.
+    """The rows of ``docs`` whose last link's probability is below the threshold, all
+    columns as they are.
 
     Scores are made beside the rows, so no row is joined or shuffled for them.
     """
@@ -211,7 +216,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, p in _judged(batches, chain, text_at):
-            yield part.filter(pa.array(p[:, 0] < threshold))
+            yield part.filter(pa.array(p[:, -1] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -66,3 +66,21 @@ def test_odd_tables(spark, documents, odd_texts):
     assert toxicity.toxicity(documents([]), odd).count() == 0
     kept = toxicity.without_toxic(docs, empty)
     assert kept.columns == docs.columns and kept.count() == len(odd_texts)
+
+
+def test_toxic_rests_on_the_earlier_links(spark, documents):
+    """The flag is the chain's last link: without the earlier probabilities it changes."""
+    texts, labels = corpus(3, 500)
+    docs, known = documents(texts), spark.createDataFrame(labels, LABELS)
+    chain = toxicity.trained(docs, toxicity.categories_of(known))
+    assert chain.categories[-1] == "toxic"
+    n = len(chain.vocabulary)
+    assert [len(w) for w in chain.weights] == [n + 1, n + 2, n + 3]
+    deaf = toxicity.Chain(chain.categories, chain.vocabulary, [*chain.weights[:2], chain.weights[2].copy()])
+    deaf.weights[2][n : n + 2] = 0
+    assert chain.weights[2][n] > 0.5
+    whole, without = ({r.doc_id: r.p_toxic for r in toxicity.scored(docs, c).collect()} for c in (chain, deaf))
+    truth = {i for i, _, t in labels if t}
+    assert max(whole[i] - without[i] for i in truth) > 0.1
+    assert np.mean([whole[i] - without[i] for i in truth]) > 0.02 > abs(np.mean([whole[i] - without[i] for i in whole if i not in truth]))
+    assert {i for i in whole if whole[i] >= toxicity.THRESHOLD} == {r.doc_id for r in toxicity.toxicity(docs, known).where("toxic = 1").collect()}
