@@ -57,8 +57,8 @@ class WordEncoder:
 
     The vocabulary's rules never look across ASCII white space (it is dropped, and no
     composition or pattern spans it), so a text's ids are those of its words in turn,
-    and a word seen before need not be encoded again.  Strings of special tokens are
-    ordinary text.
+    and a word seen before need not be encoded again.  Strings of special tokens hold no
+    white space either; they become the special ids, as by the library's default.
     """
 
     def __init__(self, path: str):
@@ -66,7 +66,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         # A word of its own whose ids mark the seams when many words are encoded at once.
         self.seam = self.library.encode(SEAM, add_special_tokens=False).ids
         self.clear()
@@ -175,8 +174,10 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, block_ids:
     """Writes ids of every text, each ended by END_ID, in ascending doc_id order.
 
     A null text is empty; null doc_ids come first; rows of the same doc_id follow one
-    another in the order of their texts, each with its own entry.  A range partition
-    is a shard, so a task holds one block and one chunk of text at a time.
+    another in the order of their texts, each with its own entry.  Strings of special
+    tokens in a text become their ids, as the library does by default.  A range partition
+    is a shard, so a task holds one block and one chunk of text at a time; a very long text
+    is encoded alone.  An empty table gives no block.
     """
     vocabulary = vocabulary or vocabulary_path()
     kind = dict(docs.dtypes)["doc_id"]

@@ -12,18 +12,27 @@ from factloom.llm import tokenfiles
 
 @pytest.fixture(scope="module")
 def library():
-    return tokenfiles.WordEncoder(tokenfiles.vocabulary_path()).library
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenfiles.vocabulary_path())
 
 
 def test_word_by_word_equals_library(library):
     r = random.Random(1)
-    bits = ["the", " ", "  ", "\n", "\t", "\x0b", " ", "don't", "'s", "'", "É", "é", "́", "中文", "12", "3a", "...", "!", "<|endoftext|>", "\U0001f600", "ABC", "x" * 30, "\x1c", "ﬁ", "İ"]
+    bits = ["the", " ", "  ", "\n", "\t", "\x0b", " ", "don't", "'s", "'", "É", "é", "́", "中文", "12", "3a", "...", "!", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "\U0001f600", "ABC", "x" * 30, "\x1c", "ﬁ", "İ"]
     texts = ["".join(r.choice(bits) for _ in range(r.randrange(0, 30))) for _ in range(800)] + [None, "", " \n "]
     ids, at = tokenfiles.WordEncoder(tokenfiles.vocabulary_path()).encode(pa.array(texts, pa.string()))
     for i, text in enumerate(texts):
         assert ids[at[i] : at[i + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+def test_special_tokens_as_the_library_does():
+    texts = ["hello <|endoftext|> world", "hello<|endoftext|>world", "<|startoftext|>", "<|startoftext|><|endoftext|>x"]
+    ids, at = tokenfiles.WordEncoder(tokenfiles.vocabulary_path()).encode(pa.array(texts))
+    found = [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
+    assert found[:3] == [[3306, 49407, 1002], [3306, 49407, 1002], [49406]] and found[3][:2] == [49406, 49407]
+
+
 @pytest.mark.parametrize("plane_bits", [1, 8])
 def test_blocks_round_trip(plane_bits):
     r = np.random.default_rng(2)
