@@ -3,7 +3,8 @@
 A paragraph (a line of the text) is hashed to a wide vector with two parts:
 
 - identity: 8 lanes of 64 bits of its BLAKE2b digest, added modulo 2**64;
-- likeness: 128 signed counters of its byte windows, added modulo 2**16.
+- likeness: 128 signed counters of its byte windows, added modulo 2**32, which is more
+  than a text can have bytes, so no counter of a text wraps.
 
 A fingerprint is the sum of the vectors of its paragraphs.  So it does not depend on
 their order, paragraphs can be inserted or deleted without the rest of the text
@@ -29,6 +30,8 @@ LIKENESS_LANES = 128
 WINDOW_BYTES = 8
 BASE = 0x9E3779B97F4A7C15
 NEWLINE = 10
+#: Ranges whose first and last texts one task links.
+SEAMS_AT_ONCE = 64
 
 
 def _paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,13 +81,13 @@ def _sketch(data, starts, ends, rows, n) -> np.ndarray:
         sign = 1.0 - 2.0 * ((keys >> np.uint64(32)) & np.uint64(1)).astype(np.float64)
         counts = np.bincount(cell, sign, minlength=(int(rows[high - 1]) - int(rows[low]) + 1) * LIKENESS_LANES)
         out[int(rows[low]) * LIKENESS_LANES :][: len(counts)] += counts
-    return out.astype(np.int64).astype(np.uint16).reshape(n, LIKENESS_LANES)
+    return out.astype(np.int64).astype(np.uint32).reshape(n, LIKENESS_LANES)
 
 
 def likeness(first, second) -> np.ndarray:
     """0 to 1 for each pair of rows: 1 exactly for equal fingerprints, and otherwise
     the cosine of the counters, negative ones being 0."""
-    a, b = (x[1].view(np.int16).astype(float) for x in (first, second))
+    a, b = (x[1].view(np.int32).astype(float) for x in (first, second))
     size = np.sqrt((a * a).sum(1) * (b * b).sum(1))
     cosine = np.divide((a * b).sum(1), size, out=np.zeros(len(a)), where=size > 0)
     same = (first[0] == second[0]).all(1) & (first[1] == second[1]).all(1)
@@ -94,14 +97,14 @@ def likeness(first, second) -> np.ndarray:
 def shown(vector) -> list[str]:
     """Hex digits: identity lanes, then likeness lanes, little-endian."""
     a = np.ascontiguousarray(vector[0].astype("<u8")).view(np.uint8)
-    b = np.ascontiguousarray(vector[1].astype("<u2")).view(np.uint8)
+    b = np.ascontiguousarray(vector[1].astype("<u4")).view(np.uint8)
     return [bytes(x).hex() for x in np.concatenate([a, b], axis=1)]
 
 
 def parsed(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(bytes.fromhex("".join(prints)), np.uint8).reshape(len(prints), -1)
     cut = IDENTITY_LANES * 8
-    return np.ascontiguousarray(raw[:, :cut]).view("<u8"), np.ascontiguousarray(raw[:, cut:]).view("<u2")
+    return np.ascontiguousarray(raw[:, :cut]).view("<u8"), np.ascontiguousarray(raw[:, cut:]).view("<u4")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,10 +186,19 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
     inner = ranged.sortWithinPartitions(*order).mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
     ends = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.max(F.struct("doc_id", "text")).alias("first"), F.min(F.struct("doc_id", "text")).alias("last"))
-    along = Window.orderBy("part")
+    seams, parts = [], width(docs.sparkSession)
+    while parts > SEAMS_AT_ONCE:  # blocks of ranges first, then blocks of blocks, so that no task meets the texts of all
+        along = Window.partitionBy(F.floor(F.col("part") / SEAMS_AT_ONCE)).orderBy("part")
+        seams.append(ends.select("last", F.lead("first.text").over(along).alias("after")).where("after is not null"))
+        ends = ends.groupBy(F.floor(F.col("part") / SEAMS_AT_ONCE).cast("int").alias("part")).agg(F.min_by("first", "part").alias("first"), F.max_by("last", "part").alias("last"))
+        parts = -(-parts // SEAMS_AT_ONCE)
+    along = Window.orderBy("part")  # SEAMS_AT_ONCE rows at most
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seams = ends.select("last.doc_id", "last.text", F.coalesce(F.lead("first.text").over(along), F.first("first.text").over(whole)).alias("after"))
-    return inner.unionByName(seams.mapInArrow(finish, f"doc_id {kind}, {SCHEMA}"))
+    seams.append(ends.select("last", F.coalesce(F.lead("first.text").over(along), F.first("first.text").over(whole)).alias("after")))
+    out = inner
+    for seam in seams:
+        out = out.unionByName(seam.select("last.doc_id", "last.text", "after").mapInArrow(finish, f"doc_id {kind}, {SCHEMA}"))
+    return out
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

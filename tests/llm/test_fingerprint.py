@@ -30,7 +30,7 @@ def slow(text):
             window = line[i : i + fingerprint.WINDOW_BYTES]
             h = mix(sum(b * pow(fingerprint.BASE, j, 1 << 64) for j, b in enumerate(window)) + len(window) & MASK)
             counts[h & 127] += -1 if h >> 32 & 1 else 1
-    return identity, [c & 0xFFFF for c in counts]
+    return identity, [c & 0xFFFFFFFF for c in counts]
 
 
 def test_vectors_equal_the_definition():
@@ -92,3 +92,21 @@ def test_few_documents(spark, documents):
     two = fingerprint.with_edits(documents(["abcd", "xy"])).collect()
     assert {r.doc_id: r.edited_sha256 for r in two} == {0: hashlib.sha256(b"abxy").hexdigest(), 1: hashlib.sha256(b"xa").hexdigest()}
     assert np.isfinite([r.near_next for r in two]).all()
+
+
+def test_long_repetitive_texts():
+    pairs = [("a" * 65_543, "a" * 30_000), ("a" * 20_000, "a" * 27_000), ("ab\n" * 90_000, "ab\n" * 10)]
+    for pair in pairs:
+        v = fingerprint.vectors(pa.array(pair))
+        assert fingerprint.likeness(*((v[0][i : i + 1], v[1][i : i + 1]) for i in (0, 1)))[0] > 0.99
+
+
+def test_seams_by_blocks_of_ranges(spark, documents, monkeypatch):
+    texts = [prose(i, 20) for i in range(60)]
+    docs = documents(texts)
+    want = sorted(map(tuple, fingerprint.with_edits(docs).collect()))
+    monkeypatch.setattr(fingerprint, "SEAMS_AT_ONCE", 2)
+    monkeypatch.setattr(fingerprint, "width", lambda _: 13)
+    assert sorted(map(tuple, fingerprint.with_edits(docs).collect())) == want
+    assert len(want) == 60
+    assert sorted(r.edited_sha256 for r in fingerprint.with_edits(documents(texts[:3])).collect()) == sorted(hashlib.sha256(t.encode()).hexdigest() for _, t in edits_of(texts[:3]))
