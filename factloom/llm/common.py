@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import uuid
 from collections.abc import Iterator
@@ -132,8 +133,38 @@ def window_hashes(hashes: np.ndarray, rows: np.ndarray, size: int, base: int) ->
     return at, span_hashes(hashes, at, at + size, base)
 
 
-def even_keys(spark: SparkSession, partitions: int, each: int) -> list[int]:
-    """Numbers that hash partitioning deals out evenly: ``each`` to every partition."""
+#: Bytes up to which a word is hashed eight bytes at a time, with all others.
+SHORT_WORD = 32
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word data[start:end]; different ``which`` are independent.
+
+    Every eight bytes are mixed with their place before they are added, so the sum has no
+    structure that words could share; a word of eight bytes or fewer never meets another of
+    its length.  Longer words than ``SHORT_WORD`` are hashed by BLAKE2b.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))  # the eight bytes from each on
+    out = np.empty(len(starts), np.uint64)
+    for low in range(0, len(starts), 1 << 18):
+        first, size = starts[low : low + (1 << 18)], (ends - starts)[low : low + (1 << 18)]
+        total = size.astype(np.uint64)
+        for i in range(SHORT_WORD // 8):
+            more = np.flatnonzero(size > 8 * i) if i else slice(None)
+            cut = ((8 - np.minimum(size[more] - 8 * i, 8)) * 8).astype(np.uint64)
+            place = (which * 64 + i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+            total[more] += mixed((at[first[more] + 8 * i] << cut >> cut) + np.uint64(place))
+        out[low : low + (1 << 18)] = mixed(total)
+    for i in np.flatnonzero(ends - starts > SHORT_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        out[i] = int.from_bytes(digest[8 * which : 8 * which + 8], "little")
+    return out
+
+
+def even_keys(spark: SparkSession, partitions: int, each: int) -> DataFrame:
+    """(number, key) for partitions * each numbers from 0; hash partitioning deals the keys
+    out evenly: ``each`` to every partition."""
     n = spark.range(partitions * each * 64).withColumn("p", F.pmod(F.hash("id"), F.lit(partitions)))
     ranked = n.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("id"))).where(F.col("r") <= each)
-    return sorted(r["id"] for r in ranked.select("id").collect())
+    return ranked.select((F.col("p") * each + F.col("r") - 1).cast("long").alias("number"), F.col("id").alias("key"))

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import even_keys, span_hashes, table, text_bytes, width, window_hashes, words_of
+from factloom.llm.common import even_keys, span_hashes, table, text_bytes, width, window_hashes, word_hashes, words_of
 
 #: Words of a window that counts as a repeat, and of the blocks that anchor it.
 WINDOW_WORDS = 35
@@ -38,10 +38,8 @@ WINDOW_WORDS = 35
 #: each slice a message for each.
 GROUPS_PER_PARTITION = 2
 
-BYTE_BASE = 0x9E3779B97F4A7C15
 FIRST_BASE = 0xC2B2AE3D27D4EB4F
 SECOND_BASE = 0xD6E8FEB86659FD93
-BYTE_BASE_2 = 0xA0761D6478BD642F
 
 
 def _packed(values: np.ndarray, kind: str) -> bytes:
@@ -71,22 +69,10 @@ class _Words:
         self.data, self.offsets = text_bytes(texts)
         self.starts, self.ends, self.rows = words_of(self.data, self.offsets)
         self.first = np.searchsorted(self.rows, np.arange(len(self.offsets) - 1))  # word at which a row starts
-        self.hashes = self._word_hashes(BYTE_BASE)
+        self.hashes = word_hashes(self.data, self.starts, self.ends)
         self.at, self.keys = window_hashes(self.hashes, self.rows, self.block, FIRST_BASE)
         self.on_grid = (self.at - self.first[self.rows[self.at]]) % self.block == 0
 
-    def _word_hashes(self, base: int) -> np.ndarray:
-        """In pieces, as the prefix sums of a piece take eight times its bytes."""
-        out = np.empty(len(self.starts), np.uint64)
-        low = 0
-        while low < len(out):
-            begin = self.starts[low]
-            high = max(low + 1, int(np.searchsorted(self.ends, begin + (1 << 20), "right")))
-            stop = self.ends[high - 1]
-            out[low:high] = span_hashes(self.data[begin:stop].astype(np.uint64), self.starts[low:high] - begin, self.ends[low:high] - begin, base)
-            low = high
-        return out
-
     def cells(self, slices: int) -> np.ndarray:
         """slice << 32 | remainder of each rolling window."""
         return ((self.keys >> np.uint64(32)) % np.uint64(slices) << np.uint64(32)) | (self.keys & np.uint64(0xFFFFFFFF))
@@ -109,7 +95,7 @@ class _Words:
             return np.zeros(0, np.int64), none, none
         at = np.flatnonzero((self.rows[:n] == self.rows[self.window - 1 :]) & (hits[self.block : self.block + n] > hits[:n]))
         first = span_hashes(self.hashes, at, at + self.window, SECOND_BASE)
-        second = span_hashes(self._word_hashes(BYTE_BASE_2), at, at + self.window, FIRST_BASE)
+        second = span_hashes(word_hashes(self.data, self.starts, self.ends, 1), at, at + self.window, FIRST_BASE)
         return at, first, second
 
 
@@ -220,18 +206,22 @@ def repeats(docs: DataFrame, window: int = WINDOW_WORDS, with_text: bool = False
 
     Words are runs of characters other than ASCII white space.  Each word covered by
     a window of ``window`` words whose words also start anywhere else is removed.  A
-    null text has no words and its kept text is empty; repeated rows are copies of
-    each other like any two documents, and each gives a row.
+    null or empty text has no words and its kept text is empty; repeated rows are copies
+    of each other like any two documents, and each gives a row.  A very long text is read
+    whole, in one group.  An empty table gives no row.  Rows must come in the same order
+    whenever they are read, as those of a written table do.
     """
     spark = docs.sparkSession
     slices = width(spark)
-    groups = even_keys(spark, slices, GROUPS_PER_PARTITION)
+    keys = even_keys(spark, slices, GROUPS_PER_PARTITION)
     block = (window + 1) // 2
     if 2 * block - 1 > window:
         block -= 1
     names = docs.columns if with_text else ["doc_id", "text"]
-    group_of = F.element_at(F.array(*[F.lit(g).cast("long") for g in groups]), (F.pmod(F.xxhash64("doc_id", "text"), F.lit(len(groups))) + 1).cast("int"))
-    own = docs.select(group_of.alias("_g"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(names)])
+    # The row's number is in it so that repeated rows, which nothing else tells apart, spread.
+    number = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(slices * GROUPS_PER_PARTITION))
+    dealt = docs.select(number.alias("number"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(names)])
+    own = dealt.join(F.broadcast(keys.withColumnRenamed("key", "_g")), "number").select("_g", *[f"_{i}" for i in range(len(names))])  # two numbers for each group
     grouped = own.repartition(slices, "_g")
     text_at = 1 + names.index("text")
 

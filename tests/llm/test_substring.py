@@ -76,3 +76,25 @@ def test_texts_come_back_whole(spark, documents):
         assert rows[i].text == (text if len(kept) == n else " ".join(kept))
         assert rows[i].kept == "en"
         assert rows[i].n_chars == (None if text is None else len(rows[i].text))
+
+
+def thue_morse(n):
+    first, second = "a", "b"
+    while len(first) < n:
+        first, second = first + second, second + first
+    return first, second
+
+
+def test_words_that_polynomials_confuse(spark, documents):
+    """Two words of 4,096 letters that collide under any odd base modulo 2**64."""
+    first, second = thue_morse(4096)
+    rest = " ".join(f"v{i}" for i in range(34))
+    texts = [f"{first} {rest}", f"{second} {rest}", *(f"{w[:n]} {rest} tail" for n in (8, 9, 16, 31, 32, 33, 64) for w in (first, second))]
+    check(substring.repeats(documents(texts)).collect(), texts, 35)
+
+
+def test_repeated_rows_spread(spark, documents):
+    text = " ".join(f"v{i}" for i in range(60))
+    docs = documents([text]).crossJoin(spark.range(64).select()).coalesce(1)
+    rows = substring.repeats(docs).collect()
+    assert len(rows) == 64 and {r.n_removed for r in rows} == {60}
