@@ -3,9 +3,10 @@ navigable small-world graph for each shard.
 
 1. Vectors that are equal are one point, which keeps the smallest vec_ids (as ties go
    to them, more could never be returned); they are reduced before any shuffle.
-2. Points are dealt to shards by hash.  There are as many shards as shuffle partitions,
-   but none above ``SHARD_POINTS``: a search grows with the logarithm of a shard, so
-   few large shards beat many small ones.
+2. Points are dealt to shards by hash.  A search grows with the logarithm of a shard, so
+   few large shards beat many small ones: a shard has ``LEAST_POINTS`` points or more,
+   beyond that shards are added to keep all shuffle partitions busy, and none grows above
+   ``SHARD_POINTS``.  So the shards that a query visits follow the points.
 3. A graph is built for each shard and written as flat arrays to the shared folder.
 4. A query visits every shard; the shards' results are merged by the exact measure on
    the original vectors.  (Sending a query to the nearest of clustered shards only was
@@ -29,7 +30,7 @@ from factloom.llm.common import stored, table, width
 
 #: Points of a shard at most, and wanted at least.
 SHARD_POINTS = 262_144
-LEAST_POINTS = 256
+LEAST_POINTS = 4_096
 #: Links of a node (twice as many on the lowest level), and breadths of the searches.
 LINKS = 16
 BUILD_BREADTH = 64
@@ -288,7 +289,8 @@ def nearest(vectors: DataFrame, asks, k: int = 20, breadth: int = SEARCH_BREADTH
     """query_id, rank, vec_id, score: for each row for which the condition ``asks`` (on
     vec_id) holds, the k nearest other rows found, or all of them if there are fewer.
 
-    Rows that are not usable neither ask nor are found.  Rows that repeat a vec_id are
+    Rows that are not usable (see ``usable``; so vectors of a less common length) neither
+    ask nor are found; an empty table gives no row.  Rows that repeat a vec_id are
     candidates each, but none of them for a query of that vec_id.
     """
     rows = usable(vectors)
