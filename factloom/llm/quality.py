@@ -8,8 +8,9 @@ weighted by length; a two-parameter curve turns that into the probability of lab
 
 Only documents are labelled.  So the lines of a bad text first count as bad; then the
 field is fitted again with those lines of bad texts as good that it finds good, except
-each bad text's worst line.  Fitting takes a bounded sample of labelled texts
-(``TRAIN_ROWS``); scoring covers every whole text.
+each bad text's worst line.  Fitting takes a bounded sample of labelled texts, each whole
+(``TRAIN_ROWS`` texts with ``TRAIN_LINES`` lines in all, by a hash of doc_id); scoring
+covers every whole text.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import SPACE, slices, span_hashes, table, text_bytes, words_of
+from factloom.llm.common import SPACE, slices, span_hashes, stored, table, text_bytes, words_of
 
 #: Labelled texts that the field is fitted on at most.
 TRAIN_ROWS = 4_000
+#: Lines of those texts at most, and twenty times those of the longest that teaches.
+TRAIN_LINES = 200_000
 THRESHOLD = 0.3
 #: Bytes by kind; letters of UTF-8's second and later bytes are OTHER.
 UPPER, LOWER, DIGIT, STOP, MARK, BAR, OTHER = range(7)
@@ -201,7 +204,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Field:
+def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, lines: int = TRAIN_LINES) -> Field:
     """The field from labelled rows that are not held out; of repeated labels of a doc_id
     the lowest counts; rows of null doc_id or label teach nothing."""
     usable = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
@@ -217,9 +220,13 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Field
                 cut = np.searchsorted(at, np.arange(part.num_rows + 1))
                 fields = [x[a:b].astype(np.float32).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
                 lengths = [sizes[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(fields, pa.binary()), pa.array(lengths, pa.binary())], names=["doc_id", "y", "x", "sizes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(cut), pa.int64()), pa.array(fields, pa.binary()), pa.array(lengths, pa.binary())], names=["doc_id", "y", "n", "x", "sizes"])
 
-    data = texts.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, x binary, sizes binary").orderBy("doc_id").collect()  # numbers of lines of bounded rows
+    measured = stored(texts.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, n long, x binary, sizes binary"), "lines")
+    in_order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rangeBetween(Window.unboundedPreceding, 0)  # two numbers of bounded rows
+    sized = measured.groupBy("doc_id").agg(F.sum("n").alias("n")).where(F.col("n") <= lines // 20)
+    few = sized.withColumn("so_far", F.sum("n").over(in_order)).where(F.col("so_far") <= lines).select("doc_id")
+    data = measured.join(F.broadcast(few), "doc_id").orderBy("doc_id").select("y", "x", "sizes").collect()  # bounded by lines
     if not data:
         return Field(np.zeros(COLUMNS), np.zeros((2, 2)), 0.0, 0.0)
     x = np.concatenate([np.frombuffer(r["x"], np.float32).reshape(-1, COLUMNS) for r in data]).astype(float)
