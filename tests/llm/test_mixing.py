@@ -92,7 +92,7 @@ def test_rates_are_the_least_squares(spark, power, targets):
     # The other solver creeps along the flat of the cost, and ends above the optimum, but near.
     assert cost(got) <= cost(rates) + 1e-9 and cost(rates) < cost(got) * 1.05
     assert got == pytest.approx(rates, abs=0.3)
-    assert min(got) == 0
+    assert min(got) >= 0
     assert fit.got == pytest.approx({d: sum(x * t * q[k] for x, (_, t, q) in zip(got, rows, strict=True)) for k, d in enumerate(mixing.DOMAINS)})
 
 
