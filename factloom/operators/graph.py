@@ -10,9 +10,18 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none."""
+    """The cluster's shared folder: spark.checkpoint.dir, or what setCheckpointDir named.
+
+    Where neither is set, a temporary folder is, but only if driver and tasks are one
+    process (a local master); on a cluster, executors would not see it, so that fails.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        known = named.get() if named.isDefined() else None
+    if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/") + "/factloom"
