@@ -1,8 +1,8 @@
 """Operator 7: HTML extraction by a site style tree.
 
-1. Every page is parsed once, to its blocks of text and the layout of its elements, which
-   are stored (``outlined``).  An element's style path is its tags with their classes, ids
-   and roles, from the root down.
+1. Every page is parsed to its blocks of text and the layout of its elements, which are
+   stored as hashes (``outlined``).  An element's style path is its tags with their classes,
+   ids and roles, from the root down.
 2. The pages of one host are merged into one tree of style paths (``trees``), with two
    importances for each node, both from entropies over the host's pages:
 
@@ -17,7 +17,9 @@
    the host's typical important text, and a node seen on few pages also by what the trees
    of other hosts say of its path.  This is weighed against a weak prior of its tags, the
    more so the more pages there are, and blocks below ``THRESHOLD`` leave the page, and
-   with them every branch in which no block stays.
+   with them every branch in which no block stays.  For that pages are parsed again, which
+   costs less than to keep all texts on disk beside the shuffle that brings them together
+   with their rules.
 
 Tags alone keep every block (``extracted(pages, statistics=False)`` shows that), so on a
 host of two pages or more the tree decides.  A host of one page has no tree; there, and on
@@ -268,9 +270,10 @@ def layouts(root: Node) -> Iterator[tuple[Node, str]]:
 
 #: Bits of a block's kind.
 IS_NOISE, IS_NAMED, IS_MAIN = 1, 2, 4
-_BLOCK = pa.struct([("at", pa.int32()), ("id", pa.int64()), ("kind", pa.int32()), ("first", pa.bool_()), ("text", pa.string())])
+KINDS = 8
+_PATH = pa.struct([("id", pa.int64()), ("up", pa.list_(pa.int64()))])
 _SHAPE = pa.struct([("id", pa.int64()), ("shape", pa.int64())])
-OUTLINE = "blocks array<struct<at: int, id: long, kind: int, first: boolean, text: string>>, paths array<struct<id: long, up: array<long>>>, shapes array<struct<id: long, shape: long>>"
+_TEXT = pa.struct([("id", pa.int64()), ("hash", pa.int64()), ("size", pa.int32())])
 
 
 def host_of(url):
@@ -278,38 +281,62 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
 
 
+def _numbered(pages: DataFrame) -> DataFrame:
+    return pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "html")
+
+
+def _placed(found: list[tuple[Node, str]]) -> dict[int, int]:
+    """The place of each different path of a page's blocks."""
+    return {i: at for at, i in enumerate(dict.fromkeys(node.id for node, _ in found))}
+
+
 def outlined(pages: DataFrame) -> DataFrame:
-    """row (a number of its own), page_id, url, host, blocks (in page order: the place of
-    its path in ``paths``, its path, kind, whether its path and text are met first on the
-    page, text), paths (different ones of blocks, with all above) and shapes (different
-    pairs of path and layout).  Written once, so row numbers stay."""
-    source = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", host_of(F.col("url")).alias("host"), "html")
+    """row (a number of its own), host, paths (different ones of blocks, with all above),
+    shapes (different pairs of path and layout) and texts (different pairs of path and
+    text, as a hash with the size).  Written once."""
+    source = _numbered(pages).select("row", host_of(F.col("url")).alias("host"), "html")
 
     def outline(page: str | None) -> tuple[list, list, list]:
         root = parsed(page)
-        place: dict[int, int] = {}
-        seen, found, paths = set(), [], []
-        for node, text in blocks(root):
-            if node.id not in place:
-                place[node.id] = len(paths)
-                paths.append({"id": node.id, "up": node.path()})
-            key = (node.id, text)
-            found.append({"at": place[node.id], "id": node.id, "kind": IS_NOISE * node.noise + IS_NAMED * node.named + IS_MAIN * node.main, "first": key not in seen, "text": text})
-            seen.add(key)
-        shapes = [{"id": i, "shape": s} for i, s in dict.fromkeys((node.id, _hashed(shape)) for node, shape in layouts(root))]
-        return found, paths, shapes
+        found = blocks(root)
+        first = {node.id: node for node, _ in reversed(found)}
+        texts = dict.fromkeys((node.id, _hashed(text), len(text)) for node, text in found)
+        shapes = dict.fromkeys((node.id, _hashed(shape)) for node, shape in layouts(root))
+        return [(i, first[i].path()) for i in _placed(found)], list(shapes), list(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 128):
+                part = batch.slice(low, 128)
+                found = zip(*map(outline, part.column(2).to_pylist()), strict=True)
+                lists = [pa.array([[dict(zip((f.name for f in kind), x, strict=True)) for x in xs] for xs in rows], pa.list_(kind)) for rows, kind in zip(found, (_PATH, _SHAPE, _TEXT), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *lists], names=["row", "host", "paths", "shapes", "texts"])
+
+    return stored(source.mapInArrow(run, "row long, host string, paths array<struct<id: long, up: array<long>>>, shapes array<struct<id: long, shape: long>>, texts array<struct<id: long, hash: long, size: int>>"), "outline")
+
+
+def packed(pages: DataFrame) -> DataFrame:
+    """row, page_id, url, codes (of each block the place of its path and its kind) and
+    texts (of all blocks, a line each, compressed)."""
+    source = _numbered(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = pa.struct([("id", pa.int64()), ("up", pa.list_(pa.int64()))])
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for low in range(0, batch.num_rows, 128):
                 part = batch.slice(low, 128)
-                found = list(zip(*map(outline, part.column(4).to_pylist()), strict=True))
-                lists = [pa.array(x, pa.list_(kind)) for x, kind in zip(found, (_BLOCK, path, _SHAPE), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], *lists], names=["row", "page_id", "url", "host", "blocks", "paths", "shapes"])
+                codes, texts = [], []
+                for page in part.column(3).to_pylist():
+                    found = blocks(parsed(page))
+                    place = _placed(found)
+                    codes.append([place[n.id] * KINDS + IS_NOISE * n.noise + IS_NAMED * n.named + IS_MAIN * n.main for n, _ in found])
+                    texts.append(press("\n".join(text for _, text in found).encode("utf-8", "replace")))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(codes, pa.list_(pa.int32())), pa.array(texts, pa.binary())], names=["row", "page_id", "url", "codes", "texts"])
 
     kinds = dict(source.dtypes)
-    return stored(source.mapInArrow(run, f"row long, page_id {kinds['page_id']}, url {kinds['url']}, host string, {OUTLINE}"), "outline")
+    return source.mapInArrow(run, f"row long, page_id {kinds['page_id']}, url {kinds['url']}, codes array<int>, texts binary")
 
 
 def trees(outline: DataFrame) -> DataFrame:
@@ -326,8 +353,7 @@ def trees(outline: DataFrame) -> DataFrame:
     salted = layout.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     above = paths.select("host", "id", F.explode("up").alias("above"), F.pmod("id", F.lit(SALTS)).cast("int").alias("salt"))
     freedom = above.join(salted.withColumnRenamed("id", "above"), ["host", "above", "salt"]).groupBy("host", "id").agg(F.max("presentation").alias("freedom"))
-    texts = outline.select("host", F.explode("blocks").alias("b")).where("b.first").groupBy("host", "b.id", F.xxhash64("b.text").alias("hash"))
-    counted = texts.agg(F.count("*").alias("n"), F.max(F.length("b.text")).alias("size"))
+    counted = outline.select("host", F.explode("texts").alias("t")).groupBy("host", "t.id", "t.hash").agg(F.count("*").alias("n"), F.max("t.size").alias("size"))
     spread = counted.groupBy("host", "id").agg(F.sum("n").alias("texts"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.sum(F.col("n") * F.col("size")).alias("chars"))
     content = F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), 1 - F.col("nlogn") / (F.col("texts") * F.log("pages")))).otherwise(1.0)
     grown = outline.groupBy("host").agg(F.count("*").alias("of")).where("of > 1")
@@ -355,37 +381,49 @@ def ruled(forest: DataFrame) -> DataFrame:
     return both.select("host", "id", (F.col("pages") + heard).alias("pages"), ((F.col("pages") * F.col("own") + heard * elsewhere) / (F.col("pages") + heard)).alias("importance"))
 
 
-def _main_text(statistics: bool) -> Column:
-    """The kept blocks of a row with ``blocks`` and ``rules`` (one for each path)."""
-    has = lambda b, bit: b["kind"].bitwiseAND(F.lit(bit)) != 0
+def _kept(statistics: bool) -> Column:
+    """Whether each block stays, of a row with ``codes`` and ``rules`` (one for each path)."""
+    has = lambda code, bit: code.bitwiseAND(F.lit(bit)) != 0
 
-    def kept(b: Column) -> Column:
-        rule = F.element_at("rules", b["at"] + 1)
+    def by_tree(code: Column) -> Column:
+        rule = F.element_at("rules", F.shiftright(code, 3) + 1)
         square = rule["pages"] * rule["pages"]
         weight = MOST_WEIGHT * square / (square + HALF_PAGES * HALF_PAGES) if statistics else F.lit(0.0)
-        prior = F.when(has(b, IS_NOISE), NOISE).when(has(b, IS_MAIN), MAIN).otherwise(UNKNOWN)
+        prior = F.when(has(code, IS_NOISE), NOISE).when(has(code, IS_MAIN), MAIN).otherwise(UNKNOWN)
         return (1 - weight) * prior + weight * rule["importance"] >= THRESHOLD
 
-    plain = lambda b: ~has(b, IS_NOISE) & ~has(b, IS_NAMED)
-    by_tree = F.when(F.col("rules").isNotNull(), F.filter("blocks", kept))
-    by_main = F.filter("blocks", lambda b: plain(b) & has(b, IS_MAIN))
-    some = lambda found: F.when(F.size(found) > 0, found)
-    return F.array_join(F.transform(F.coalesce(some(by_tree), some(by_main), F.filter("blocks", plain)), lambda b: b["text"]), "\n")
+    plain = lambda code: ~has(code, IS_NOISE) & ~has(code, IS_NAMED)
+    some = lambda kept: F.when(F.exists(kept, lambda k: k), kept)
+    tree = F.when(F.col("rules").isNotNull(), F.transform("codes", by_tree))
+    main = F.transform("codes", lambda code: plain(code) & has(code, IS_MAIN))
+    return F.coalesce(some(tree), some(main), F.transform("codes", plain))
 
 
 def extracted(pages: DataFrame, statistics: bool = True) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
     Null and empty pages have an empty text; pages without a host in their url are one
-    host; repeated rows count as pages and each give a row.  Without ``statistics`` the
-    trees' importances weigh nothing, which shows what tags alone would keep.
+    host; repeated rows count as pages and each give a row; very long pages are read whole.
+    An empty table gives no row.  Without ``statistics`` the trees' importances weigh
+    nothing, which shows what tags alone would keep.  Rows must come in the same order
+    whenever they are read, as those of a written table do.
     """
     outline = outlined(pages)
     rules = stored(ruled(trees(outline)), "rules").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     asked = outline.select("row", "host", F.posexplode("paths").alias("at", "p")).select("row", "host", "at", "p.id", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
     found = asked.join(rules, ["host", "id", "salt"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "pages", "importance"))).alias("rules"))  # a page's own paths
-    text = outline.select("row", "page_id", "url", "blocks").join(found, "row", "left").select("page_id", "url", _main_text(statistics).alias("text"))
-    return text.withColumn("n_chars", F.length("text").cast("long"))
+    judged = packed(pages).join(found, "row", "left").select("page_id", "url", _kept(statistics).alias("kept"), "texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        for batch in batches:
+            lines = [zstandard.decompress(x).decode().split("\n") if kept else [] for kept, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = ["\n".join(x for x, stays in zip(part, kept, strict=True) if stays) for part, kept in zip(lines, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    kinds = dict(pages.dtypes)
+    return judged.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
