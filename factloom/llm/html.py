@@ -35,12 +35,15 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import stored, table
+from factloom.llm.common import stored, table, worker_cache
 
 #: Importance below which a block goes.
 THRESHOLD = 0.5
@@ -92,17 +95,23 @@ class Node:
     above, seldom holds main text; ``named``: a name says so; ``main``: it is within what
     the page marks as main.  ``id`` is a hash of its style path."""
 
-    __slots__ = ("anchor", "children", "depth", "gone", "id", "main", "named", "noise", "parent", "style", "tag")
+    __slots__ = ("anchor", "children", "depth", "gone", "main", "named", "noise", "number", "parent", "style", "tag")
 
     def __init__(self, tag: str, style: str, parent, gone=False, noise=False, named=False, main=False):
         self.tag, self.style, self.parent = tag, style, parent
         self.gone, self.noise, self.named, self.main = gone, noise, named, main
         self.children: list = []  # nodes, and strings of text
+        self.number = 0 if parent is None else None
         self.depth = 0 if parent is None else parent.depth + 1
-        self.id = 0 if parent is None else _hashed(f"{parent.anchor.id}/{style}")
         #: The element whose path those of its children go on from.
         self.anchor = self if self.depth <= PATH_DEPTH else parent.anchor
 
+    @property
+    def id(self) -> int:
+        if self.number is None:
+            self.number = _hashed(f"{self.parent.anchor.id}/{self.style}")
+        return self.number
+
     def path(self) -> list[int]:
         """Ids from this element up to the root."""
         out, node = [self.id], self.anchor if self.anchor is not self else self.parent
@@ -113,8 +122,6 @@ class Node:
 
 
 def _hashed(text: str) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
@@ -127,8 +134,14 @@ def _named(names: list[str], known: frozenset) -> bool:
     return False
 
 
-def _element(tag: str, attributes: str, parent: Node) -> Node:
-    """Digits in names do not tell styles apart."""
+TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+#: What attributes of a tag say, as a worker remembers it, and how many of them.
+CACHE_TAGS = 50_000
+
+
+def _said(tag: str, attributes: str) -> tuple:
+    """(style, unseen, by others, layout, layout within main, roles) of a tag; digits in
+    names do not tell styles apart."""
     names, roles, unseen = [], set(), False
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
@@ -143,19 +156,29 @@ def _element(tag: str, attributes: str, parent: Node) -> Node:
         elif key == "style":
             unseen = unseen or bool(UNSEEN.search(value))
     style = tag + "".join("." + x for x in sorted({re.sub(r"\d+", "0", n.lower()) for n in names})) + "".join("@" + x for x in sorted(roles))
-    of_page = tag in ("html", "body", "main")
-    gone = parent.gone or unseen or tag in NEVER or (not of_page and _named(names, OTHERS))
-    noise = parent.noise or bool(roles & NOISE_ROLES) or (tag in NOISE_TAGS and not (tag == "header" and parent.main))
+    telling = names if tag not in ("html", "body", "main") else []
+    layout = telling if tag != "article" else []
+    return style, unseen, _named(telling, OTHERS), _named(layout, LAYOUT_NAMES), _named(layout, LAYOUT_NAMES - {"header", "masthead"}), roles
+
+
+def _element(tag: str, attributes: str, parent: Node, known: dict) -> Node:
+    key = (tag, attributes if attributes and TELLING.search(attributes) else "")
+    if key not in known:
+        if len(known) >= CACHE_TAGS:
+            known.clear()
+        known[key] = _said(*key)
+    style, unseen, others, layout, within_main, roles = known[key]
+    gone = parent.gone or unseen or others or tag in NEVER
+    noise = parent.noise or (tag in NOISE_TAGS and not (tag == "header" and parent.main)) or bool(roles & NOISE_ROLES)
     main = parent.main or tag in MAIN_TAGS or bool(roles & MAIN_ROLES)
-    layout = LAYOUT_NAMES - {"header", "masthead"} if parent.main else LAYOUT_NAMES
-    named = parent.named or (not of_page and tag != "article" and _named(names, layout))
-    return Node(tag, style, parent, gone, noise, named, main)
+    return Node(tag, style, parent, gone, noise, parent.named or (within_main if parent.main else layout), main)
 
 
 def parsed(page: str | None) -> Node:
     """The page's tree.  Missing end tags are implied as browsers do for paragraphs, list
     items and table cells; an end tag without an open element is dropped."""
     root = Node("#root", "", None)
+    known = worker_cache().setdefault("tags", {})
     text = page or ""
     at, open_node = 0, root
     position = 0
@@ -188,7 +211,7 @@ def parsed(page: str | None) -> Node:
             if node is not root:
                 open_node = closed(node)
             elif tag == "p":
-                open_node.children.append(_element("p", "", open_node))
+                open_node.children.append(_element("p", "", open_node, known))
             continue
         if tag in BLOCKS and opened["p"]:
             # An open paragraph ends where a block begins.
@@ -205,7 +228,7 @@ def parsed(page: str | None) -> Node:
                 open_node = closed(node)
                 if tag == "tr" and open_node.tag == "tr":
                     open_node = closed(open_node)
-        node = _element(tag, match[3], open_node)
+        node = _element(tag, match[3], open_node, known)
         open_node.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}[^>]*>", re.I).search(text, position)
@@ -225,7 +248,8 @@ def blocks(root: Node) -> list[tuple[Node, str]]:
 
     def flush(holder: Node) -> None:
         if pieces:
-            text = " ".join(entities.unescape("".join(pieces)).split())
+            text = "".join(pieces)
+            text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text:
                 out.append((holder, text))
             pieces.clear()
@@ -271,9 +295,14 @@ def layouts(root: Node) -> Iterator[tuple[Node, str]]:
 #: Bits of a block's kind.
 IS_NOISE, IS_NAMED, IS_MAIN = 1, 2, 4
 KINDS = 8
-_PATH = pa.struct([("id", pa.int64()), ("up", pa.list_(pa.int64()))])
-_SHAPE = pa.struct([("id", pa.int64()), ("shape", pa.int64())])
-_TEXT = pa.struct([("id", pa.int64()), ("hash", pa.int64()), ("size", pa.int32())])
+
+
+def _lists(rows: list[list[tuple]], kinds: dict[str, pa.DataType]) -> pa.ListArray:
+    """An array of structs for each row."""
+    flat = [x for row in rows for x in row]
+    ends = pa.array([0, *accumulate(map(len, rows))], pa.int32())
+    columns = list(zip(*flat, strict=True)) or [()] * len(kinds)
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds)))
 
 
 def host_of(url):
@@ -296,6 +325,8 @@ def outlined(pages: DataFrame) -> DataFrame:
     text, as a hash with the size).  Written once."""
     source = _numbered(pages).select("row", host_of(F.col("url")).alias("host"), "html")
 
+    kinds = ({"id": pa.int64(), "up": pa.list_(pa.int64())}, {"id": pa.int64(), "shape": pa.int64()}, {"id": pa.int64(), "hash": pa.int64(), "size": pa.int32()})
+
     def outline(page: str | None) -> tuple[list, list, list]:
         root = parsed(page)
         found = blocks(root)
@@ -309,7 +340,7 @@ def outlined(pages: DataFrame) -> DataFrame:
             for low in range(0, batch.num_rows, 128):
                 part = batch.slice(low, 128)
                 found = zip(*map(outline, part.column(2).to_pylist()), strict=True)
-                lists = [pa.array([[dict(zip((f.name for f in kind), x, strict=True)) for x in xs] for xs in rows], pa.list_(kind)) for rows, kind in zip(found, (_PATH, _SHAPE, _TEXT), strict=True)]
+                lists = [_lists(rows, kind) for rows, kind in zip(found, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], *lists], names=["row", "host", "paths", "shapes", "texts"])
 
     return stored(source.mapInArrow(run, "row long, host string, paths array<struct<id: long, up: array<long>>>, shapes array<struct<id: long, shape: long>>, texts array<struct<id: long, hash: long, size: int>>"), "outline")
@@ -321,8 +352,6 @@ def packed(pages: DataFrame) -> DataFrame:
     source = _numbered(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
         press = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for low in range(0, batch.num_rows, 128):
@@ -415,8 +444,6 @@ def extracted(pages: DataFrame, statistics: bool = True) -> DataFrame:
     judged = packed(pages).join(found, "row", "left").select("page_id", "url", _kept(statistics).alias("kept"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
         for batch in batches:
             lines = [zstandard.decompress(x).decode().split("\n") if kept else [] for kept, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             texts = ["\n".join(x for x, stays in zip(part, kept, strict=True) if stays) for part, kept in zip(lines, batch.column(2).to_pylist(), strict=True)]
