@@ -55,7 +55,8 @@ def version_compare(a: Column, b: Column) -> Column:
 
 
 def satisfies(version: Column, range_: Column) -> Column:
-    """'yes', 'no' or 'unknown' for the plain ranges: exact, ^, ~, >=, >, <=, <, *, x."""
+    """'yes', 'no' or 'unknown' for the plain ranges: exact, ^, ~, >=, >, <=, <, *, x.  A
+    partial version stands for all that begin with it, so >1 starts at 2.0.0."""
     operator = F.regexp_extract(range_, r"^\s*(\^|~|>=|<=|>|<|=)?", 1)
     plain = range_.rlike(r"^\s*(\^|~|>=|<=|>|<|=)?\s*v?[0-9]+(\.[0-9]+){0,2}\s*$") & version.rlike(r"^v?[0-9]+\.[0-9]+\.[0-9]+$")
     v, r = version_parts(version), version_parts(F.regexp_replace(range_, r"^\s*(\^|~|>=|<=|>|<|=)?\s*", ""))
@@ -68,8 +69,8 @@ def satisfies(version: Column, range_: Column) -> Column:
         F.when(operator == "^", (order >= 0) & same(caret_keep))
         .when(operator == "~", (order >= 0) & same(F.least(fixed, F.lit(2))))
         .when(operator == ">=", order >= 0)
-        .when(operator == "<=", order <= 0)
-        .when(operator == ">", order > 0)
+        .when(operator == "<=", (order <= 0) | same(fixed))
+        .when(operator == ">", (order > 0) & ~same(fixed))
         .when(operator == "<", order < 0)
         .otherwise(same(fixed))
     )

@@ -46,10 +46,8 @@ def first_values(rows: DataFrame, keys: list[str], value: str, limit: int, out:
 
 def finding_summary(findings: DataFrame, columns: list[str]) -> DataFrame:
     """Counts for the whole and for each value of each column: columns and n."""
-    sets = ", ".join(["()", *(f"(`{c}`)" for c in columns)])
-    findings.createOrReplaceTempView("_summary_rows")
-    names = ", ".join(f"`{c}`" for c in columns)
-    return findings.sparkSession.sql(f"SELECT {names}, grouping_id({names}) AS gid, count(*) AS n FROM _summary_rows GROUP BY GROUPING SETS ({sets})")
+    by = findings.groupingSets([[], *([c] for c in columns)], *columns)
+    return by.agg(F.grouping_id().alias("gid"), F.count("*").alias("n"))
 
 
 def graph_completeness(projects: DataFrame, graphs: DataFrame, keys: list[str], group: str) -> DataFrame:

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from factloom.operators.graph import stored
 
 
-def prefix_cut(rows: DataFrame, order: str, size: str, most: int, buckets: int = 64) -> DataFrame:
+def prefix_cut(rows: DataFrame, order: str, size: str, most: int, buckets: int | None = None) -> DataFrame:
     """Rows, by ``order``, before the running total of ``size`` first exceeds ``most``.
 
     ``order`` is a unique number.  Totals are made in two levels (ranges of the order,
     then within a range), so no single task sorts all rows.
     """
+    buckets = buckets or max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # as many as whoever runs the job sized
     borders = rows.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)
     cuts = F.array(*[F.lit(x) for x in sorted(set(borders))]) if borders else F.array().cast("array<double>")
     part = rows.withColumn("_b", F.size(F.filter(cuts, lambda x: x < F.col(order))))

@@ -15,17 +15,14 @@ def nearest_ancestor(items: DataFrame, roots: DataFrame, item_dir: str, root_dir
     (null without one).  Ties of equal depth go by ``order``; ``extra`` columns must be
     equal on both sides.  Rows of items may repeat."""
     extra = extra or []
-    keyed = items.withColumn("_id", F.monotonically_increasing_id())
-    chain = keyed.select("_id", *extra, F.explode(paths.ancestors(F.col(item_dir), strict=strict)).alias("_at"))
+    # Keyed by the different folders, so nothing rests on the order in which rows come.
+    places = items.select(F.col(item_dir).alias("_dir"), *extra).distinct()
+    chain = places.select("_dir", *extra, F.explode(paths.ancestors(F.col("_dir"), strict=strict)).alias("_at"))
     hits = chain.join(roots.withColumn("_at", F.col(root_dir)), ["_at", *extra])
     kept = [c for c in roots.columns if c not in extra]
-    ranked = F.struct(paths.depth(F.col("_at")).alias("d"), *[F.struct(*kept).alias("row")])
-    if order:
-        w = Window.partitionBy("_id").orderBy(paths.depth(F.col("_at")).desc(), *order)
-        best = hits.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("_id", *kept)
-    else:
-        best = hits.groupBy("_id").agg(F.max(ranked).alias("m")).select("_id", "m.row.*")
-    return keyed.join(best, "_id", "left").drop("_id")
+    w = Window.partitionBy("_dir", *extra).orderBy(paths.depth(F.col("_at")).desc(), *(order or [F.struct(*[F.col(c) for c in kept]).desc()]))
+    best = hits.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("_dir", *extra, *kept)
+    return items.withColumn("_dir", F.col(item_dir)).join(best, ["_dir", *extra], "left").drop("_dir").select(*items.columns, *kept)
 
 
 def longest_prefix(items: DataFrame, prefixes: DataFrame, path: str, prefix: str, separator: str = "/") -> DataFrame:

@@ -9,13 +9,14 @@ can lie in one table if paths are prefixed by repository.
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import names, paths, tables
 from factloom.operators import graph, joins, rules
-from factloom.sources import lockfiles, manifests, references
+from factloom.sources import configs, lockfiles, manifests, references
 
 JS = "javascript-typescript"
 USAGE = ["dependency", "file", "form", "via", "type_only", "removed_in_pr"]
@@ -97,17 +98,35 @@ def both_of(key: str) -> Column:
     return F.concat(F.col("lockfile"), F.lit("\u0000"), F.col(key))
 
 
-def analysed(files: DataFrame, extra_tools: dict | None = None) -> DataFrame:
+def npm_peers(files: DataFrame, resolved: bool) -> DataFrame:
+    """ecosystem, project, direct, member: peers that direct dependencies expect."""
+    rows = lockfiles.npm_peers(lockfiles.npm_packages(files)).where(F.col("resolved") == resolved)
+    return rows.select(F.lit(JS).alias("ecosystem"), paths.directory(F.col("lockfile")).alias("project"), "direct", "member")
+
+
+def used(files: DataFrame, declared: DataFrame) -> DataFrame:
+    """All usages of declared dependencies: imports, scripts, CI and configuration."""
+    named = configs.usages(files, declared.where(F.col("ecosystem") == JS))
+    return reduce(DataFrame.unionByName, [javascript_usages(files, declared), _usage(graph.stored(named), "name", "config"), python_usages(files), go_usages(files, declared), rust_usages(files, declared)])
+
+
+def analysed(files: DataFrame, extra_tools: dict | None = None, base: DataFrame | None = None) -> DataFrame:
     """Findings of the repository (see ``rules.findings``).
 
-    Only JavaScript also has its scripts and CI read, so only there can absence be told;
-    elsewhere a dependency without imports is noted for review.
+    Only JavaScript also has its scripts, CI and configuration read, so only there can
+    absence be told; elsewhere a dependency without imports is noted for review.  With
+    ``base``, the files before a pull request, usages that its head has no more count as
+    removed.
     """
     spark = files.sparkSession
-    declared = manifests.declared(files)
-    own = files.where(~paths.has_excluded_segment(F.col("path")))
-    usages = javascript_usages(own, declared).unionByName(python_usages(own)).unionByName(go_usages(own, declared)).unionByName(rust_usages(own, declared))
+    # What is read is written once: every later step uses it, and the plans stay small.
+    declared = graph.stored(manifests.declared(files))
+    inside = lambda f: f.where(~paths.has_excluded_segment(F.col("path")))
+    own = inside(files)
+    usages = graph.stored(used(own, declared))
+    if base is not None:
+        gone = graph.stored(used(inside(base), declared)).join(usages.select("dependency", "file", "via"), ["dependency", "file", "via"], "left_anti")
+        usages = usages.unionByName(gone.withColumn("removed_in_pr", F.lit(True)))
     ecosystems = spark.createDataFrame([(JS, True, True), ("python", True, False), ("rust", True, False), ("go", True, False)], "ecosystem string, usages_analysed boolean, references_analysed boolean")
-    none = spark.createDataFrame([], "ecosystem string, project string, direct string, member string")
     dependencies = declared.groupBy("ecosystem", "project", "name", "kind").agg(F.min("declared_in").alias("declared_in"), F.min("specifier_type").alias("specifier_type"))
-    return rules.findings(dependencies, usages, npm_closure(own, declared), none, none, ecosystems, allowlisted(F.col("ecosystem"), F.col("name"), extra_tools), paths.is_non_shipped(F.col("file")))
+    return rules.findings(dependencies, usages, npm_closure(own, declared), npm_peers(own, True), npm_peers(own, False), ecosystems, allowlisted(F.col("ecosystem"), F.col("name"), extra_tools), paths.is_non_shipped(F.col("file")), pull_request=base is not None)

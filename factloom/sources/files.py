@@ -74,7 +74,11 @@ def with_rank(rows: DataFrame, order: str) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    ranged = rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
+    from factloom.operators.graph import stored
+
+    # The ranges are written once: their borders come from a sample, and both reads below
+    # must see the same ones.
+    ranged = stored(rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").count()
     before = sizes.select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_before"))  # a row for each range
     local = ranged.withColumn("_l", F.row_number().over(Window.partitionBy("_p").orderBy(order)))

@@ -12,7 +12,7 @@ from factloom.functions import names, paths
 
 
 def npm_packages(files: DataFrame) -> DataFrame:
-    """lockfile, key, name, version, dev, origin and requires (names) of the
+    """lockfile, key, name, version, dev, origin, requires and peers (names) of the
     packages of package-lock.json files that have a packages map; the root has key ''."""
     rows = files.where(paths.file_name(F.col("path")).isin("package-lock.json", "npm-shrinkwrap.json")).withColumn("v", F.try_parse_json("text"))
     each = rows.select(F.col("path").alias("lockfile"), F.explode(F.try_variant_get("v", "$.packages", "map<string,variant>")).alias("key", "p"))
@@ -20,7 +20,86 @@ def npm_packages(files: DataFrame) -> DataFrame:
     requires = F.array_union(F.map_keys(table("dependencies")), F.map_keys(table("optionalDependencies")))
     text = lambda f: F.try_variant_get("p", f"$.{f}", "string")
     name = F.when(F.col("key") == "", text("name")).otherwise(F.coalesce(text("name"), names.name_in_modules(F.col("key"))))
-    return each.select("lockfile", "key", name.alias("name"), text("version").alias("version"), F.coalesce(F.try_variant_get("p", "$.dev", "boolean"), F.lit(False)).alias("dev"), names.registry_origin(text("resolved")).alias("origin"), requires.alias("requires"))
+    return each.select("lockfile", "key", name.alias("name"), text("version").alias("version"), F.coalesce(F.try_variant_get("p", "$.dev", "boolean"), F.lit(False)).alias("dev"), names.registry_origin(text("resolved")).alias("origin"), requires.alias("requires"), F.map_keys(table("peerDependencies")).alias("peers"))
+
+
+def npm_peers(packages: DataFrame) -> DataFrame:
+    """lockfile, direct, member and resolved: what direct dependencies expect beside them,
+    and whether a package of that name is at the top."""
+    directs = packages.where("key = ''").select("lockfile", F.explode("requires").alias("direct"))
+    placed = directs.withColumn("key", F.concat(F.lit("node_modules/"), "direct")).join(packages.select("lockfile", "key", "peers"), ["lockfile", "key"])
+    need = placed.select("lockfile", "direct", F.explode("peers").alias("member"))
+    top = packages.select("lockfile", F.regexp_extract("key", r"^node_modules/((?:@[^/]+/)?[^/]+)$", 1).alias("member"), F.lit(True).alias("there")).where("member != ''")
+    return need.join(top.distinct(), ["lockfile", "member"], "left").select("lockfile", "direct", "member", F.coalesce("there", F.lit(False)).alias("resolved"))
+
+
+def pnpm(files: DataFrame) -> DataFrame:
+    """lockfile, src, name, reference, dev and dst of pnpm-lock.yaml files, versions 6 and 9.
+
+    src is a package's key (name@version, with what its peers add) or 'importer:' and the
+    project's folder; dst is the key that the reference picks, null for links and for what
+    is not locked.  The format's indentation is read, a file at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"dependencies": False, "optionalDependencies": False, "devDependencies": True}
+        for batch in batches:
+            rows, keys = [], []
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                section, owner, dev, name = "", None, None, None
+                for line in (text or "").splitlines():
+                    word = line.strip()
+                    if not word or word.startswith("#"):
+                        continue
+                    deep = len(line) - len(line.lstrip(" "))
+                    key, _, value = word.partition(": ") if ": " in word else (word.removesuffix(":"), "", "")
+                    key, value = key.strip("'\""), value.strip().strip("'\"")
+                    if deep == 0:
+                        section, owner, dev = key, "importer:." if key in kinds else None, kinds.get(key)
+                    elif section in kinds:  # version 6 with a single importer
+                        if deep == 2:
+                            name = key
+                            if value:
+                                rows.append((path, owner, name, value, dev))
+                        elif key == "version":
+                            rows.append((path, owner, name, value, dev))
+                    elif section == "importers":
+                        if deep == 2:
+                            owner, dev = "importer:" + key, None
+                        elif deep == 4:
+                            dev = kinds.get(key)
+                        elif deep == 6 and dev is not None:
+                            name = key
+                        elif deep == 8 and key == "version" and dev is not None:
+                            rows.append((path, owner, name, value, dev))
+                    elif section in ("packages", "snapshots"):
+                        if deep == 2:
+                            owner, dev = key.removeprefix("/"), None
+                            keys.append((path, owner))
+                        elif deep == 4:
+                            dev = kinds.get(key)
+                        elif deep == 6 and dev is not None and value:
+                            rows.append((path, owner, key, value, False))
+            parts = [[(*r, 0) for r in rows], [(p, k, None, None, None, 1) for p, k in keys]]
+            columns = list(zip(*(x for part in parts for x in part), strict=True)) or [()] * 6
+            types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, types, strict=True)], names=["lockfile", "src", "name", "reference", "dev", "is_key"])
+
+    rows = files.where(paths.file_name(F.col("path")) == "pnpm-lock.yaml").select("path", "text").mapInArrow(run, "lockfile string, src string, name string, reference string, dev boolean, is_key int")
+    keys = rows.where("is_key = 1").select("lockfile", F.col("src").alias("dst")).distinct()
+    need = rows.where("is_key = 0").drop("is_key")
+    bare = F.regexp_replace("reference", "^/", "")
+    asked = need.select("*", F.explode(F.array(F.concat("name", F.lit("@"), bare), bare)).alias("dst"))
+    hits = asked.join(keys, ["lockfile", "dst"], "left_semi").groupBy("lockfile", "src", "name", "reference").agg(F.min("dst").alias("dst"))
+    return need.join(hits, ["lockfile", "src", "name", "reference"], "left")
+
+
+def pipfile_packages(files: DataFrame) -> DataFrame:
+    """lockfile, name, version (without ==) and dev of Pipfile.lock files."""
+    rows = files.where(paths.file_name(F.col("path")) == "Pipfile.lock").withColumn("v", F.try_parse_json("text"))
+    each = lambda section, dev: rows.select(F.col("path").alias("lockfile"), F.explode(F.try_variant_get("v", f"$.{section}", "map<string,variant>")).alias("name", "p"), F.lit(dev).alias("dev"))
+    both = each("default", False).unionByName(each("develop", True))
+    return both.select("lockfile", names.python_name(F.col("name")).alias("name"), F.regexp_replace(F.try_variant_get("p", "$.version", "string"), "^==+", "").alias("version"), "dev")
 
 
 def npm_edges(packages: DataFrame) -> DataFrame:
