@@ -100,21 +100,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Powers of a base that a worker keeps; longer tables are made for one use.
+KEPT_POWERS = 1 << 17
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n (base is odd)."""
     have = worker_cache().setdefault("powers", {})
-    if base not in have or len(have[base][0]) < n:
-        size = max(n, 1 << 16) * 2
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            x = np.full(size, b, np.uint64)
-            x[0] = 1
-            both.append(np.multiply.accumulate(x))
-        have[base] = tuple(both)
+    if n > KEPT_POWERS:
+        return _powers(base, n)
+    if base not in have:
+        have[base] = _powers(base, KEPT_POWERS)
     up, down = have[base]
     return up[:n], down[:n]
 
 
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    both = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        x = np.full(n, b, np.uint64)
+        x[0] = 1
+        both.append(np.multiply.accumulate(x))
+    return both[0], both[1]
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """Polynomial hashes modulo 2**64 of values[start:end], all from one prefix sum."""
     up, down = powers(base, len(values) + 1)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import table
+from factloom.llm.common import CHUNK_BYTES, slices, table, text_bytes
 
 #: Labelled rows that the models are fitted on at most, and features at most.
 TRAIN_ROWS = 8_000
@@ -34,6 +34,9 @@ PREFIXES = (4, 5, 6, 7)
 WORD = re.compile(r"\w+")
 #: Words whose features a task remembers.
 CACHE_WORDS = 200_000
+#: Bytes of text whose features a task holds at once to learn from: some hundred times as
+#: much memory.
+TRAIN_BYTES = 1 << 17
 
 #: In the order of the chain: whether a text is toxic at all is asked last, of a model that
 #: also sees how probable the two kinds are.
@@ -62,6 +65,14 @@ def counts_of(text: str | None) -> dict[str, int]:
     return out
 
 
+def _parts(batch: pa.RecordBatch, text_at: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts, and rows of ``FEATURES`` numbers, take about
+    ``limit`` bytes; a longer text is taken alone."""
+    lengths = np.diff(text_bytes(batch.column(text_at))[1])
+    for low, high in slices(lengths + 4 * FEATURES, limit):
+        yield batch.slice(low, high - low)
+
+
 @dataclass
 class Chain:
     """weights[c]: of the features, then of earlier categories, then the intercept."""
@@ -125,8 +136,7 @@ def trained(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            for part in _parts(batch, 1, TRAIN_BYTES):
                 found = [list(counts_of(t).items()) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(found, pa.map_(pa.string(), pa.int32()))], names=["doc_id", *categories, "f"])
 
@@ -176,11 +186,10 @@ def _fill(x: np.ndarray, texts: list, vocabulary: dict[str, int], known: dict) -
 
 
 def _judged(batches: Iterator[pa.RecordBatch], chain: Chain, text_at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """(rows, their probabilities), some hundred rows at a time."""
+    """(rows, their probabilities), some rows at a time."""
     known: dict[str, list[int] | None] = {}
     for batch in batches:
-        for low in range(0, batch.num_rows, 500):
-            part = batch.slice(low, 500)
+        for part in _parts(batch, text_at):
             x = np.zeros((part.num_rows, len(chain.vocabulary)))
             _fill(x, part.column(text_at).to_pylist(), chain.vocabulary, known)
             yield part, chain.probabilities(np.log1p(x))
