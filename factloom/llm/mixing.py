@@ -231,7 +231,9 @@ def fitted_rates(members: DataFrame, targets: dict[str, float], domains: tuple[s
     """The fit for ``members`` (_tokens, _posterior).
 
     The targets add up to as many tokens as there are; with an anchor, to as many as leave
-    that domain's rate a little above 1.
+    that domain's rate a little above 1.  Rows are then thinned, which brings no domain more
+    tokens, so the target of another domain that has fewer is what it has: else rows that
+    may just be of that domain would take the place of the anchor's.
     """
     k = range(len(domains))
     pairs = [(i, j) for i in k for j in k if i <= j]
@@ -255,6 +257,8 @@ def fitted_rates(members: DataFrame, targets: dict[str, float], domains: tuple[s
     if anchor is not None and targets.get(anchor):
         total = HEADROOM * totals[domains.index(anchor)] * weight / targets[anchor]
     want = [total * targets.get(d, 0.0) / weight for d in domains]
+    if anchor is not None:
+        want = [w if d == anchor else min(w, t) for d, w, t in zip(domains, want, totals, strict=True)]
     if everything and total:
         scale = [w or NO_TARGET * total for w in want]
         pull = [PULL * s * s / everything for s in scale]
