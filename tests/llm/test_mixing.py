@@ -107,6 +107,16 @@ def test_resampling_keeps_clean_texts(spark, documents):
     assert sum(by["low"]) < 0.6 * len(by["low"])
 
 
+def test_thinning_gives_no_clean_text_for_what_is_missing(spark):
+    """Toxic tokens are below their target, and only texts that are nearly surely clean have any."""
+    kinds = [[0.98, 0.02, 0.0], [0.97, 0.02, 0.01], [0.1, 0.9, 0.0]]
+    rows = [(100, q) for q, n in zip(kinds, (60, 40, 10), strict=True) for _ in range(n)]
+    fit = mixing.fitted_rates(spark.createDataFrame(rows, "_tokens long, _posterior array<double>"), mixing.TARGETS, anchor="clean")
+    sure, nearly, low = (max(0.0, 1 - sum(s * x for s, x in zip(fit.steps, q, strict=True))) for q in kinds)
+    assert min(sure, nearly) >= 1 > low
+    assert fit.want["toxic"] == pytest.approx(40)
+
+
 def test_native_plan(spark, documents):
     texts, labels = corpus(30)
     plan = mixing.mixed(documents(texts), spark.createDataFrame(labels, LABELS))._jdf.queryExecution().toString()
