@@ -19,6 +19,7 @@ from factloom.operators import graph, joins, rules
 from factloom.sources import configs, lockfiles, manifests, references
 
 JS = "javascript-typescript"
+NUL = "\u0000"
 USAGE = ["dependency", "file", "form", "via", "type_only", "removed_in_pr"]
 
 
@@ -81,26 +82,57 @@ def rust_usages(files: DataFrame, declared: DataFrame) -> DataFrame:
     return _usage(references.rust(files).join(own, "crate"), "name", "import")
 
 
-def npm_closure(files: DataFrame, declared: DataFrame) -> DataFrame:
+def locked_closure(files: DataFrame, declared: DataFrame, packages: DataFrame) -> DataFrame:
     """ecosystem, project, direct, member: names that each direct dependency of a project
-    with its own package-lock.json reaches."""
-    packages = lockfiles.npm_packages(files)
-    edges = lockfiles.npm_edges(packages).where("dst is not null")
-    keyed = edges.select(both_of("src").alias("src"), both_of("dst").alias("dst")).where(~F.col("src").endswith("\u0000"))
-    starts = edges.where("src = ''").select(both_of("dst").alias("src"))
-    reach = graph.closure(keyed, starts=starts)
-    name = lambda c: names.name_in_modules(F.split(c, "\u0000")[1])
-    rows = reach.select(paths.directory(F.split("src", "\u0000")[0]).alias("project"), name(F.col("src")).alias("direct"), name(F.col("dst")).alias("member")).where("direct != member").distinct()
-    return rows.select(F.lit(JS).alias("ecosystem"), "project", "direct", "member")
+    reaches in the lockfile that holds for it.  ``packages`` are those of install trees.
 
-
-def both_of(key: str) -> Column:
-    return F.concat(F.col("lockfile"), F.lit("\u0000"), F.col(key))
-
-
-def npm_peers(files: DataFrame, resolved: bool) -> DataFrame:
+    A node is lockfile, name and key, so one closure serves all kinds of lockfiles.
+    """
+    installed = lambda key: names.name_in_modules(F.col(key))
+    folder = paths.directory(F.col("lockfile"))
+    below = lambda f, path: F.when(path.isin("", "."), f).when(f == ".", path).otherwise(F.concat(f, F.lit("/"), path))
+    tree = lockfiles.npm_edges(packages).where("dst is not null")
+    root = ~F.col("src").contains("node_modules/")
+    steps = [tree.where(~root).select(node(installed("src"), "src").alias("src"), node(installed("dst"), "dst").alias("dst"))]
+    starts = [tree.where(root).select(F.lit(JS).alias("ecosystem"), below(folder, F.col("src")).alias("project"), installed("dst").alias("direct"), node(installed("dst"), "dst").alias("src"))]
+
+    pnpm = lockfiles.pnpm(files).where("dst is not null")
+    importer = F.col("src").startswith("importer:")
+    keyed = lambda key: node(names.name_of_key(F.col(key)), key)
+    steps.append(pnpm.where(~importer).select(keyed("src").alias("src"), keyed("dst").alias("dst")))
+    starts.append(pnpm.where(importer).select(F.lit(JS), below(folder, F.regexp_replace("src", "^importer:", "")), "name", keyed("dst")))
+
+    yarn = graph.stored(lockfiles.yarn_classic(files).unionByName(lockfiles.yarn_berry(files)))
+    named = yarn.select("lockfile", "entry", node(F.col("name"), "entry").alias("node"))
+    at = lambda out, entry: named.select("lockfile", F.col("entry").alias(entry), F.col("node").alias(out))
+    steps.append(lockfiles.yarn_edges(yarn).where("dst is not null").join(at("_s", "src"), ["lockfile", "src"]).join(at("_d", "dst"), ["lockfile", "dst"]).select("_s", "_d"))
+    own = declared.where(F.col("ecosystem") == JS).select("project", "name", "constraint").distinct()
+    asked = own.withColumn("pattern", F.explode(F.array_distinct(F.array(F.concat("name", F.lit("@"), "constraint"), lockfiles.berry_pattern(F.col("name"), F.col("constraint"))))))
+    patterns = yarn.select("lockfile", "entry", F.explode("patterns").alias("pattern"))
+    of = lambda file: lockfiles.nearest_lockfile(declared.select("project").distinct(), files.where(paths.file_name(F.col("path")).isin(*file)), file).where("lockfile is not null")
+    starts.append(asked.join(of(["yarn.lock"]), "project").join(patterns, ["lockfile", "pattern"]).select(F.lit(JS), "project", "name", node(F.col("name"), "entry")))
+
+    rust = F.col("lockfile").endswith("Cargo.lock")
+    shown = lambda c: F.when(rust, F.col(c)).otherwise(names.python_name(F.col(c)))
+    tables_ = lockfiles.name_edges(graph.stored(lockfiles.toml_packages(files))).where("dst is not null")
+    steps.append(tables_.select(node(shown("src"), shown("src")).alias("src"), node(shown("dst"), shown("dst")).alias("dst")))
+    for ecosystem, kinds in (("rust", ["Cargo.lock"]), ("python", ["uv.lock", "poetry.lock"])):
+        mine = declared.where(F.col("ecosystem") == ecosystem).select("project", "name").distinct()
+        starts.append(mine.join(of(kinds), "project").select(F.lit(ecosystem), "project", "name", node(F.col("name"), "name")))
+
+    edges, heads = reduce(DataFrame.union, steps), graph.stored(reduce(DataFrame.union, starts).distinct())
+    reach = graph.closure(edges, starts=heads.select("src").distinct())
+    rows = heads.join(reach, "src").select("ecosystem", "project", "direct", F.split("dst", NUL)[1].alias("member"))
+    return rows.where("direct != member").distinct()
+
+
+def node(name: Column, key: str | Column) -> Column:
+    return F.concat_ws(NUL, F.col("lockfile"), name, F.col(key).cast("string") if isinstance(key, str) else key)
+
+
+def peers_of(packages: DataFrame, resolved: bool) -> DataFrame:
     """ecosystem, project, direct, member: peers that direct dependencies expect."""
-    rows = lockfiles.npm_peers(lockfiles.npm_packages(files)).where(F.col("resolved") == resolved)
+    rows = lockfiles.npm_peers(packages).where(F.col("resolved") == resolved)
     return rows.select(F.lit(JS).alias("ecosystem"), paths.directory(F.col("lockfile")).alias("project"), "direct", "member")
 
 
@@ -128,5 +160,6 @@ def analysed(files: DataFrame, extra_tools: dict | None = None, base: DataFrame
         gone = graph.stored(used(inside(base), declared)).join(usages.select("dependency", "file", "via"), ["dependency", "file", "via"], "left_anti")
         usages = usages.unionByName(gone.withColumn("removed_in_pr", F.lit(True)))
     ecosystems = spark.createDataFrame([(JS, True, True), ("python", True, False), ("rust", True, False), ("go", True, False)], "ecosystem string, usages_analysed boolean, references_analysed boolean")
+    packages = graph.stored(reduce(DataFrame.unionByName, [lockfiles.npm_packages(own), lockfiles.npm_tree_packages(own), lockfiles.bun_packages(own)]))
     dependencies = declared.groupBy("ecosystem", "project", "name", "kind").agg(F.min("declared_in").alias("declared_in"), F.min("specifier_type").alias("specifier_type"))
-    return rules.findings(dependencies, usages, npm_closure(own, declared), npm_peers(own, True), npm_peers(own, False), ecosystems, allowlisted(F.col("ecosystem"), F.col("name"), extra_tools), paths.is_non_shipped(F.col("file")), pull_request=base is not None)
+    return rules.findings(dependencies, usages, locked_closure(own, declared, packages), peers_of(packages, True), peers_of(packages, False), ecosystems, allowlisted(F.col("ecosystem"), F.col("name"), extra_tools), paths.is_non_shipped(F.col("file")), pull_request=base is not None)

@@ -5,10 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import names, paths
+from factloom.operators.graph import stored
+from factloom.sources.configs import plain_json
+
+#: Columns of the packages of install trees.
+PACKAGE = ["lockfile", "key", "name", "version", "dev", "origin", "requires", "peers"]
+
+
+def _table(variant: str, *places: str) -> Column:
+    """The first of the places in a variant that is an object of strings, else empty."""
+    return F.coalesce(*[F.try_variant_get(variant, p, "map<string,string>") for p in places], F.create_map().cast("map<string,string>"))
 
 
 def npm_packages(files: DataFrame) -> DataFrame:
@@ -23,6 +33,51 @@ def npm_packages(files: DataFrame) -> DataFrame:
     return each.select("lockfile", "key", name.alias("name"), text("version").alias("version"), F.coalesce(F.try_variant_get("p", "$.dev", "boolean"), F.lit(False)).alias("dev"), names.registry_origin(text("resolved")).alias("origin"), requires.alias("requires"), F.map_keys(table("peerDependencies")).alias("peers"))
 
 
+def npm_tree_packages(files: DataFrame) -> DataFrame:
+    """As ``npm_packages``, of package-lock.json files that only nest packages in packages
+    (version 1), with the install paths that the nesting means.  Such a file does not say
+    what the root requires; package.json beside it does.  A level is read at a time."""
+    rows = files.where(paths.file_name(F.col("path")).isin("package-lock.json", "npm-shrinkwrap.json")).withColumn("v", F.try_parse_json("text"))
+    rows = rows.where(F.try_variant_get("v", "$.packages", "variant").isNull())
+    inner = lambda v: F.to_json(F.try_variant_get(v, "$.dependencies", "variant"))
+    level = stored(rows.select(F.col("path").alias("lockfile"), F.lit("").alias("base"), inner("v").alias("inner")).where("inner is not null"))
+    beside = files.where(paths.file_name(F.col("path")) == "package.json").withColumn("v", F.try_parse_json("text"))
+    wanted = F.array_union(F.array_union(F.map_keys(_table("v", "$.dependencies")), F.map_keys(_table("v", "$.devDependencies"))), F.map_keys(_table("v", "$.optionalDependencies")))
+    declared = beside.select(paths.directory(F.col("path")).alias("folder"), wanted.alias("requires"))
+    no = F.array().cast("array<string>")
+    roots = level.withColumn("folder", paths.directory(F.col("lockfile"))).join(declared, "folder")
+    out = roots.select("lockfile", F.lit("").alias("key"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("version"), F.lit(False).alias("dev"), F.lit(None).cast("string").alias("origin"), "requires", no.alias("peers"))
+    while not level.isEmpty():
+        each = level.select("lockfile", "base", F.explode(F.try_variant_get(F.try_parse_json("inner"), "$", "map<string,variant>")).alias("name", "p"))
+        text = lambda f: F.try_variant_get("p", f"$.{f}", "string")
+        key = F.concat(F.when(F.col("base") != "", F.concat("base", F.lit("/"))).otherwise(""), F.lit("node_modules/"), "name")
+        found = stored(each.select("lockfile", key.alias("key"), "name", text("version").alias("version"), F.coalesce(F.try_variant_get("p", "$.dev", "boolean"), F.lit(False)).alias("dev"), names.registry_origin(text("resolved")).alias("origin"), F.map_keys(_table("p", "$.requires")).alias("requires"), no.alias("peers"), inner("p").alias("inner")))
+        out = out.unionByName(found.drop("inner"))
+        level = found.where("inner is not null").select("lockfile", F.col("key").alias("base"), "inner")
+    return out.select(PACKAGE)
+
+
+def bun_packages(files: DataFrame) -> DataFrame:
+    """As ``npm_packages``, of bun.lock files: keys are turned to install paths, those of
+    workspaces to their folders ('' for the root).  A file that does not parse has no rows."""
+    rows = files.where(paths.file_name(F.col("path")) == "bun.lock").select(F.col("path").alias("lockfile"), F.try_parse_json(plain_json(F.col("text"))).alias("v"))
+    first = r"^((?:@[^/]+/)?[^/]+)"
+    inside = lambda k: F.regexp_replace(k, r"((?:@[^/]+/)?[^/]+)(/|$)", "node_modules/$1$2")
+    spaces = rows.select("lockfile", F.explode(F.try_variant_get("v", "$.workspaces", "map<string,variant>")).alias("key", "p"))
+    sections = [F.map_keys(_table("p", f"$.{f}")) for f in ("dependencies", "devDependencies", "optionalDependencies")]
+    nothing = {"version": F.lit(None).cast("string"), "dev": F.lit(False), "origin": F.lit(None).cast("string")}
+    spaces = spaces.withColumns({"name": F.try_variant_get("p", "$.name", "string"), "requires": F.array_union(F.array_union(sections[0], sections[1]), sections[2]), "peers": F.map_keys(_table("p", "$.peerDependencies")), **nothing})
+    each = rows.select("lockfile", F.explode(F.try_variant_get("v", "$.packages", "map<string,variant>")).alias("k", "p"))
+    named = spaces.where("key != '' and name is not null").select("lockfile", F.col("name").alias("first"), F.col("key").alias("space"))
+    each = each.withColumn("first", F.regexp_extract("k", first, 1)).withColumn("rest", F.regexp_replace("k", first + "/?", "")).join(named, ["lockfile", "first"], "left")
+    # What is installed inside a workspace's folder is keyed by the workspace's name.
+    key = F.when(F.col("space").isNotNull() & (F.col("rest") != ""), F.concat("space", F.lit("/"), inside(F.col("rest")))).otherwise(inside(F.col("k")))
+    ident = F.try_variant_get("p", "$[0]", "string")
+    needs = F.array_union(F.map_keys(_table("p", "$[2].dependencies", "$[1].dependencies")), F.map_keys(_table("p", "$[2].optionalDependencies", "$[1].optionalDependencies")))
+    placed = each.select("lockfile", key.alias("key"), names.name_of_key(ident).alias("name"), names.version_of_key(ident).alias("version"), F.lit(False).alias("dev"), names.registry_origin(F.try_variant_get("p", "$[1]", "string")).alias("origin"), needs.alias("requires"), F.map_keys(_table("p", "$[2].peerDependencies", "$[1].peerDependencies")).alias("peers"))
+    return placed.select(PACKAGE).unionByName(spaces.select(PACKAGE))
+
+
 def npm_peers(packages: DataFrame) -> DataFrame:
     """lockfile, direct, member and resolved: what direct dependencies expect beside them,
     and whether a package of that name is at the top."""
@@ -104,11 +159,13 @@ def pipfile_packages(files: DataFrame) -> DataFrame:
 
 def npm_edges(packages: DataFrame) -> DataFrame:
     """lockfile, src and dst (keys; dst null if unresolved) and name of every requirement:
-    the nearest node_modules at or above the package that holds the name."""
+    the nearest node_modules at or above the package that holds the name; a workspace's
+    folder also sees those of the root."""
     need = packages.select("lockfile", F.col("key").alias("src"), F.explode("requires").alias("name"))
     # From the package's own folder outwards: each step cuts the last /node_modules/...
     parts = F.split(F.concat(F.lit("/"), "src"), "/node_modules/")
     chain = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/node_modules/"))
+    chain = F.array_union(chain, F.array(F.lit("")))
     base = F.regexp_replace(F.col("at"), "^/", "")
     places = need.select("lockfile", "src", "name", F.posexplode(chain).alias("step", "at")).withColumn("key", F.when(base == "", F.concat(F.lit("node_modules/"), "name")).otherwise(F.concat(base, F.lit("/node_modules/"), "name")))
     hits = places.join(packages.select("lockfile", "key"), ["lockfile", "key"]).groupBy("lockfile", "src", "name").agg(F.min_by("key", "step").alias("dst"))
@@ -127,6 +184,26 @@ def yarn_classic(files: DataFrame) -> DataFrame:
     return blocks.select("lockfile", "entry", patterns.alias("patterns"), names.name_of_key(patterns[0]).alias("name"), F.regexp_extract("block", r'\n  version "([^"]+)"', 1).alias("version"), needs.alias("requires"))
 
 
+def yarn_berry(files: DataFrame) -> DataFrame:
+    """As ``yarn_classic``, of yarn.lock files of later versions: patterns name a protocol
+    (name@npm:range), which a requirement may leave out."""
+    rows = files.where((paths.file_name(F.col("path")) == "yarn.lock") & F.col("text").rlike("(?m)^__metadata:"))
+    plain = F.regexp_replace(F.regexp_replace("text", r"(?m)^\s*#.*$", ""), r"(?m)^\? (.+)\n:", "$1:")
+    blocks = rows.select(F.col("path").alias("lockfile"), F.posexplode(F.split(plain, r"\n(?=[^\s])")).alias("entry", "block"))
+    header = F.regexp_replace(F.regexp_extract("block", r"^\s*([^\s].*):\s*(?:\n|$)", 1), '^"|"$', "")
+    patterns = F.split("header", r"\s*,\s*")
+    section = F.regexp_extract("block", r"\n  dependencies:((?:\n    .*)*)", 1)
+    entry = r'\n    "?([^"\s]+?)"?: "?([^"\n]+)"?'
+    needs = F.transform(F.regexp_extract_all(section, F.lit(entry), F.lit(0)), lambda x: berry_pattern(F.regexp_extract(x, entry, 1), F.regexp_extract(x, entry, 2)))
+    found = blocks.withColumn("header", header).where("header not in ('', '__metadata')")
+    return found.select("lockfile", "entry", patterns.alias("patterns"), names.name_of_key(patterns[0]).alias("name"), F.regexp_extract("block", r'\n  version: "?([^"\n]+)"?', 1).alias("version"), needs.alias("requires"))
+
+
+def berry_pattern(name: Column, constraint: Column) -> Column:
+    """name@protocol:range; npm where no protocol is said."""
+    return F.concat(name, F.lit("@"), F.when(constraint.rlike(r"^[a-z][a-z+.-]*:"), constraint).otherwise(F.concat(F.lit("npm:"), constraint)))
+
+
 def yarn_edges(packages: DataFrame) -> DataFrame:
     """lockfile, src and dst (entries; dst null if unresolved) and pattern."""
     need = packages.select("lockfile", F.col("entry").alias("src"), F.explode("requires").alias("pattern"))
@@ -182,3 +259,13 @@ def nearest_lockfile(projects: DataFrame, files: DataFrame, preferred: list[str]
     from factloom.operators.joins import nearest_ancestor
 
     return nearest_ancestor(projects.select("project"), one, "project", "folder").select("project", "lockfile")
+
+
+def scoped_registries(files: DataFrame) -> DataFrame:
+    """folder, scope and origin that .npmrc files bind; of repeated scopes in a file the
+    last counts, and one that is no plain http(s) address has a null origin."""
+    each = files.where(paths.file_name(F.col("path")) == ".npmrc").select("path", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("line", "t"))
+    bound = r"^\s*(@[^:\s=]+):registry\s*=\s*[\"']?([^\"'\s]*)[\"']?\s*$"
+    rows = each.select("path", "line", F.regexp_extract("t", bound, 1).alias("scope"), F.regexp_extract("t", bound, 2).alias("url")).where("scope != ''")
+    last = rows.groupBy("path", "scope").agg(F.max_by("url", "line").alias("url"))
+    return last.select(paths.directory(F.col("path")).alias("folder"), "scope", names.registry_origin(F.col("url")).alias("origin"))

@@ -48,3 +48,29 @@ def test_unused_and_nested_projects(spark):
     assert findings(spark, files) == {(JS, ".", "b"): ("unused", "unused"), (JS, "pkg", "b"): ("unused", "unused")}
     assert findings(spark, files, extra_tools={JS: {"exact": ["b"]}}) == {}
     assert findings(spark, {}) == {}
+
+
+def test_every_kind_of_lockfile_tells_who_requires(spark):
+    declared = '{"dependencies": {"lite": "^1.0.0", "mime": "^2.0.0"}}'
+    files = {}
+    for folder in ("pnpm", "yarn", "berry", "bun", "old"):
+        files |= {f"{folder}/package.json": declared, f"{folder}/a.js": "import 'lite';\n"}
+    files |= {
+        "pnpm/pnpm-lock.yaml": "lockfileVersion: '9.0'\nimporters:\n  .:\n    dependencies:\n      lite:\n        specifier: ^1.0.0\n        version: 1.0.0\nsnapshots:\n  lite@1.0.0:\n    dependencies:\n      mime: 2.0.0\n  mime@2.0.0: {}\n",
+        "yarn/yarn.lock": 'lite@^1.0.0:\n  version "1.0.0"\n  dependencies:\n    mime "^2.0.0"\n\nmime@^2.0.0:\n  version "2.0.0"\n',
+        "berry/yarn.lock": '__metadata:\n  version: 6\n\n"lite@npm:^1.0.0":\n  version: 1.0.0\n  dependencies:\n    mime: ^2.0.0\n\n"mime@npm:^2.0.0":\n  version: 2.0.0\n',
+        "bun/bun.lock": '{"workspaces": {"": {"dependencies": {"lite": "^1.0.0", "mime": "^2.0.0"}}}, "packages": {"lite": ["lite@1.0.0", "", {"dependencies": {"mime": "^2.0.0"}}, "x"], "mime": ["mime@2.0.0", "", {}, "x"],},}',
+        "old/package-lock.json": '{"dependencies": {"lite": {"version": "1.0.0", "requires": {"mime": "^2.0.0"}}, "mime": {"version": "2.0.0"}}}',
+        "none/package.json": declared,
+        "none/a.js": "import 'lite';\n",
+        "r/Cargo.toml": '[dependencies]\nlite = "1"\nmime = "2"\n',
+        "r/src/lib.rs": "use lite::X;\n",
+        "Cargo.lock": '[[package]]\nname = "lite"\nversion = "1.0.0"\ndependencies = ["mime"]\n[[package]]\nname = "mime"\nversion = "2.0.0"\n',
+        "p/pyproject.toml": '[project]\ndependencies = ["Lite>=1", "mi_me"]\n',
+        "p/a.py": "import lite\n",
+        "p/poetry.lock": '[[package]]\nname = "lite"\nversion = "1"\n[package.dependencies]\nMi_Me = "*"\n[[package]]\nname = "Mi_Me"\nversion = "2"\n',
+    }
+    df = spark.createDataFrame(list(files.items()), "path string, text string")
+    got = {(r.project, r.dependency): (r.rule, r.host) for r in analysed(df).collect()}
+    note = ("unverified-no-imports", "lite")
+    assert got == {**{(f, "mime"): note for f in ("pnpm", "yarn", "berry", "bun", "old", "r")}, ("p", "mi-me"): note, ("none", "mime"): ("unused", None)}

@@ -221,3 +221,51 @@ def test_reports(spark, tmp_path):
     report.written(found, f"file://{tmp_path}/r")
     lines = [r.value for r in spark.read.text(f"file://{tmp_path}/r").collect()]
     assert len(lines) == 3 and lines[0].startswith('{"confidence":"high","dependency":"b"')
+
+
+def test_yarn_berry(spark):
+    text = '# note\n\n__metadata:\n  version: 8\n  cacheKey: 10\n\n"@s/a@npm:^1.0.0, @s/a@npm:^1.1.0":\n  version: 1.2.0\n  resolution: "@s/a@npm:1.2.0"\n  dependencies:\n    b: ^2.0.0\n    "@s/c": "npm:1"\n  peerDependencies:\n    react: "*"\n  languageName: node\n\n"b@npm:^2.0.0":\n  version: 2.1.0\n\n? "long@npm:^3"\n:\n  version: "3.0.0"\n\n"root@workspace:.":\n  version: 0.0.0-use.local\n  dependencies:\n    "@s/a": ^1.1.0\n    web: "workspace:^"\n'
+    packages = lockfiles.yarn_berry(table(spark, [("yarn.lock", text), ("x/yarn.lock", "a@1:\n  version \"1\"\n")]))
+    assert tuples(packages, "name", "version", "patterns", "requires") == [
+        ("@s/a", "1.2.0", ["@s/a@npm:^1.0.0", "@s/a@npm:^1.1.0"], ["b@npm:^2.0.0", "@s/c@npm:1"]), ("b", "2.1.0", ["b@npm:^2.0.0"], []),
+        ("long", "3.0.0", ["long@npm:^3"], []), ("root", "0.0.0-use.local", ["root@workspace:."], ["@s/a@npm:^1.1.0", "web@workspace:^"]),
+    ]
+    edges = lockfiles.yarn_edges(packages).collect()
+    assert sorted((r.pattern, r.dst is not None) for r in edges) == [("@s/a@npm:^1.1.0", True), ("@s/c@npm:1", False), ("b@npm:^2.0.0", True), ("web@workspace:^", False)]
+
+
+def test_bun(spark):
+    text = """{ // text form
+      "lockfileVersion": 1,
+      "workspaces": {"": {"name": "app", "dependencies": {"a": "1"}, "devDependencies": {"@s/b": "1"},}, "packages/x": {"name": "x", "dependencies": {"a": "2", "@s/b": "1"}},},
+      "packages": {
+        "a": ["a@1.0.0", "", {"dependencies": {"c": "1"}}, "sha512-x"], "a/c": ["c@1.0.0", "", {}, "sha512-x"], "c": ["c@2.0.0", "", {}, "sha512-x"],
+        "@s/b": ["@s/b@git+https://x.example/b#1", {"dependencies": {"c": "2"}}, "1"], "x": ["x@workspace:packages/x"], "x/a": ["a@2.0.0", "https://npm.example/a.tgz", {"optionalDependencies": {"c": "1"}}, "sha512-x"],
+      },
+    }"""
+    packages = lockfiles.bun_packages(table(spark, [("bun.lock", text), ("bad/bun.lock", "{")]))
+    a, c, b, xa = "node_modules/a", "node_modules/c", "node_modules/@s/b", "packages/x/node_modules/a"
+    assert ("node_modules/a/node_modules/c", "c", "1.0.0", None) in tuples(packages, "key", "name", "version", "origin") and (xa, "a", "2.0.0", "https://npm.example") in tuples(packages, "key", "name", "version", "origin")
+    assert tuples(lockfiles.npm_edges(packages), "src", "name", "dst") == [("", "@s/b", b), ("", "a", a), (b, "c", c), (a, "c", a + "/node_modules/c"), ("packages/x", "@s/b", b), ("packages/x", "a", xa), (xa, "c", c)]
+
+
+def test_nested_npm_lockfile(spark):
+    text = '{"lockfileVersion": 1, "requires": true, "dependencies": {"a": {"version": "1.0.0", "requires": {"b": "2", "gone": "1"}, "dependencies": {"b": {"version": "2.0.0", "requires": {"c": "1"}}}}, "b": {"version": "1.0.0", "dev": true}, "c": {"version": "1.0.0"}}}'
+    rows = [("p/package-lock.json", text), ("p/package.json", '{"dependencies": {"a": "1"}, "devDependencies": {"b": "1"}}'), ("q/package-lock.json", '{"packages": {"": {}}, "dependencies": {"z": {}}}'), ("bad/package-lock.json", "{")]
+    packages = lockfiles.npm_tree_packages(table(spark, rows))
+    a = "node_modules/a"
+    assert tuples(packages.where("key != ''"), "key", "version", "dev") == [(a, "1.0.0", False), (a + "/node_modules/b", "2.0.0", False), ("node_modules/b", "1.0.0", True), ("node_modules/c", "1.0.0", False)]
+    assert tuples(lockfiles.npm_edges(packages), "src", "name", "dst") == [("", "a", a), ("", "b", "node_modules/b"), (a, "b", a + "/node_modules/b"), (a, "gone", None), (a + "/node_modules/b", "c", "node_modules/c")]
+    assert lockfiles.npm_tree_packages(table(spark, [])).count() == 0
+
+
+def test_workspace_sees_the_root(spark):
+    text = '{"packages": {"": {}, "packages/x": {"name": "x", "dependencies": {"a": "1", "b": "1"}}, "packages/x/node_modules/b": {"version": "2"}, "node_modules/a": {"version": "1"}, "node_modules/b": {"version": "1"}}}'
+    packages = lockfiles.npm_packages(table(spark, [("package-lock.json", text)]))
+    assert tuples(lockfiles.npm_edges(packages), "src", "name", "dst") == [("packages/x", "a", "node_modules/a"), ("packages/x", "b", "packages/x/node_modules/b")]
+
+
+def test_scoped_registries(spark):
+    text = "registry=https://registry.npmjs.org\n@a:registry=https://OLD.example\n@a:registry = \"https://NPM.example/x/\"\n# @b:registry=https://no.example\n//npm.example/:_authToken=t\n@c:registry=https://u:p@x.example\n"
+    got = tuples(lockfiles.scoped_registries(table(spark, [(".npmrc", text), ("w/.npmrc", ""), ("npmrc", text)])))
+    assert got == [(".", "@a", "https://npm.example"), (".", "@c", None)]
