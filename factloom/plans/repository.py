@@ -311,6 +311,65 @@ def lock_pnpm_edges(spark: SparkSession, sf: str) -> DataFrame:
     return lockfiles.pnpm(made.select(_text("n", F.col("s_nationkey"), "/pnpm-lock.yaml").alias("path"), text.alias("text"))).drop("reference")
 
 
+@query("""SELECT 'n' || a.s_nationkey || '/yarn.lock' AS lockfile, '@acme/s' || a.s_suppkey AS name, '1.' || a.s_suppkey || '.0' AS version, 's' || (a.s_suppkey + 25) || CASE WHEN a.s_suppkey % 2 = 0 THEN '@npm:^1.0.0' ELSE '@workspace:^' END AS pattern, a.s_suppkey % 2 = 0 AND b.s_suppkey IS NOT NULL AS resolved
+FROM supplier a LEFT JOIN supplier b ON b.s_suppkey = a.s_suppkey + 25 AND b.s_nationkey = a.s_nationkey""")
+def lock_berry_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """A yarn.lock of the later versions for each nation; half of the requirements are of
+    workspaces, which no entry answers to."""
+    k = F.col("s_suppkey")
+    spec = F.when(k % 2 == 0, "^1.0.0").otherwise('"workspace:^"')
+    block = F.concat(_text('\n"@acme/s', k, '@npm:^1.0.0, s', k, '@npm:^1.0.0":\n  version: 1.', k, '.0\n  resolution: "@acme/s', k, '@npm:1"\n  dependencies:\n    s', k + 25, ": "), spec, F.lit('\n  peerDependencies:\n    no: "*"'))
+    one = _lines(t(spark, sf, "supplier").withColumn("line", block), ["s_nationkey"], ["s_suppkey"]).select(_text("n", F.col("s_nationkey"), "/yarn.lock").alias("path"), _text("__metadata:\n  version: 8\n", F.col("text"), "\n").alias("text"))
+    found = lockfiles.yarn_berry(one)
+    names = found.select("lockfile", F.col("entry").alias("src"), "name", "version")
+    return lockfiles.yarn_edges(found).join(names, ["lockfile", "src"]).select("lockfile", "name", "version", "pattern", F.col("dst").isNotNull().alias("resolved"))
+
+
+_INSTALLED_SQL = """WITH l AS (SELECT l_orderkey AS o, l_partkey AS p, min(l_suppkey) AS s, min(l_linenumber) AS n FROM lineitem GROUP BY 1, 2)
+SELECT 'o' || o || '/{file}' AS lockfile, '' AS src, 'node_modules/p' || p AS dst, 'p' || p AS name FROM l
+UNION ALL SELECT 'o' || o || '/{file}', 'node_modules/p' || p, CASE WHEN n = 1 THEN 'node_modules/p' || p || '/node_modules/s' || s WHEN s % 2 = 0 THEN 'node_modules/s' || s END, 's' || s FROM l"""
+
+
+def _installed(spark: SparkSession, sf: str) -> DataFrame:
+    """An order's parts, each of which requires its maker: o, p and s (names), nested (the
+    part holds a copy of its own) and top (the root holds one)."""
+    rows = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o"), "l_partkey").agg(F.min("l_suppkey").alias("k"), F.min("l_linenumber").alias("n"))
+    return rows.select("o", _text("p", F.col("l_partkey")).alias("p"), _text("s", F.col("k")).alias("s"), (F.col("n") == 1).alias("nested"), (F.col("k") % 2 == 0).alias("top"))
+
+
+@query(_INSTALLED_SQL.format(file="bun.lock"))
+def lock_bun_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """A bun.lock for each order: nested copies, missing ones, trailing commas."""
+    p, s = F.col("p"), F.col("s")
+    part = _text('"', p, '": ["', p, '@1.0.0", "", {"dependencies": {"', s, '": "*"}}, "x"],\n')
+    inner = F.when(F.col("nested"), _text('"', p, "/", s, '": ["', s, '@1.0.0", "", {}, "x"],\n')).otherwise("")
+    outer = F.when(F.col("top"), _text('"', s, '": ["', s, '@2.0.0", "", {}, "x"],\n'))
+    one = _installed(spark, sf).groupBy("o").agg(F.array_join(F.collect_list(F.concat(part, inner)), "").alias("own"), F.array_join(F.collect_set(outer), "").alias("tops"), F.to_json(F.map_from_entries(F.collect_list(F.struct(p, F.lit("*"))))).alias("root"))
+    text = _text('{"workspaces": {"": {"dependencies": ', F.col("root"), '},},\n"packages": { // all\n', F.col("own"), F.col("tops"), "}}")
+    return lockfiles.npm_edges(lockfiles.bun_packages(one.select(_text("o", F.col("o"), "/bun.lock").alias("path"), text.alias("text"))))
+
+
+@query(_INSTALLED_SQL.format(file="package-lock.json"))
+def lock_npm_tree_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """A package-lock.json of nested packages for each order, with its package.json."""
+    p, s = F.col("p"), F.col("s")
+    inner = F.when(F.col("nested"), _text(',"dependencies":{"', s, '":{"version":"1.0.0"}}')).otherwise("")
+    part = F.concat(_text('"', p, '":{"version":"1.0.0","requires":{"', s, '":"*"}'), inner, F.lit("}"))
+    outer = F.when(F.col("top"), _text('"', s, '":{"version":"2.0.0"}'))
+    one = _installed(spark, sf).groupBy("o").agg(F.array_join(F.array_union(F.collect_list(part), F.collect_set(outer)), ",").alias("all"), F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(p, F.lit("*")))).alias("dependencies"))).alias("root"))
+    lock = one.select(_text("o", F.col("o"), "/package-lock.json").alias("path"), _text('{"lockfileVersion":1,"dependencies":{', F.col("all"), "}}").alias("text"))
+    return lockfiles.npm_edges(lockfiles.npm_tree_packages(lock.unionByName(one.select(_text("o", F.col("o"), "/package.json").alias("path"), F.col("root").alias("text")))))
+
+
+@query("""SELECT 'c' || c_custkey AS folder, '@n' || c_nationkey AS scope, CASE WHEN c_custkey % 3 <> 0 THEN 'https://npm' || c_custkey || '.example' END AS origin FROM customer""")
+def scoped_registries(spark: SparkSession, sf: str) -> DataFrame:
+    """An .npmrc for each customer: a scope bound twice, of which the last counts."""
+    k, scope = F.col("c_custkey"), _text("@n", F.col("c_nationkey"))
+    url = F.when(k % 3 != 0, _text("https://NPM", k, ".example/r/")).otherwise(_text("https://u:p@npm", k, ".example/"))
+    text = _text("registry=https://registry.npmjs.org\n", scope, ":registry=https://old.example\n; note\n", scope, ":registry = ", url, "\n//x/:_authToken=t\n")
+    return lockfiles.scoped_registries(t(spark, sf, "customer").select(_text("c", k, "/.npmrc").alias("path"), text.alias("text")))
+
+
 @query("SELECT 'n' || s_nationkey || '/Pipfile.lock' AS lockfile, 'lib-s' || s_suppkey AS name, '1.' || s_suppkey AS version, s_suppkey % 2 = 0 AS dev FROM supplier")
 def lock_pipfile(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
