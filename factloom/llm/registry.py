@@ -9,6 +9,7 @@ from factloom.llm.mixing import op4_mixing_to_targets
 from factloom.llm.neighbours import op8_nearest_neighbours
 from factloom.llm.quality import op5_quality_classifier
 from factloom.llm.simhash import op10_simhash_near_dedup
+from factloom.llm.spelling import OP12_SQL, op12_spelling_variants
 from factloom.llm.substring import OP1_SQL, op1_substring_dedup
 from factloom.llm.tokenfiles import op9_token_files
 from factloom.llm.toxicity import op6_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_token_files": op9_token_files,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 
@@ -36,4 +38,4 @@ def pipeline(spark, sf_dir):
 
 QUERIES["pipeline"] = pipeline
 
-SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL}
+SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op12_spelling_variants": OP12_SQL}
