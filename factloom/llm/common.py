@@ -179,18 +179,18 @@ def even_keys(spark: SparkSession, partitions: int, each: int) -> DataFrame:
     return ranked.select((F.col("p") * each + F.col("r") - 1).cast("long").alias("number"), F.col("id").alias("key"))
 
 
-def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", sizes: DataFrame | None = None) -> DataFrame:
     """``big`` joined to ``small`` by ``keys``, though one key may hold most rows of ``big``.
 
     A key with more rows than an even share of the shuffle partitions is cut into as many
     parts as it has shares, and its rows of ``small`` are copied to each part.  There are
-    fewer such keys than partitions, so they are broadcast.  ``big`` must be read the same
-    twice (a written table), as rows are dealt to parts by their place in the scan.
+    fewer such keys than partitions, so they are broadcast.  Rows are counted in ``sizes``,
+    a written table with the keys of ``big``, or else in ``big``, which is then read twice.
     """
-    parts = width(big.sparkSession)
-    share = max(1, -(-big.count() // parts))
-    sizes = big.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > share)
-    hot = F.broadcast(sizes.select(*keys, F.ceil(F.col("_n") / share).cast("int").alias("_parts")))
+    counted = (big if sizes is None else sizes).select(*keys)
+    share = max(1, -(-counted.count() // width(big.sparkSession)))
+    many = counted.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > share)
+    hot = F.broadcast(many.select(*keys, F.ceil(F.col("_n") / share).cast("int").alias("_parts")))
     dealt = big.join(hot, keys, "left").withColumn("_part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
     copied = small.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
     return dealt.join(copied, [*keys, "_part"], how).drop("_part")
