@@ -158,7 +158,8 @@ def segmented(names: DataFrame, model: DataFrame) -> DataFrame:
     begins = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("i"))
     most = F.least(F.lit(WORD_LETTERS), F.length("name") - F.col("i") + 1)
     pieces = begins.select("name", F.explode(F.transform(F.sequence(F.lit(1), most), lambda n: F.col("name").substr(F.col("i"), n))).alias("word")).distinct()
-    known = spread_join(stored(pieces, "pieces"), model, ["word"], "inner")
+    pieces = stored(pieces, "pieces")
+    known = spread_join(pieces, model.join(pieces.select("word").distinct(), "word", "left_semi"), ["word"], "inner")
     gathered = names.join(known.groupBy("name").agg(F.collect_list(F.struct("word", "cost")).alias("known")), "name", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
