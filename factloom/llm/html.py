@@ -24,9 +24,11 @@
 Tags alone keep every block (``extracted(pages, statistics=False)`` shows that), so on a
 host of two pages or more the tree decides.  A host of one page has no tree; there, and on
 pages of which the tree would leave nothing, tags and names decide, inside what the page
-marks as main if that has text.  Some elements go always: those that hold no text to read
-(scripts, styles, form fields, hidden ones), and those that name themselves adverts or
-readers' comments, whose text is as fresh as an article's.
+marks as main if that has text.  Elements that hold no text to read (scripts, styles, form
+fields, hidden ones) go always.  So do those that name themselves adverts or readers'
+comments, whose text is as fresh as an article's; but a name alone is not believed of a
+phrase or paragraph within the main part, of an element that holds the page's title
+heading or main part, and where no text would be left (see ``_settled``).
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import stored, table, worker_cache
+from factloom.llm.common import spread_join, stored, table, worker_cache
 
 #: Importance below which a block goes.
 THRESHOLD = 0.5
@@ -58,7 +60,7 @@ LAYOUT = 0.75
 ELSEWHERE = 8
 #: Depth to which style paths grow; a deeper element's path is the one there and its own style.
 PATH_DEPTH = 60
-#: Copies of a tree's rows that pages are joined to, so that no path of a large host is one key.
+#: Copies of what a path is joined to, so that none that many hosts or paths share is one key.
 SALTS = 16
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -72,10 +74,12 @@ SCOPES = frozenset("ul ol menu dl table select body html article div section mai
 #: Items of lists and tables: however many follow each other, they are one in a layout.
 ITEMS = frozenset("li dt dd tr td th".split())
 #: Elements without text to read, and elements that seldom hold the main text.
-NEVER = frozenset("button canvas datalist head iframe input label noscript object optgroup option script select style svg template textarea title".split())
+NEVER = frozenset("button canvas datalist head iframe input noscript object optgroup option script select style svg template textarea title".split())
 NOISE_TAGS = frozenset("aside dialog fieldset footer form header menu nav search".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
 MAIN_TAGS = MAIN_ROLES = frozenset({"article", "main"})
+#: What an article's own text is made of; there a name says what a phrase is about.
+PHRASES = frozenset("a abbr b blockquote cite code dd dt em figcaption h1 h2 h3 h4 h5 h6 i mark p pre q small span strong td th u".split())
 #: Names of what advertisers and readers wrote.
 OTHERS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense adslot comment comments commentlist disqus promo promoted promotion replies reply respond sponsor sponsored".split())
 #: Names of layout, heeded where a host has no tree.
@@ -91,15 +95,17 @@ HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 class Node:
-    """An element.  ``gone``: its text is never read; ``noise``: its tag or role, or one
-    above, seldom holds main text; ``named``: a name says so; ``main``: it is within what
-    the page marks as main.  ``id`` is a hash of its style path."""
+    """An element.  ``gone``: its text is never read; ``others``: it names itself an advert
+    or comments, and is believed; ``noise``: its tag or role, or one above, seldom holds
+    main text; ``named``: a name says so; ``main``: it is within what the page marks as
+    main.  ``id`` is a hash of its style path."""
 
-    __slots__ = ("anchor", "children", "depth", "gone", "main", "named", "noise", "number", "parent", "style", "tag")
+    __slots__ = ("anchor", "children", "depth", "gone", "main", "named", "noise", "number", "others", "parent", "style", "tag")
 
     def __init__(self, tag: str, style: str, parent, gone=False, noise=False, named=False, main=False):
         self.tag, self.style, self.parent = tag, style, parent
         self.gone, self.noise, self.named, self.main = gone, noise, named, main
+        self.others = False
         self.children: list = []  # nodes, and strings of text
         self.number = 0 if parent is None else None
         self.depth = 0 if parent is None else parent.depth + 1
@@ -168,10 +174,38 @@ def _element(tag: str, attributes: str, parent: Node, known: dict) -> Node:
             known.clear()
         known[key] = _said(*key)
     style, unseen, others, layout, within_main, roles = known[key]
-    gone = parent.gone or unseen or others or tag in NEVER
+    # A label is part of a form wherever that is; elsewhere it is text.
+    gone = parent.gone or unseen or tag in NEVER or (tag == "label" and parent.noise)
     noise = parent.noise or (tag in NOISE_TAGS and not (tag == "header" and parent.main)) or bool(roles & NOISE_ROLES)
     main = parent.main or tag in MAIN_TAGS or bool(roles & MAIN_ROLES)
-    return Node(tag, style, parent, gone, noise, parent.named or (within_main if parent.main else layout), main)
+    node = Node(tag, style, parent, gone, noise, parent.named or (within_main if parent.main else layout), main)
+    node.others = others and not (parent.main and tag in PHRASES)
+    return node
+
+
+def _settled(root: Node) -> Node:
+    """``root``, with ``others`` withdrawn from elements that hold an h1 or a main element,
+    and from all if they leave the page no text."""
+    named, text, stack = [], False, [(root, False)]
+    while stack:
+        node, under = stack.pop()
+        if node.tag == "h1" or node.tag == "main":
+            above = node.parent
+            while under and above is not None:
+                above.others, above = False, above.parent
+        under = under or node.others
+        if node.others:
+            named.append(node)
+        for child in node.children:
+            if isinstance(child, str):
+                text = text or (not under and not child.isspace())
+            elif not child.gone:
+                stack.append((child, under))
+    # Text under a withdrawn name counts, so only a page without any other is read whole.
+    if not text and not any(not n.others for n in named):
+        for node in named:
+            node.others = False
+    return root
 
 
 def parsed(page: str | None) -> Node:
@@ -238,7 +272,7 @@ def parsed(page: str | None) -> Node:
             opened[tag] += 1
     if at < len(text):
         open_node.children.append(text[at:])
-    return root
+    return _settled(root)
 
 
 def blocks(root: Node) -> list[tuple[Node, str]]:
@@ -264,10 +298,10 @@ def blocks(root: Node) -> list[tuple[Node, str]]:
                 pieces.append(" ")
             elif child.tag in BLOCKS:
                 flush(holder)
-                if not child.gone:
+                if not (child.gone or child.others):
                     stack.append((child, iter(child.children), child))
                     break
-            elif not child.gone:
+            elif not (child.gone or child.others):
                 stack.append((child, iter(child.children), holder))
                 break
         else:
@@ -286,10 +320,10 @@ def layouts(root: Node) -> Iterator[tuple[Node, str]]:
         if node is root or node.tag in BLOCKS:
             styles: list[str] = []
             for c in node.children:
-                if not isinstance(c, str) and c.tag in BLOCKS and not c.gone and not (c.tag in ITEMS and styles and styles[-1] == c.style):
+                if not isinstance(c, str) and c.tag in BLOCKS and not (c.gone or c.others) and not (c.tag in ITEMS and styles and styles[-1] == c.style):
                     styles.append(c.style)
             yield node, ">".join(styles)
-        stack += [c for c in node.children if not isinstance(c, str) and not c.gone]
+        stack += [c for c in node.children if not isinstance(c, str) and not (c.gone or c.others)]
 
 
 #: Bits of a block's kind.
@@ -310,8 +344,13 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
 
 
-def _numbered(pages: DataFrame) -> DataFrame:
-    return pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "html")
+#: What a page is known by in both scans: two hashes of what it holds, so the scans may be
+#: split in any way; rows that repeat a page share them, and share its rules.
+KEY = ["one", "two"]
+
+
+def _keyed(pages: DataFrame) -> DataFrame:
+    return pages.select(F.xxhash64("url", "html").alias("one"), F.xxhash64(F.lit(1), "html", "url").alias("two"), "page_id", "url", "html")
 
 
 def _placed(found: list[tuple[Node, str]]) -> dict[int, int]:
@@ -320,10 +359,10 @@ def _placed(found: list[tuple[Node, str]]) -> dict[int, int]:
 
 
 def outlined(pages: DataFrame) -> DataFrame:
-    """row (a number of its own), host, paths (different ones of blocks, with all above),
+    """one and two (see ``KEY``), host, paths (different ones of blocks, with all above),
     shapes (different pairs of path and layout) and texts (different pairs of path and
     text, as a hash with the size).  Written once."""
-    source = _numbered(pages).select("row", host_of(F.col("url")).alias("host"), "html")
+    source = _keyed(pages).select(*KEY, host_of(F.col("url")).alias("host"), "html")
 
     kinds = ({"id": pa.int64(), "up": pa.list_(pa.int64())}, {"id": pa.int64(), "shape": pa.int64()}, {"id": pa.int64(), "hash": pa.int64(), "size": pa.int32()})
 
@@ -339,17 +378,17 @@ def outlined(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 128):
                 part = batch.slice(low, 128)
-                found = zip(*map(outline, part.column(2).to_pylist()), strict=True)
+                found = zip(*map(outline, part.column(3).to_pylist()), strict=True)
                 lists = [_lists(rows, kind) for rows, kind in zip(found, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], *lists], names=["row", "host", "paths", "shapes", "texts"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *lists], names=[*KEY, "host", "paths", "shapes", "texts"])
 
-    return stored(source.mapInArrow(run, "row long, host string, paths array<struct<id: long, up: array<long>>>, shapes array<struct<id: long, shape: long>>, texts array<struct<id: long, hash: long, size: int>>"), "outline")
+    return stored(source.mapInArrow(run, "one long, two long, host string, paths array<struct<id: long, up: array<long>>>, shapes array<struct<id: long, shape: long>>, texts array<struct<id: long, hash: long, size: int>>"), "outline")
 
 
 def packed(pages: DataFrame) -> DataFrame:
-    """row, page_id, url, codes (of each block the place of its path and its kind) and
+    """one, two, page_id, url, codes (of each block the place of its path and its kind) and
     texts (of all blocks, a line each, compressed)."""
-    source = _numbered(pages)
+    source = _keyed(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3).compress
@@ -357,15 +396,15 @@ def packed(pages: DataFrame) -> DataFrame:
             for low in range(0, batch.num_rows, 128):
                 part = batch.slice(low, 128)
                 codes, texts = [], []
-                for page in part.column(3).to_pylist():
+                for page in part.column(4).to_pylist():
                     found = blocks(parsed(page))
                     place = _placed(found)
                     codes.append([place[n.id] * KINDS + IS_NOISE * n.noise + IS_NAMED * n.named + IS_MAIN * n.main for n, _ in found])
                     texts.append(press("\n".join(text for _, text in found).encode("utf-8", "replace")))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(codes, pa.list_(pa.int32())), pa.array(texts, pa.binary())], names=["row", "page_id", "url", "codes", "texts"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(codes, pa.list_(pa.int32())), pa.array(texts, pa.binary())], names=[*KEY, "page_id", "url", "codes", "texts"])
 
     kinds = dict(source.dtypes)
-    return source.mapInArrow(run, f"row long, page_id {kinds['page_id']}, url {kinds['url']}, codes array<int>, texts binary")
+    return source.mapInArrow(run, f"one long, two long, page_id {kinds['page_id']}, url {kinds['url']}, codes array<int>, texts binary")
 
 
 def trees(outline: DataFrame) -> DataFrame:
@@ -434,14 +473,13 @@ def extracted(pages: DataFrame, statistics: bool = True) -> DataFrame:
     Null and empty pages have an empty text; pages without a host in their url are one
     host; repeated rows count as pages and each give a row; very long pages are read whole.
     An empty table gives no row.  Without ``statistics`` the trees' importances weigh
-    nothing, which shows what tags alone would keep.  Rows must come in the same order
-    whenever they are read, as those of a written table do.
+    nothing, which shows what tags alone would keep.
     """
     outline = outlined(pages)
-    rules = stored(ruled(trees(outline)), "rules").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    asked = outline.select("row", "host", F.posexplode("paths").alias("at", "p")).select("row", "host", "at", "p.id", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
-    found = asked.join(rules, ["host", "id", "salt"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "pages", "importance"))).alias("rules"))  # a page's own paths
-    judged = packed(pages).join(found, "row", "left").select("page_id", "url", _kept(statistics).alias("kept"), "texts")
+    asked = outline.select(*KEY, "host", F.posexplode("paths").alias("at", "p")).select(*KEY, "host", "at", "p.id")
+    found = spread_join(asked, stored(ruled(trees(outline)), "rules"), ["host", "id"], "inner")
+    found = found.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("at", "pages", "importance"))).alias("rules"))  # a page's own paths
+    judged = spread_join(packed(pages), found, KEY, sizes=outline).select("page_id", "url", _kept(statistics).alias("kept"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -132,6 +132,21 @@ def test_trees_by_their_definitions(spark):
     assert all(r.composite == pytest.approx(r.content * (0.25 + 0.75 * r.freedom)) for r in got)
 
 
+def test_the_tree_and_tags_differ(spark, monkeypatch):
+    """On hosts whose tags and names tell nothing, what is left without any tree is another
+    text on every page, menus and notices included."""
+    def page(i):
+        return f"<body><div class='q1'>Top {'ABC'[i % 3]}</div><div class='q2'><h2>Head {i}</h2><p>Fresh {i}.</p></div><div class='q3'>End</div></body>"
+
+    sites = [(f"http://a.example/{i}", page(i)) for i in range(30)]
+    by_tree = texts(spark, sites)
+    monkeypatch.setattr(html, "ruled", lambda forest: forest.where("false").select("host", "id", "pages", "content").withColumnRenamed("content", "importance"))
+    by_tags = texts(spark, sites)
+    for i in range(30):
+        assert by_tree[i].text == f"Head {i}\nFresh {i}."
+        assert by_tags[i].text == f"Top {'ABC'[i % 3]}\nHead {i}\nFresh {i}.\nEnd"
+
+
 def test_the_tree_decides(spark):
     """Without the trees' statistics nearly every page keeps its menu and footer."""
     if not os.path.isdir("/root/testdata/sf0.01"):
@@ -167,6 +182,86 @@ def test_names_and_attributes(spark, html_text):
     assert alone[0].text == "Title\nBody."
 
 
+@pytest.mark.parametrize(("html_text", "want"), [
+    ('<section class="reply"><h2>An essay</h2><p>In reply to another.</p></section>', "An essay\nIn reply to another."),
+    ('<div class="promo-wrapper"><h1>Title</h1><p>Para.</p><div class="comments"><p>I say</p></div></div><div class="ad">Buy</div>', "Title\nPara."),
+    ('<div class="comment"><main><p>Body.</p></main></div><footer>end</footer>', "Body."),
+    ('<article><h1>Title</h1><p class="comment">A remark.</p><p>See <span class="ad">the advert</span> of 1900.</p><aside class="ad">Buy</aside></article>', "Title\nA remark.\nSee the advert of 1900."),
+    ('<article><h1>Title</h1><label>Exhibit A</label><form><label>Name</label><input></form></article>', "Title\nExhibit A"),
+    ('<div class="ad">Only this</div><script>x</script>', "Only this"),
+    ('<article><h1>Title</h1><p>Body.</p></article><ol class="commentlist"><li class="comment"><p>I say</p></ol><p class="ad">Buy</p>', "Title\nBody."),
+])
+def test_names_of_adverts_and_comments_are_weighed(spark, html_text, want):
+    assert texts(spark, [("http://h.example/", f"<body>{html_text}</body>")])[0].text == want
+
+
+def test_scans_that_are_split_differently(spark, tmp_path, monkeypatch):
+    """What is outlined by one split of the files is packed by another: every page keeps
+    the rules of its own host, where what one repeats is what the other writes afresh."""
+    def page(host, i):
+        a, b = (f"Fresh {i} {i * 7}.", "Call us at once") if host == "a" else ("Call us at once", f"Fresh {i} {i * 7}.")
+        return f"<body><div class='x'><p>{a}</p></div><div class='y'><p>{b}</p></div></body>"
+
+    rows = [(2 * i + (h == "b"), f"http://{h}.example/{i}", page(h, i)) for h in "ab" for i in range(40)] + [(999, "http://a.example/3", page("a", 3))] * 3
+    spark.createDataFrame(rows, SCHEMA).repartition(12).write.parquet(f"{tmp_path}/pages")
+    whole = html.packed
+
+    def resplit(pages):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1g")
+        spark.conf.set("spark.sql.files.openCostInBytes", "256m")
+        return whole(spark.read.parquet(f"{tmp_path}/pages"))
+
+    monkeypatch.setattr(html, "packed", resplit)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        got = html.extracted(spark.read.parquet(f"{tmp_path}/pages")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(got) == 83
+    assert all(r.text == f"Fresh {r.url.split('/')[-1]} {int(r.url.split('/')[-1]) * 7}." for r in got)
+
+
+def slow_rules(forest):
+    """(host, id) -> pages, importance by the definition of ``ruled``."""
+    scale = {}
+    for host in {r.host for r in forest}:
+        of = [r for r in forest if r.host == host and r.pages > 1]
+        weight = sum(r.chars * r.composite for r in of)
+        if weight > 0:
+            scale[host] = sum(r.chars * r.composite**2 for r in of) / weight
+    own = {(r.host, r.id): (r.pages, min(1.0, r.composite / scale[r.host])) for r in forest if r.host in scale}
+    out = {}
+    for (host, i), (pages, value) in own.items():
+        rest = [(n, v) for (h, j), (n, v) in own.items() if j == i and h != host and n > 1]
+        times = sum(n for n, _ in rest)
+        elsewhere = sum(n * v for n, v in rest) / times if times else 0.0
+        heard = min(html.ELSEWHERE, times)
+        out[host, i] = (pages + heard, (pages * value + heard * elsewhere) / (pages + heard))
+    return out
+
+
+def test_rules_and_what_they_keep_by_their_definitions(spark):
+    pages = [(f"h{i % 4}.example", site(i)) for i in range(60)] + [("h9.example", site(1)), ("h9.example", site(2))]
+    rows = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(pages)], SCHEMA)
+    forest = html.trees(html.outlined(rows)).collect()
+    got = {(r.host, r.id): (r.pages, r.importance) for r in html.ruled(html.trees(html.outlined(rows))).collect()}
+    want = slow_rules(forest)
+    assert set(got) == set(want)
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+    shown = {r.page_id: r.text for r in html.extracted(rows).collect()}
+    for i, (host, page) in enumerate(pages):
+        kept, plain = [], []
+        for node, text in html.blocks(html.parsed(page)):
+            n, importance = want[host, node.id]
+            weight = html.MOST_WEIGHT * n * n / (n * n + html.HALF_PAGES**2)
+            prior = html.NOISE if node.noise else html.MAIN if node.main else html.UNKNOWN
+            kept += [text] if (1 - weight) * prior + weight * importance >= html.THRESHOLD else []
+            plain += [text] if not node.noise and not node.named and node.main else []
+        assert shown[i] == "\n".join(kept or plain)
+
+
 def test_names_are_kept_whole(spark):
     """Styles that differ only in a seventh class or after 120 characters are two nodes."""
     names = " ".join(f"class{c}" * 6 for c in "abcdefg")
