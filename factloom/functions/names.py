@@ -29,20 +29,32 @@ def types_target(name: Column) -> Column:
     return F.when(bare != "", scoped)
 
 
+# What a specifier's scheme says, and the hosts of repositories.
+SCHEMES = {"workspace": "workspace", "link": "link", "file": "file", "git": "git", "github": "git", "gitlab": "git", "bitbucket": "git", "gist": "git"}
+REPOSITORY_HOSTS = ("github.com", "gitlab.com", "bitbucket.org")
+
+
 def specifier_type(raw: Column) -> Column:
-    """registry, git, file, link or workspace of a version specifier."""
-    hosted = r"^https?://(www\.)?(github\.com|gitlab\.com|bitbucket\.org)/[^/]+/[^/]+?(\.git)?(#.*)?$"
-    return (
-        F.when(raw.startswith("workspace:"), "workspace")
-        .when(raw.startswith("link:"), "link")
-        .when(raw.startswith("file:") | raw.rlike(r"^(\.|~/|/|[A-Za-z]:[\\/])"), "file")
-        .when(raw.rlike(r"^(git:|git\+|github:|gitlab:|bitbucket:|gist:)"), "git")
-        .when(raw.rlike(r"^\w[\w.-]*/\w[\w.-]*(#(semver:[^\r\n]+|\S*))?$"), "git")
-        .when(raw.rlike(hosted), "git")
-        .when(raw.rlike(r"^[^@\s/]+@[\w.-]+\.[\w-]+:.+$"), "git")
-        .when(raw.rlike(r"^ssh://([^@/]+@)?(github\.com|gitlab\.com|bitbucket\.org)[:/]"), "git")
-        .otherwise("registry")
-    )
+    """registry, git, file, link or workspace of a version specifier.
+
+    Its scheme decides if it is one of ``SCHEMES`` or goes over git; a web or ssh address
+    is git if it leads to a repository of a known host; without a scheme, paths are files,
+    and owner/name and user@host:path are git.  All else is asked of the registry.
+    """
+    scheme = F.regexp_extract(raw, "^([A-Za-z][A-Za-z0-9+.-]+):", 1)
+    said = F.coalesce(*[F.when(scheme == k, v) for k, v in SCHEMES.items()], F.when(scheme.startswith("git+"), "git"))
+    place, fragment = F.substring_index(raw, "#", 1), F.regexp_extract(raw, "#(?s:(.*))$", 1)
+    after = F.regexp_extract(place, "^[a-z]+://(.+)$", 1)
+    host = F.regexp_extract(after, "^(?:[^@/]+@)?([^/:]+)[/:]", 1)
+    segments = F.split(F.regexp_replace(after, r"\.git$", ""), "/")
+    whole = (F.size(segments) == 3) & F.forall(segments, lambda s: s != "")
+    web = scheme.isin("http", "https") & F.regexp_replace(segments[0], r"^www\.", "").isin(*REPOSITORY_HOSTS) & whole
+    shell = (scheme == "ssh") & host.isin(*REPOSITORY_HOSTS)
+    path = F.substring(raw, 1, 1).isin(".", "/") | raw.startswith("~/") | raw.rlike(r"^[A-Za-z]:[/\\]")
+    owned = F.split(place, "/")
+    short = (F.size(owned) == 2) & F.forall(owned, lambda s: s.rlike(r"^\w[\w.-]*$")) & ((fragment.startswith("semver:") & ~fragment.rlike(r"[\r\n]")) | ~fragment.rlike(r"\s"))
+    copied = F.substring_index(raw, ":", 1).rlike(r"^[^@\s/]+@[\w-]+(\.[\w-]+)+$") & raw.rlike("@[^:]+:.")
+    return F.coalesce(said, F.when(path, "file"), F.when(web | shell | short | copied, "git"), F.lit("registry"))
 
 
 def module_kind(specifier: Column) -> Column:

@@ -59,6 +59,19 @@ def ancestors(directory_path: Column, root: str = ".", strict: bool = False) ->
     return F.slice(full, F.lit(2), F.greatest(F.size(full) - 1, F.lit(0))) if strict else full
 
 
+def resolved(folder: Column, relative: Column, root: str = ".") -> Column:
+    """``relative`` (or, with a leading slash, from the root) seen from ``folder``, without
+    '.' and '..'; the root is '.'; null if it leaves the repository."""
+    from_folder = F.when((folder == root) | F.startswith(relative, F.lit("/")), relative).otherwise(F.concat(folder, F.lit("/"), relative))
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.size(done) - 1))
+        return F.when(done.isNull() | part.isin("", "."), done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.aggregate(F.split(from_folder, "/"), F.array().cast("array<string>"), step)
+    return F.when(F.size(parts) == 0, root).otherwise(F.array_join(parts, "/"))
+
+
 def depth(path: Column, root: str = ".") -> Column:
     return F.when(path == root, 0).otherwise(F.size(F.split(path, "/")))
 

@@ -12,18 +12,19 @@ from factloom.operators.graph import stored
 def prefix_cut(rows: DataFrame, order: str, size: str, most: int, buckets: int | None = None) -> DataFrame:
     """Rows, by ``order``, before the running total of ``size`` first exceeds ``most``.
 
-    ``order`` is a unique number.  Totals are made in two levels (ranges of the order,
-    then within a range), so no single task sorts all rows.
+    ``order`` is a unique number.  Only it and the size are sorted, in two levels (ranges
+    of the order, then within a range), so no single task sorts all rows; what is found is
+    the one number from which rows go, and the rows themselves are not moved.  A null size
+    counts nothing.
     """
-    buckets = buckets or max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # as many as whoever runs the job sized
-    borders = rows.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)
-    cuts = F.array(*[F.lit(x) for x in sorted(set(borders))]) if borders else F.array().cast("array<double>")
-    part = rows.withColumn("_b", F.size(F.filter(cuts, lambda x: x < F.col(order))))
-    totals = part.groupBy("_b").agg(F.sum(size).alias("_t"))
+    narrow = rows.select(F.col(order).alias("_o"), F.coalesce(F.col(size), F.lit(0)).alias("_s"))
+    ranged = stored((narrow.repartitionByRange(buckets, "_o") if buckets else narrow.repartitionByRange("_o")).withColumn("_b", F.spark_partition_id()))
+    totals = ranged.groupBy("_b").agg(F.sum("_s").alias("_t"))
     before = totals.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_base"))  # a row for each range
-    running = F.sum(size).over(Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    full = part.withColumn("_run", running).join(F.broadcast(before), "_b")  # buckets rows
-    return full.where(F.col("_base") + F.col("_run") <= most).drop("_b", "_run", "_base")
+    running = F.sum("_s").over(Window.partitionBy("_b").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0))
+    full = ranged.withColumn("_run", running).join(F.broadcast(before), "_b")  # buckets rows
+    first = full.where(F.col("_base") + F.col("_run") > most).agg(F.min("_o")).first()[0]
+    return rows if first is None else rows.where(F.col(order) < F.lit(first))
 
 
 def placed(rows: DataFrame, *order: str) -> DataFrame:

@@ -36,25 +36,32 @@ def stored(df: DataFrame) -> DataFrame:
 
 def closure(edges: DataFrame, source: str = "src", target: str = "dst", starts: DataFrame | None = None) -> DataFrame:
     """(source, target) for every target reachable from a source over one edge or more,
-    without the source itself.
+    without the source itself; only from ``starts`` (column source), if given.
 
-    Semi-naive: each round joins only what the last one found.  Rounds end when nothing
-    is new, after as many as the longest shortest path; nothing is dropped.
+    Distances double: round k knows the pairs nearer than 2**k edges and those exactly as
+    far, and goes on from both over the latter.  A shortest path of up to 2**(k + 1) edges
+    is such a pair and then one of exactly 2**k, so nothing is missed, and a path of n
+    edges takes as many rounds as n has binary digits.  Cycles end by themselves, as no
+    pair is found twice.  All sources are walked, so give the edges that matter.
     """
-    step = stored(edges.select(F.col(source).alias("_a"), F.col(target).alias("_b")).where("_a is not null and _b is not null").distinct())
-    found = step if starts is None else step.join(starts.select(F.col(source).alias("_a")).distinct(), "_a", "left_semi")
-    found = stored(found.where("_a != _b"))
-    frontier = found
-    rounds = [found]
-    hop = step.select(F.col("_a").alias("_b"), F.col("_b").alias("_c"))
+    step = edges.select(F.col(source).alias("_a"), F.col(target).alias("_b")).where("_a != _b").distinct()
+    rounds = [stored(step.withColumn("_far", F.lit(True)))]
     while True:
-        ahead = frontier.join(hop, "_b").select("_a", F.col("_c").alias("_b")).where("_a != _b").distinct()
-        frontier = stored(ahead.join(found, ["_a", "_b"], "left_anti"))
-        if frontier.isEmpty():
+        last = rounds[-1]
+        near = last.where("not _far")
+        for before in rounds[:-1]:
+            near = near.unionByName(before)
+        known = near.withColumn("_far", F.lit(False)).unionByName(last.where("_far"))
+        hop = last.where("_far").select(F.col("_a").alias("_b"), F.col("_b").alias("_c"))
+        ahead = known.join(hop, "_b").where("_a != _c").groupBy("_a", F.col("_c").alias("_b")).agg(F.bool_and("_far").alias("_far"))
+        rounds.append(stored(ahead.join(known.select("_a", "_b"), ["_a", "_b"], "left_anti")))
+        if rounds[-1].where("_far").isEmpty():
             break
-        rounds.append(frontier)
-        found = found.unionByName(frontier)
-    return found.select(F.col("_a").alias(source), F.col("_b").alias(target))
+    found = rounds[0]
+    for more in rounds[1:]:
+        found = found.unionByName(more)
+    found = found.select(F.col("_a").alias(source), F.col("_b").alias(target))
+    return found if starts is None else found.join(starts.select(source).distinct(), source, "left_semi")
 
 
 def exclusive_reach(reach: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:

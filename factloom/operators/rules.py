@@ -58,13 +58,15 @@ def first_match(rows: DataFrame, rules: Sequence[tuple[str, Column]], out: str =
     return rows.withColumn(out, chosen).where(F.col(out).isNotNull())
 
 
-def findings(dependencies: DataFrame, usages: DataFrame, closure: DataFrame, peers: DataFrame, unresolved_peers: DataFrame, ecosystems: DataFrame, allowlisted: Column, non_shipped: Column, pull_request: bool = False) -> DataFrame:
+def findings(dependencies: DataFrame, usages: DataFrame, closure: DataFrame, peers: DataFrame, unresolved_peers: DataFrame, ecosystems: DataFrame, allowlisted: Column, non_shipped: Column, pull_request: bool = False, gaps: DataFrame | None = None) -> DataFrame:
     """One finding at most for each declared dependency.
 
     dependencies(ecosystem, project, name, kind, declared_in, specifier_type), usages(
     dependency, file, form, via, type_only, removed_in_pr), closure and the peers tables
     (ecosystem, project, direct, member), ecosystems(ecosystem, usages_analysed,
     references_analysed).  A usage counts for every ecosystem that declares its name.
+    ``gaps`` (ecosystem, project) are projects of which something went unread: absence
+    cannot be told there, so what seems unused is noted for review.
     """
     use = usages.withColumn("removed_in_pr", F.coalesce("removed_in_pr", F.lit(False)))
     imported = F.coalesce(F.col("via"), F.lit("import")) == "import"
@@ -86,7 +88,10 @@ def findings(dependencies: DataFrame, usages: DataFrame, closure: DataFrame, pee
         .withColumn("_t", target).join(declared.withColumnRenamed("_n", "_t").withColumn("companion", F.lit(True)), ["ecosystem", "project", "_t"], "left")
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    analysed, referenced = F.coalesce("usages_analysed", F.lit(False)), F.coalesce("references_analysed", F.lit(False))
+    if gaps is not None:
+        facts = facts.join(gaps.select("ecosystem", "project").distinct().withColumn("_gap", F.lit(True)), ["ecosystem", "project"], "left")
+    analysed = F.coalesce("usages_analysed", F.lit(False))
+    referenced = F.coalesce("references_analysed", F.lit(False)) & (F.col("_gap").isNull() if gaps is not None else F.lit(True))
     types = (F.col("ecosystem") == "javascript-typescript") & F.col("name").startswith("@types/")
     companion = F.coalesce("companion", F.lit(False))
     plain = ~F.col("kind").isin("peer", "optional") & (F.coalesce("specifier_type", F.lit("registry")) == "registry")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import names, paths, tables
 from factloom.operators import graph, joins, rules
-from factloom.sources import configs, lockfiles, manifests, references
+from factloom.sources import aliases, configs, lockfiles, manifests, references
 
 JS = "javascript-typescript"
 NUL = "\u0000"
@@ -42,10 +42,12 @@ def _usage(rows: DataFrame, name: str, via: str, form: str | None = None, types:
 
 def javascript_usages(files: DataFrame, declared: DataFrame) -> DataFrame:
     """Imports, attributed to the nearest project at or above that declares the package
-    (itself or its @types), and commands of scripts and CI steps."""
+    (itself or its @types), and commands of scripts and CI steps.  What an alias leads to a
+    file of the repository is no package."""
     own = declared.where(F.col("ecosystem") == JS).select("project", "name").distinct()
     by_package = own.select("project", "name", F.coalesce(names.types_target(F.col("name")), "name").alias("package"))
-    found = references.javascript(files).where("package is not null").withColumn("folder", paths.directory(F.col("path")))
+    imports = graph.stored(references.javascript(files).where("package is not null"))
+    found = imports.join(aliases.internal(imports, files), ["path", "specifier"], "left_anti").withColumn("folder", paths.directory(F.col("path")))
     roots = by_package.select("project", "package").distinct().withColumnRenamed("project", "owner")
     owned = joins.nearest_ancestor(found, roots, "folder", "owner", extra=["package"]).where("owner is not null")
     imported = owned.join(by_package.withColumnRenamed("project", "owner"), ["owner", "package"])
@@ -142,11 +144,25 @@ def used(files: DataFrame, declared: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [javascript_usages(files, declared), _usage(graph.stored(named), "name", "config"), python_usages(files), go_usages(files, declared), rust_usages(files, declared)])
 
 
+def unread(files: DataFrame, declared: DataFrame) -> DataFrame:
+    """ecosystem and project of the JavaScript projects of which, or of a project above
+    which, something that may name packages was not read: configuration that is a program
+    or YAML, imports of computed names, what scripts compute, and bases of compiler
+    settings that are not there."""
+    scripts = references.script_gaps(references.package_scripts(files))
+    where = reduce(DataFrame.union, [configs.unread(files), references.javascript_gaps(files).select("path"), scripts.select("path"), aliases.broken(files).select("path")])
+    own = declared.where(F.col("ecosystem") == JS).select("project").distinct()
+    held = joins.nearest_ancestor(where.select(paths.directory(F.col("path")).alias("folder")).distinct(), own, "folder", "project").where("project is not null")
+    above = own.select("project", F.explode(paths.ancestors(F.col("project"))).alias("at"))
+    return above.join(held.select(F.col("project").alias("at")).distinct(), "at").select(F.lit(JS).alias("ecosystem"), "project").distinct()
+
+
 def analysed(files: DataFrame, extra_tools: dict | None = None, base: DataFrame | None = None) -> DataFrame:
     """Findings of the repository (see ``rules.findings``).
 
     Only JavaScript also has its scripts, CI and configuration read, so only there can
-    absence be told; elsewhere a dependency without imports is noted for review.  With
+    absence be told; elsewhere, and where something of a project went unread, a dependency
+    without imports is noted for review.  With
     ``base``, the files before a pull request, usages that its head has no more count as
     removed.
     """
@@ -162,4 +178,4 @@ def analysed(files: DataFrame, extra_tools: dict | None = None, base: DataFrame
     ecosystems = spark.createDataFrame([(JS, True, True), ("python", True, False), ("rust", True, False), ("go", True, False)], "ecosystem string, usages_analysed boolean, references_analysed boolean")
     packages = graph.stored(reduce(DataFrame.unionByName, [lockfiles.npm_packages(own), lockfiles.npm_tree_packages(own), lockfiles.bun_packages(own)]))
     dependencies = declared.groupBy("ecosystem", "project", "name", "kind").agg(F.min("declared_in").alias("declared_in"), F.min("specifier_type").alias("specifier_type"))
-    return rules.findings(dependencies, usages, locked_closure(own, declared, packages), peers_of(packages, True), peers_of(packages, False), ecosystems, allowlisted(F.col("ecosystem"), F.col("name"), extra_tools), paths.is_non_shipped(F.col("file")), pull_request=base is not None)
+    return rules.findings(dependencies, usages, locked_closure(own, declared, packages), peers_of(packages, True), peers_of(packages, False), ecosystems, allowlisted(F.col("ecosystem"), F.col("name"), extra_tools), paths.is_non_shipped(F.col("file")), pull_request=base is not None, gaps=graph.stored(unread(own, declared)))

@@ -25,6 +25,19 @@ def _lines(rows: DataFrame, keys: list[str], order: list[str], line: str = "line
     return rows.groupBy(*keys).agg(F.array_join(F.filter(F.transform(packed, lambda x: x[line]), lambda x: x.isNotNull()), "\n").alias("text"))
 
 
+def _suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers, whose nation is cut into blocks of their keys: a file for each block has
+    a size of its own, however large the table."""
+    return t(spark, sf, "supplier").withColumn("s_nationkey", _text(F.col("s_nationkey"), "-", F.floor(F.col("s_suppkey") / 100)))
+
+
+def _in_blocks(sql: str) -> str:
+    """``sql`` over suppliers in such blocks."""
+    blocks = "WITH blocks AS (SELECT * REPLACE (s_nationkey || '-' || s_suppkey // 100 AS s_nationkey) FROM supplier)"
+    rest = sql.replace("FROM supplier", "FROM blocks").replace("JOIN supplier", "JOIN blocks")
+    return f"{blocks}, {rest.removeprefix('WITH ')}" if rest.startswith("WITH ") else f"{blocks}\n{rest}"
+
+
 # Manifests
 
 
@@ -52,27 +65,27 @@ def manifest_requirements(spark: SparkSession, sf: str) -> DataFrame:
     return manifests.requirements(one).select("project", "name", F.col("constraint").alias("spec"), long("declared_line").alias("line"))
 
 
-@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier)
-SELECT 'n' || s_nationkey AS project, 'github.com/acme/s' || s_suppkey AS name, 'v1.' || s_suppkey % 9 || '.0' AS spec, 5 + r AS line, CASE WHEN s_suppkey % 5 = 0 THEN 'file' ELSE 'registry' END AS specifier FROM n WHERE s_suppkey % 4 <> 0""")
+@query(_in_blocks("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier)
+SELECT 'n' || s_nationkey AS project, 'github.com/acme/s' || s_suppkey AS name, 'v1.' || s_suppkey % 9 || '.0' AS spec, 5 + r AS line, CASE WHEN s_suppkey % 5 = 0 THEN 'file' ELSE 'registry' END AS specifier FROM n WHERE s_suppkey % 4 <> 0"""))
 def manifest_go(spark: SparkSession, sf: str) -> DataFrame:
     """A go.mod for each nation: a block of requirements, indirect ones, replacements."""
     k = F.col("s_suppkey")
     need = F.concat(_text("\tgithub.com/acme/s", k, " v1.", k % 9, ".0"), F.when(k % 4 == 0, " // indirect").otherwise(""))
-    rows = t(spark, sf, "supplier").withColumns({"line": need, "swap": F.when(k % 5 == 0, _text("replace github.com/acme/s", k, " => ../s", k))})
+    rows = _suppliers(spark, sf).withColumns({"line": need, "swap": F.when(k % 5 == 0, _text("replace github.com/acme/s", k, " => ../s", k))})
     both = _lines(rows, ["s_nationkey"], ["s_suppkey"]).join(_lines(rows, ["s_nationkey"], ["s_suppkey"], "swap").withColumnRenamed("text", "swaps"), "s_nationkey")
     one = both.select(_text("n", F.col("s_nationkey"), "/go.mod").alias("path"), _text("module example.com/n", F.col("s_nationkey"), "\n\ngo 1.21\n\nrequire (\n", F.col("text"), "\n)\n", F.col("swaps")).alias("text"))
     return manifests.go_mod(one).select("project", "name", F.col("constraint").alias("spec"), long("declared_line").alias("line"), F.col("specifier_type").alias("specifier"))
 
 
-@query("""SELECT 'n' || s_nationkey AS project, 's' || s_suppkey AS name, CASE WHEN s_suppkey % 3 = 0 THEN '1.' || s_suppkey % 9 END AS spec, CASE WHEN s_suppkey % 3 = 2 THEN 'optional' ELSE 'runtime' END AS kind, CASE s_suppkey % 3 WHEN 0 THEN 'registry' WHEN 1 THEN 'file' ELSE 'git' END AS specifier FROM supplier
+@query(_in_blocks("""SELECT 'n' || s_nationkey AS project, 's' || s_suppkey AS name, CASE WHEN s_suppkey % 3 = 0 THEN '1.' || s_suppkey % 9 END AS spec, CASE WHEN s_suppkey % 3 = 2 THEN 'optional' ELSE 'runtime' END AS kind, CASE s_suppkey % 3 WHEN 0 THEN 'registry' WHEN 1 THEN 'file' ELSE 'git' END AS specifier FROM supplier
 UNION ALL SELECT 'n' || s_nationkey, 'real' || s_suppkey, '2', 'dev', 'registry' FROM supplier
-UNION ALL SELECT 'p' || s_nationkey, 'lib-s' || s_suppkey, '>=' || s_suppkey % 4, CASE WHEN s_suppkey % 2 = 0 THEN 'runtime' ELSE 'build' END, 'registry' FROM supplier""")
+UNION ALL SELECT 'p' || s_nationkey, 'lib-s' || s_suppkey, '>=' || s_suppkey % 4, CASE WHEN s_suppkey % 2 = 0 THEN 'runtime' ELSE 'build' END, 'registry' FROM supplier"""))
 def manifest_toml(spark: SparkSession, sf: str) -> DataFrame:
     """A Cargo.toml (paths, git, optional, renamed) and a pyproject.toml for each nation."""
     k = F.col("s_suppkey")
     entry = F.when(k % 3 == 0, _text("s", k, ' = "1.', k % 9, '"')).when(k % 3 == 1, _text("s", k, ' = { path = "../s', k, '" }')).otherwise(_text("s", k, ' = { git = "https://x/y", optional = true }'))
     quoted = _text('"lib_S', k, ">=", k % 4, '",')
-    rows = t(spark, sf, "supplier").withColumns({"line": entry, "dev": _text("d", k, ' = { package = "real', k, '", version = "2" }'), "run": F.when(k % 2 == 0, quoted), "build": F.when(k % 2 == 1, quoted)})
+    rows = _suppliers(spark, sf).withColumns({"line": entry, "dev": _text("d", k, ' = { package = "real', k, '", version = "2" }'), "run": F.when(k % 2 == 0, quoted), "build": F.when(k % 2 == 1, quoted)})
     made = rows.select("s_nationkey").distinct()
     for name in ("line", "dev", "run", "build"):
         made = made.join(_lines(rows, ["s_nationkey"], ["s_suppkey"], name).withColumnRenamed("text", name), "s_nationkey")
@@ -105,23 +118,23 @@ def lock_npm_edges(spark: SparkSession, sf: str) -> DataFrame:
     return lockfiles.npm_edges(found)
 
 
-@query("""SELECT 'n' || a.s_nationkey || '/Cargo.lock' AS lockfile, 's' || a.s_suppkey AS src, 's' || b.s_suppkey AS dst, coalesce(b.s_suppkey % 10 = 0, false) AS forked
-FROM supplier a LEFT JOIN supplier b ON b.s_suppkey = a.s_suppkey + 25 AND b.s_nationkey = a.s_nationkey""")
+@query(_in_blocks("""SELECT 'n' || a.s_nationkey || '/Cargo.lock' AS lockfile, 's' || a.s_suppkey AS src, 's' || b.s_suppkey AS dst, coalesce(b.s_suppkey % 10 = 0, false) AS forked
+FROM supplier a LEFT JOIN supplier b ON b.s_suppkey = a.s_suppkey + 25 AND b.s_nationkey = a.s_nationkey"""))
 def lock_cargo_edges(spark: SparkSession, sf: str) -> DataFrame:
     """A Cargo.lock for each nation; every tenth crate is locked in two versions."""
     k = F.col("s_suppkey")
     block = F.concat(_text('[[package]]\nname = "s', k, '"\nversion = "1.0.0"\ndependencies = ["s', k + 25, '"]\n'), F.when(k % 10 == 0, _text('[[package]]\nname = "s', k, '"\nversion = "2.0.0"\n')).otherwise(""))
-    one = _lines(t(spark, sf, "supplier").withColumn("line", block), ["s_nationkey"], ["s_suppkey"]).select(_text("n", F.col("s_nationkey"), "/Cargo.lock").alias("path"), "text")
+    one = _lines(_suppliers(spark, sf).withColumn("line", block), ["s_nationkey"], ["s_suppkey"]).select(_text("n", F.col("s_nationkey"), "/Cargo.lock").alias("path"), "text")
     return lockfiles.name_edges(lockfiles.toml_packages(one))
 
 
-@query("""SELECT 'n' || a.s_nationkey || '/yarn.lock' AS lockfile, '@acme/s' || a.s_suppkey AS name, '1.' || a.s_suppkey || '.0' AS version, 's' || (a.s_suppkey + 25) || '@^1.0.0' AS pattern, b.s_suppkey IS NOT NULL AS resolved
-FROM supplier a LEFT JOIN supplier b ON b.s_suppkey = a.s_suppkey + 25 AND b.s_nationkey = a.s_nationkey""")
+@query(_in_blocks("""SELECT 'n' || a.s_nationkey || '/yarn.lock' AS lockfile, '@acme/s' || a.s_suppkey AS name, '1.' || a.s_suppkey || '.0' AS version, 's' || (a.s_suppkey + 25) || '@^1.0.0' AS pattern, b.s_suppkey IS NOT NULL AS resolved
+FROM supplier a LEFT JOIN supplier b ON b.s_suppkey = a.s_suppkey + 25 AND b.s_nationkey = a.s_nationkey"""))
 def lock_yarn_edges(spark: SparkSession, sf: str) -> DataFrame:
     """A yarn.lock of the first version for each nation; an entry answers to two patterns."""
     k = F.col("s_suppkey")
     block = _text('\n"@acme/s', k, '@^1.0.0", s', k, '@^1.0.0:\n  version "1.', k, '.0"\n  dependencies:\n    s', k + 25, ' "^1.0.0"')
-    one = _lines(t(spark, sf, "supplier").withColumn("line", block), ["s_nationkey"], ["s_suppkey"]).select(_text("n", F.col("s_nationkey"), "/yarn.lock").alias("path"), _text("# yarn lockfile v1\n", F.col("text"), "\n").alias("text"))
+    one = _lines(_suppliers(spark, sf).withColumn("line", block), ["s_nationkey"], ["s_suppkey"]).select(_text("n", F.col("s_nationkey"), "/yarn.lock").alias("path"), _text("# yarn lockfile v1\n", F.col("text"), "\n").alias("text"))
     found = lockfiles.yarn_classic(one)
     names = found.select("lockfile", F.col("entry").alias("src"), "name", "version")
     return lockfiles.yarn_edges(found).join(names, ["lockfile", "src"]).select("lockfile", "name", "version", "pattern", F.col("dst").isNotNull().alias("resolved"))
@@ -221,8 +234,8 @@ def rule_findings(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("dependency", "kind", "rule", "severity", "confidence")
 
 
-ANALYSED_SQL = """SELECT 'n' || s_nationkey AS project, 's' || s_suppkey AS dependency, CASE s_suppkey % 8 WHEN 4 THEN 'unused' WHEN 2 THEN 'should-be-dev' WHEN 6 THEN 'should-be-dev' ELSE 'type-only' END AS kind, CASE s_suppkey % 8 WHEN 4 THEN 'medium' ELSE 'low' END AS severity
-FROM supplier WHERE s_suppkey % 8 IN (2, 3, 4, 6, 7)"""
+ANALYSED_SQL = _in_blocks("""SELECT 'n' || s_nationkey AS project, 's' || s_suppkey AS dependency, CASE s_suppkey % 8 WHEN 4 THEN 'unused' WHEN 2 THEN 'should-be-dev' WHEN 6 THEN 'should-be-dev' ELSE 'type-only' END AS kind, CASE s_suppkey % 8 WHEN 4 THEN 'medium' ELSE 'low' END AS severity
+FROM supplier WHERE s_suppkey % 8 IN (2, 3, 4, 6, 7)""")
 
 
 @query(ANALYSED_SQL)
@@ -230,7 +243,7 @@ def analysed_repositories(spark: SparkSession, sf: str) -> DataFrame:
     """The whole analysis: a project for each nation, whose suppliers are imported by what
     is shipped, by tests, as types, run by a script, or not at all."""
     k = F.col("s_suppkey")
-    rows = t(spark, sf, "supplier")
+    rows = _suppliers(spark, sf)
     run = F.when(k % 8 == 0, F.struct(_text("b", k).alias("n"), _text("s", k, " build").alias("s")))
     depend = F.map_from_entries(F.collect_list(F.struct(_text("s", k), F.lit("^1.0.0"))))
     made = rows.groupBy("s_nationkey").agg(F.to_json(F.struct(depend.alias("dependencies"), F.map_from_entries(F.collect_list(run)).alias("scripts"))).alias("text"))
@@ -276,16 +289,16 @@ def version_ranges(spark: SparkSession, sf: str) -> DataFrame:
 # Configuration, more lockfiles, pull requests
 
 
-@query("""SELECT 'n' || s_nationkey || '/.eslintrc.json' AS path, 'eslint plugins' AS setting, '@s' || s_suppkey AS name, '@s' || s_suppkey || '/eslint-plugin' AS packages FROM supplier
+@query(_in_blocks("""SELECT 'n' || s_nationkey || '/.eslintrc.json' AS path, 'eslint plugins' AS setting, '@s' || s_suppkey AS name, '@s' || s_suppkey || '/eslint-plugin' AS packages FROM supplier
 UNION ALL SELECT 'n' || s_nationkey || '/.eslintrc.json', 'eslint extends', 'plugin:s' || s_suppkey || '/all', 's' || s_suppkey || ',eslint-plugin-s' || s_suppkey FROM supplier
 UNION ALL SELECT 'n' || s_nationkey || '/.eslintrc.json', 'eslint extends', 'base' || s_suppkey, 'base' || s_suppkey || ',eslint-config-base' || s_suppkey FROM supplier
 UNION ALL SELECT 'n' || s_nationkey || '/package.json', 'babel presets', '@babel/s' || s_suppkey, '@babel/s' || s_suppkey || ',@babel/babel-preset-s' || s_suppkey || ',@babel/preset-s' || s_suppkey FROM supplier
-UNION ALL SELECT 'n' || s_nationkey || '/tsconfig.json', 'tsconfig compilerOptions.types', 's' || s_suppkey || '/globals', 's' || s_suppkey || ',@types/s' || s_suppkey FROM supplier""")
+UNION ALL SELECT 'n' || s_nationkey || '/tsconfig.json', 'tsconfig compilerOptions.types', 's' || s_suppkey || '/globals', 's' || s_suppkey || ',@types/s' || s_suppkey FROM supplier"""))
 def config_references(spark: SparkSession, sf: str) -> DataFrame:
     """Tools' configuration for each nation: comments, overrides, keys of package.json."""
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
     all_ = lambda c: F.to_json(F.collect_list(c))
-    made = t(spark, sf, "supplier").groupBy(n).agg(all_(_text("@s", k)).alias("plugins"), all_(_text("plugin:s", k, "/all")).alias("extends"), all_(_text("base", k)).alias("bases"), F.to_json(F.collect_list(F.array(_text("@babel/s", k)))).alias("presets"), all_(_text("s", k, "/globals")).alias("types"))
+    made = _suppliers(spark, sf).groupBy(n).agg(all_(_text("@s", k)).alias("plugins"), all_(_text("plugin:s", k, "/all")).alias("extends"), all_(_text("base", k)).alias("bases"), F.to_json(F.collect_list(F.array(_text("@babel/s", k)))).alias("presets"), all_(_text("s", k, "/globals")).alias("types"))
     one = lambda name, text: made.select(_text("n", n, name).alias("path"), text.alias("text"))
     lint = _text('{ // "plugins": ["no"]\n"plugins": ', F.col("plugins"), ', "overrides": [{"files": "x", "extends": ', F.col("extends"), ', "overrides": [{"extends": ', F.col("bases"), "}],}]}")
     babel = _text('{"babel": {"env": {"test": {"presets": ', F.col("presets"), "}}}}")
@@ -294,16 +307,16 @@ def config_references(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("path", "setting", "name", F.array_join("packages", ",").alias("packages"))
 
 
-@query("""WITH e AS (SELECT a.s_nationkey AS n, a.s_suppkey AS s, b.s_suppkey AS d FROM supplier a LEFT JOIN supplier b ON b.s_suppkey = a.s_suppkey + 25 AND b.s_nationkey = a.s_nationkey)
+@query(_in_blocks("""WITH e AS (SELECT a.s_nationkey AS n, a.s_suppkey AS s, b.s_suppkey AS d FROM supplier a LEFT JOIN supplier b ON b.s_suppkey = a.s_suppkey + 25 AND b.s_nationkey = a.s_nationkey)
 SELECT 'n' || n || '/pnpm-lock.yaml' AS lockfile, 'importer:apps/web' AS src, 's' || s AS name, s % 2 = 0 AS dev, CASE WHEN s % 5 <> 0 THEN 's' || s || '@1.0.0(react@18.2.0)' END AS dst FROM e
-UNION ALL SELECT 'n' || n || '/pnpm-lock.yaml', 's' || s || '@1.0.0(react@18.2.0)', 's' || (s + 25), false, CASE WHEN d IS NOT NULL THEN 's' || d || '@1.0.0(react@18.2.0)' END FROM e""")
+UNION ALL SELECT 'n' || n || '/pnpm-lock.yaml', 's' || s || '@1.0.0(react@18.2.0)', 's' || (s + 25), false, CASE WHEN d IS NOT NULL THEN 's' || d || '@1.0.0(react@18.2.0)' END FROM e"""))
 def lock_pnpm_edges(spark: SparkSession, sf: str) -> DataFrame:
     """A pnpm-lock.yaml for each nation: importers, links, peers in keys."""
     k = F.col("s_suppkey")
     locked = "1.0.0(react@18.2.0)"
     where = F.when(k % 5 == 0, "link:../lib").otherwise(locked)
     entry = F.concat(_text("      s", k, ":\n        specifier: ^1.0.0\n        version: "), where)
-    rows = t(spark, sf, "supplier").withColumns({"run": F.when(k % 2 == 1, entry), "dev": F.when(k % 2 == 0, entry), "snap": _text("  s", k, f"@{locked}:\n    dependencies:\n      s", k + 25, f": {locked}\n      # end")})
+    rows = _suppliers(spark, sf).withColumns({"run": F.when(k % 2 == 1, entry), "dev": F.when(k % 2 == 0, entry), "snap": _text("  s", k, f"@{locked}:\n    dependencies:\n      s", k + 25, f": {locked}\n      # end")})
     made = rows.select("s_nationkey").distinct()
     for name in ("run", "dev", "snap"):
         made = made.join(_lines(rows, ["s_nationkey"], ["s_suppkey"], name).withColumnRenamed("text", name), "s_nationkey")
@@ -311,15 +324,15 @@ def lock_pnpm_edges(spark: SparkSession, sf: str) -> DataFrame:
     return lockfiles.pnpm(made.select(_text("n", F.col("s_nationkey"), "/pnpm-lock.yaml").alias("path"), text.alias("text"))).drop("reference")
 
 
-@query("""SELECT 'n' || a.s_nationkey || '/yarn.lock' AS lockfile, '@acme/s' || a.s_suppkey AS name, '1.' || a.s_suppkey || '.0' AS version, 's' || (a.s_suppkey + 25) || CASE WHEN a.s_suppkey % 2 = 0 THEN '@npm:^1.0.0' ELSE '@workspace:^' END AS pattern, a.s_suppkey % 2 = 0 AND b.s_suppkey IS NOT NULL AS resolved
-FROM supplier a LEFT JOIN supplier b ON b.s_suppkey = a.s_suppkey + 25 AND b.s_nationkey = a.s_nationkey""")
+@query(_in_blocks("""SELECT 'n' || a.s_nationkey || '/yarn.lock' AS lockfile, '@acme/s' || a.s_suppkey AS name, '1.' || a.s_suppkey || '.0' AS version, 's' || (a.s_suppkey + 25) || CASE WHEN a.s_suppkey % 2 = 0 THEN '@npm:^1.0.0' ELSE '@workspace:^' END AS pattern, a.s_suppkey % 2 = 0 AND b.s_suppkey IS NOT NULL AS resolved
+FROM supplier a LEFT JOIN supplier b ON b.s_suppkey = a.s_suppkey + 25 AND b.s_nationkey = a.s_nationkey"""))
 def lock_berry_edges(spark: SparkSession, sf: str) -> DataFrame:
     """A yarn.lock of the later versions for each nation; half of the requirements are of
     workspaces, which no entry answers to."""
     k = F.col("s_suppkey")
     spec = F.when(k % 2 == 0, "^1.0.0").otherwise('"workspace:^"')
     block = F.concat(_text('\n"@acme/s', k, '@npm:^1.0.0, s', k, '@npm:^1.0.0":\n  version: 1.', k, '.0\n  resolution: "@acme/s', k, '@npm:1"\n  dependencies:\n    s', k + 25, ": "), spec, F.lit('\n  peerDependencies:\n    no: "*"'))
-    one = _lines(t(spark, sf, "supplier").withColumn("line", block), ["s_nationkey"], ["s_suppkey"]).select(_text("n", F.col("s_nationkey"), "/yarn.lock").alias("path"), _text("__metadata:\n  version: 8\n", F.col("text"), "\n").alias("text"))
+    one = _lines(_suppliers(spark, sf).withColumn("line", block), ["s_nationkey"], ["s_suppkey"]).select(_text("n", F.col("s_nationkey"), "/yarn.lock").alias("path"), _text("__metadata:\n  version: 8\n", F.col("text"), "\n").alias("text"))
     found = lockfiles.yarn_berry(one)
     names = found.select("lockfile", F.col("entry").alias("src"), "name", "version")
     return lockfiles.yarn_edges(found).join(names, ["lockfile", "src"]).select("lockfile", "name", "version", "pattern", F.col("dst").isNotNull().alias("resolved"))
@@ -370,22 +383,22 @@ def scoped_registries(spark: SparkSession, sf: str) -> DataFrame:
     return lockfiles.scoped_registries(t(spark, sf, "customer").select(_text("c", k, "/.npmrc").alias("path"), text.alias("text")))
 
 
-@query("SELECT 'n' || s_nationkey || '/Pipfile.lock' AS lockfile, 'lib-s' || s_suppkey AS name, '1.' || s_suppkey AS version, s_suppkey % 2 = 0 AS dev FROM supplier")
+@query(_in_blocks("SELECT 'n' || s_nationkey || '/Pipfile.lock' AS lockfile, 'lib-s' || s_suppkey AS name, '1.' || s_suppkey AS version, s_suppkey % 2 = 0 AS dev FROM supplier"))
 def lock_pipfile(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
     entry = F.struct(_text("Lib_S", k), F.struct(_text("==1.", k).alias("version"), F.array(F.lit("sha256:0")).alias("hashes")))
     side = lambda odd: F.map_from_entries(F.collect_list(F.when(k % 2 == odd, entry)))
-    made = t(spark, sf, "supplier").groupBy("s_nationkey").agg(F.to_json(F.struct(side(1).alias("default"), side(0).alias("develop"))).alias("text"))
+    made = _suppliers(spark, sf).groupBy("s_nationkey").agg(F.to_json(F.struct(side(1).alias("default"), side(0).alias("develop"))).alias("text"))
     return lockfiles.pipfile_packages(made.select(_text("n", F.col("s_nationkey"), "/Pipfile.lock").alias("path"), "text"))
 
 
-@query("""SELECT 'n' || s_nationkey AS project, 's' || s_suppkey AS dependency, CASE s_suppkey % 4 WHEN 0 THEN 'unused' WHEN 1 THEN 'removed-last-usage' ELSE 'unverified-no-imports' END AS rule, CASE WHEN s_suppkey % 4 = 3 THEN 'host' END AS host
-FROM supplier WHERE s_suppkey % 4 IN (0, 1, 3)""")
+@query(_in_blocks("""SELECT 'n' || s_nationkey AS project, 's' || s_suppkey AS dependency, CASE s_suppkey % 4 WHEN 0 THEN 'unused' WHEN 1 THEN 'removed-last-usage' ELSE 'unverified-no-imports' END AS rule, CASE WHEN s_suppkey % 4 = 3 THEN 'host' END AS host
+FROM supplier WHERE s_suppkey % 4 IN (0, 1, 3)"""))
 def analysed_pull_request(spark: SparkSession, sf: str) -> DataFrame:
     """Projects of a pull request: suppliers never used, used only before it, named by a
     tool's configuration, or expected beside another package."""
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
-    rows = t(spark, sf, "supplier")
+    rows = _suppliers(spark, sf)
     made = rows.groupBy(n).agg(F.to_json(F.collect_list(F.when(k % 4 == 2, _text("s", k)))).alias("plugins"))
     one = lambda name, text: made.select(_text("n", n, name).alias("path"), text.alias("text"))
     peers = F.map_from_entries(F.collect_list(F.when(k % 4 == 3, F.struct(_text("s", k), F.lit("*")))))

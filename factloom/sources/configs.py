@@ -8,6 +8,8 @@ are programs or YAML are not read; ``unread`` lists them.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ SETTINGS = {
 #: Where a document holds documents of its own kind, and how deep that is followed.
 NESTED = {"eslint": [("overrides", "array")], "babel": [("env", "map"), ("overrides", "array")], "jest": [("projects", "array")], "prettier": [("overrides", "options")], "stylelint": [("overrides", "array")]}
 DEPTH = 4
+# Settings that jest reads of its whole run only, not of a project in it.
+JEST_WHOLE_RUN = ("testResultsProcessor", "testSequencer", "reporters", "watchPlugins")
 UNREAD = r"(?:^|/)(?:\.(?:eslint|babel|prettier|stylelint|commitlint|postcss|mocha|lintstaged)rc\.(?:ya?ml|[cm]?js|ts)|(?:eslint|babel|jest|vitest|vite|webpack|rollup|prettier|stylelint|commitlint|postcss|tailwind|next|nuxt|svelte|astro)\.config\.[cm]?[jt]s)$"
 
 
@@ -72,28 +76,59 @@ def _entries(v: Column, way: str) -> Column:
     return _named(v) if way == "names" else F.coalesce(_named(v), F.map_keys(table))
 
 
-def package_of(spec: Column) -> Column:
-    """The package that a specifier lies in; null for paths, schemes and placeholders."""
+# How tools complete a short name.  A form holds for names of its shape (with a
+# scope, a name, or both) under its prefix, "*" for any that completes names; a name that
+# begins with what is put before it is complete as it is.
+FORMS = [
+    # prefix, scope, shape, put before, the package
+    ("@types", "", "name", "", "@types/{name}"),
+    ("@types", "", "scope and name", "", "@types/{owner}__{name}"),
+    ("*", "", "name", "{prefix}", "{prefix}-{name}"),
+    ("*", "", "scope", "", "{scope}/{prefix}"),
+    ("*", "", "scope and name", "{prefix}", "{scope}/{prefix}-{name}"),
+    ("babel-preset", "@babel", "scope and name", "preset", "@babel/preset-{name}"),
+    ("babel-plugin", "@babel", "scope and name", "plugin", "@babel/plugin-{name}"),
+]
+
+
+def _parts(spec: Column) -> tuple[Column, Column]:
+    """The scope and the name that a specifier begins with, '' where it has none; both are
+    '' for paths, addresses and placeholders."""
     s = F.trim(spec)
-    return F.when(~s.rlike(r"^(?:[./<]|$)") & ~s.contains(":"), F.nullif(F.regexp_extract(s, r"^(@[^/]+/[^/]+|[^@/][^/]*)", 1), F.lit("")))
+    outside = s.contains(":") | F.substring(s, 1, 1).isin(".", "/", "<")
+    part = lambda pattern: F.when(outside, "").otherwise(F.regexp_extract(s, pattern, 1))
+    return part("^(@[^/]+)"), part("^(?:@[^/]+/)?([^/@][^/]*)")
+
+
+def package_of(spec: Column) -> Column:
+    """The package that a specifier lies in; null for paths, addresses and placeholders."""
+    scope, name = _parts(spec)
+    return F.when(name != "", F.concat_ws("/", F.nullif(scope, F.lit("")), name))
 
 
 def candidates(name: Column, prefix: Column) -> Column:
-    """The packages that a tool takes a name for: itself, and the name after the prefix."""
-    raw = F.regexp_replace(name, "^module:", "")
-    own = package_of(raw)
-    scope, rest = F.split(raw, "/")[0], F.coalesce(F.try_element_at(F.split(raw, "/"), F.lit(2)), F.lit(""))
-    types = F.concat(F.lit("@types/"), F.when(own.startswith("@"), F.replace(F.substring(own, F.lit(2), F.length(own)), F.lit("/"), F.lit("__"))).otherwise(own))
-    scoped = F.when(rest == "", F.concat(scope, F.lit("/"), prefix)).when(~rest.startswith(prefix), F.concat(scope, F.lit("/"), prefix, F.lit("-"), rest))
-    short = F.regexp_replace(prefix, "^babel-", "")
-    babel = F.when((scope == "@babel") & (rest != "") & ~rest.startswith(short), F.concat(F.lit("@babel/"), short, F.lit("-"), rest))
-    plain = F.when(~own.startswith(prefix), F.concat(prefix, F.lit("-"), own))
-    long_ = F.when(prefix == "", F.array(own)).when(prefix == "@types", F.array(own, types)).when(raw.startswith("@"), F.array(own, scoped, babel)).otherwise(F.array(own, plain))
-    return F.array_distinct(F.array_compact(long_))
+    """The packages that a tool takes a name for: itself, and what ``FORMS`` make of it."""
+    whole = F.regexp_replace(name, "^module:", "")
+    scope, base = _parts(whole)
+    shape = F.concat_ws(" and ", F.when(scope != "", "scope"), F.when(base != "", "name"))
+    values = {"scope": scope, "owner": F.substring(scope, F.lit(2), F.length(scope)), "name": base, "prefix": prefix}
+
+    def filled(form: str) -> Column:
+        pieces = re.split(r"\{(\w+)\}", form)  # text and values in turn
+        return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(pieces)])
+
+    made = []
+    for of, of_scope, of_shape, before, package in FORMS:
+        holds = (shape == of_shape) & (~prefix.isin("", "@types") if of == "*" else prefix == of)
+        holds = holds & (scope == of_scope) if of_scope else holds
+        complete = F.startswith(base, filled(before)) if before else F.lit(False)
+        made.append(F.when(holds & ~complete, filled(package)))
+    return F.array_distinct(F.array_compact(F.array(package_of(whole), *made)))
 
 
 def documents(files: DataFrame) -> DataFrame:
-    """path, tool and v: every configuration document, nested ones too."""
+    """path, tool, v and level: every configuration document, and those nested in it up
+    to ``DEPTH`` levels down."""
     named = paths.file_name(F.col("path"))
     wanted = [n for all_ in FILES.values() for n in all_]
     parsed = files.where(named.isin("package.json", *wanted)).select("path", named.alias("file"), F.try_parse_json(plain_json(F.col("text"))).alias("v")).where("v is not null")
@@ -102,7 +137,7 @@ def documents(files: DataFrame) -> DataFrame:
         tool = F.when(F.col("file").isin(*all_), name).otherwise(tool)
     whole = parsed.where("file != 'package.json'").select("path", tool.alias("tool"), "v")
     inside = parsed.where("file = 'package.json'").select("path", F.explode(F.array(*[F.struct(F.lit(k).alias("tool"), F.try_variant_get("v", f"$.{key}", "variant").alias("v")) for k, key in KEYS.items()])).alias("d"))
-    level = whole.unionByName(inside.select("path", "d.*").where("v is not null"))
+    level = whole.unionByName(inside.select("path", "d.*").where("v is not null")).withColumn("level", F.lit(0))
     held = F.array().cast("array<variant>")
     for name, places in NESTED.items():
         items = []
@@ -114,7 +149,7 @@ def documents(files: DataFrame) -> DataFrame:
         held = F.when(F.col("tool") == name, F.concat(*items)).otherwise(held)
     found = level
     for _ in range(DEPTH):
-        level = level.select("path", "tool", F.explode(held).alias("v")).where("v is not null")
+        level = level.select("path", "tool", F.explode(held).alias("v"), (F.col("level") + 1).alias("level")).where("v is not null")
         found = found.unionByName(level)
     return found
 
@@ -124,8 +159,9 @@ def references(files: DataFrame) -> DataFrame:
     docs = documents(files)
     read = []
     for tool, settings in SETTINGS.items():
-        of = (F.col("tool") == tool) & (_kind(F.col("v")) == "OBJECT")
+        whole = (F.col("tool") == tool) & (_kind(F.col("v")) == "OBJECT")
         for place, prefix, way in settings:
+            of = whole & (F.col("level") == 0) if tool == "jest" and place in JEST_WHOLE_RUN else whole
             read.append((f"{tool} {place}", prefix, F.when(of, _entries(F.try_variant_get("v", f"$.{place}", "variant"), way))))
     read.append(("prettier shared config", "", F.when(F.col("tool") == "prettier", F.when(_kind(F.col("v")) == "STRING", F.array(F.try_variant_get("v", "$", "string"))))))
     plugins = F.transform(F.try_variant_get("v", "$.compilerOptions.plugins", "array<variant>"), lambda x: F.try_variant_get(x, "$.name", "string"))

@@ -88,8 +88,27 @@ def npm_peers(packages: DataFrame) -> DataFrame:
     return need.join(top.distinct(), ["lockfile", "member"], "left").select("lockfile", "direct", "member", F.coalesce("there", F.lit(False)).alias("resolved"))
 
 
+def _pnpm_documents(files: DataFrame) -> DataFrame:
+    """path, n, major and text of pnpm-lock.yaml: how many documents it has, and of the last
+    its version and text.  An environment's lockfile may stand before the project's."""
+    own = files.where(paths.file_name(F.col("path")) == "pnpm-lock.yaml")
+    all_ = F.filter(F.split("text", r"(?m)^---(?:[ \t][^\n]*)?\r?$"), lambda d: d.rlike(r"(?m)^\s*[^\s#]"))
+    last = own.select("path", F.size(all_).alias("n"), F.try_element_at(all_, F.lit(-1)).alias("text"))
+    return last.select("path", "n", F.regexp_extract("text", r"""(?m)^lockfileVersion:\s*['"]?(\d+)""", 1).alias("major"), "text")
+
+
+PNPM_MAJORS = ("6", "9")
+
+
+def pnpm_problems(files: DataFrame) -> DataFrame:
+    """lockfile and reason of each pnpm-lock.yaml that ``pnpm`` does not read."""
+    reason = F.when((F.col("n") < 1) | (F.col("n") > 2), F.concat(F.lit("expected one or two documents, found "), F.col("n").cast("string"))).when(~F.col("major").isin(*PNPM_MAJORS), F.concat(F.lit("lockfile version "), F.when(F.col("major") == "", "none").otherwise(F.col("major")), F.lit(" is not read")))
+    return _pnpm_documents(files).select(F.col("path").alias("lockfile"), F.coalesce(reason, F.when(F.col("n").isNull(), "no text")).alias("reason")).where("reason is not null")
+
+
 def pnpm(files: DataFrame) -> DataFrame:
-    """lockfile, src, name, reference, dev and dst of pnpm-lock.yaml files, versions 6 and 9.
+    """lockfile, src, name, reference, dev and dst of pnpm-lock.yaml files, versions 6 and 9
+    (of a file of two documents the last; see ``pnpm_problems`` for the others).
 
     src is a package's key (name@version, with what its peers add) or 'importer:' and the
     project's folder; dst is the key that the reference picks, null for links and for what
@@ -140,7 +159,7 @@ def pnpm(files: DataFrame) -> DataFrame:
             types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, types, strict=True)], names=["lockfile", "src", "name", "reference", "dev", "is_key"])
 
-    rows = files.where(paths.file_name(F.col("path")) == "pnpm-lock.yaml").select("path", "text").mapInArrow(run, "lockfile string, src string, name string, reference string, dev boolean, is_key int")
+    rows = _pnpm_documents(files).where(F.col("n").between(1, 2) & F.col("major").isin(*PNPM_MAJORS)).select("path", "text").mapInArrow(run, "lockfile string, src string, name string, reference string, dev boolean, is_key int")
     keys = rows.where("is_key = 1").select("lockfile", F.col("src").alias("dst")).distinct()
     need = rows.where("is_key = 0").drop("is_key")
     bare = F.regexp_replace("reference", "^/", "")

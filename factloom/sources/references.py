@@ -7,10 +7,13 @@ dynamic form without a literal is listed as a gap, never taken as absence.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions import names, paths
+from factloom.functions import names, paths, shell
 
 JS_FILES = r"\.(?:[cm]?[jt]sx?|vue|svelte|astro)$"
 # Each pattern has one group, the specifier.
@@ -111,13 +114,28 @@ def rust(files: DataFrame) -> DataFrame:
     return out.where(~F.col("crate").isin(*RUST_OWN)).distinct()
 
 
+def _lexed(scripts: DataFrame) -> DataFrame:
+    """path, name, commands and gaps of each script (see ``functions.shell``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shell.commands(x) for x in batch.column(2).to_pylist()]
+            lists = [pa.array([f[i] for f in found], pa.list_(pa.string())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *lists], names=["path", "name", "commands", "gaps"])
+
+    return scripts.select("path", "name", "script").mapInArrow(run, "path string, name string, commands array<string>, gaps array<string>")
+
+
 def commands(scripts: DataFrame) -> DataFrame:
-    """scripts(path, name, script) to path, name and each command word: the first word of
-    every part between && || ; | and after assignments and known wrappers."""
-    part = F.explode(F.split("script", r"\s*(?:&&|\|\||;|\||\n)\s*")).alias("part")
-    wrappers = r"^(?:\s*(?:[A-Za-z_]\w*=\S*|npx|pnpm exec|pnpm dlx|yarn exec|bunx|cross-env|env|time|nice|sudo|dotenv|--)\s+)+"
-    word = F.regexp_extract(F.regexp_replace(F.regexp_replace("part", r"^\s+", ""), wrappers, ""), r"^[\"'(]*([@\w./-]+)", 1)
-    return scripts.select("path", "name", part).select("path", "name", word.alias("command")).where("command != ''")
+    """scripts(path, name, script) to path, name and each command word: what a shell would
+    run, through assignments, groups, wrappers and scripts in arguments."""
+    word = F.regexp_extract("c", r"^([@\w./-]+)", 1)
+    return _lexed(scripts).select("path", "name", F.explode("commands").alias("c")).select("path", "name", word.alias("command")).where("command != ''")
+
+
+def script_gaps(scripts: DataFrame) -> DataFrame:
+    """path, name and reason of what in a script could not be read."""
+    return _lexed(scripts).select("path", "name", F.explode(F.array_distinct("gaps")).alias("reason"))
 
 
 def package_scripts(files: DataFrame) -> DataFrame:

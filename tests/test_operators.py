@@ -249,3 +249,56 @@ def test_rate_limits_equal_a_fold_and_hold_no_key(spark, gap):
     got = tuples(queue.rate_limited(spark.createDataFrame(rows, "repo string, s long"), "repo", "s", gap))
     assert len(got) == len(want) and set(got) == want
     assert "collect_list" not in inspect.getsource(queue.rate_limited)
+
+
+def test_closure_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    written, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: written.append(stored(df)) or written[-1])
+    edges = spark.range(1000).selectExpr("id AS src", "id + 1 AS dst")
+    reach = graph.closure(edges, starts=spark.createDataFrame([(0,), (990,)], "src long"))
+    assert reach.groupBy("src").count().collect() and {(r.src, r["count"]) for r in reach.groupBy("src").count().collect()} == {(0, 1000), (990, 10)}
+    assert len(written) <= 12
+
+
+def test_closure_rounds_end_on_cycles_with_tails(spark):
+    edges = [(i, (i + 1) % 7) for i in range(7)] + [(3, 10), (10, 11), (11, 12), (12, 3), (12, 13), (5, 5), (20, 21)]
+    assert set(tuples(graph.closure(spark.createDataFrame(edges, "src int, dst int")))) == brute_closure(edges)
+
+
+@pytest.mark.parametrize("most", [0, 9, 10, 11, 55, 1000])
+def test_prefix_cut_equals_a_running_total(spark, most):
+    rows = [(i, i % 7 if i % 5 else None, f"t{i}") for i in range(40)]
+    want, total = [], 0
+    for i, n, x in rows:
+        total += n or 0
+        if total > most:
+            break
+        want.append((i, n, x))
+    df = spark.createDataFrame(rows, "i long, n long, x string").repartition(5)
+    assert sorted(map(tuple, budgets.prefix_cut(df, "i", "n", most).collect())) == want
+    assert budgets.prefix_cut(df.where("false"), "i", "n", most).count() == 0
+
+
+def test_a_stream_of_events_notifies_like_the_whole_log(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(r.choice(["a", "b", "c", None]), 1_000_000 + 50 * i // 3 + r.randrange(40)) for i in range(400)]
+    rows += [("steady", 1_000_000 + 50 * i) for i in range(120)]
+    rows.sort(key=lambda x: x[1] + r.randrange(100))  # late by less than the watermark
+    for i in range(8):
+        part = spark.createDataFrame(rows[i * 65 : (i + 1) * 65], "repo string, s long").withColumn("at", F.timestamp_seconds("s"))
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    # What comes long after moves the watermark past all else.
+    spark.createDataFrame([("end", 9_000_000)], "repo string, s long").withColumn("at", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("repo string, s long, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = queue.rate_limited_stream(stream, "repo", "at", 60).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    want = set(tuples(queue.rate_limited(spark.createDataFrame(rows, "repo string, s long"), "repo", "s", 60)))
+    assert set(tuples(spark.table("limited"), "repo", "at")) == want
+    # An event every 50 seconds is a notice every 100, where a session would be one for ever.
+    assert sum(k == "steady" for k, _ in want) == 60
+
+
+def test_rate_limits_of_keys_that_fill_many_ranges(spark):
+    rows = [("hot", i) for i in range(5000)] + [("hot2", 3 * i) for i in range(2000)]
+    got = tuples(queue.rate_limited(spark.createDataFrame(rows, "repo string, s long").repartition(7), "repo", "s", 10))
+    assert got == sorted([("hot", i) for i in range(0, 5000, 10)] + [("hot2", i) for i in range(0, 6000, 12)], key=repr)

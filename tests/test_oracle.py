@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-import factloom.plans.repository  # registers its queries
+import factloom.plans.evidence  # registers its queries, and those it builds on
 from factloom.plans.queries import QUERIES, SQL
 
 DATA = os.environ.get("FACTLOOM_TEST_DATA", "/root/testdata/sf0.001")

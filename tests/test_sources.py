@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
+
 from factloom.operators import changes, graph, health, report
-from factloom.sources import diffs, files, lockfiles, manifests, references
+from factloom.sources import configs, diffs, files, lockfiles, manifests, references
 
 FILES = "path string, text string"
 
@@ -269,3 +271,36 @@ def test_scoped_registries(spark):
     text = "registry=https://registry.npmjs.org\n@a:registry=https://OLD.example\n@a:registry = \"https://NPM.example/x/\"\n# @b:registry=https://no.example\n//npm.example/:_authToken=t\n@c:registry=https://u:p@x.example\n"
     got = tuples(lockfiles.scoped_registries(table(spark, [(".npmrc", text), ("w/.npmrc", ""), ("npmrc", text)])))
     assert got == [(".", "@a", "https://npm.example"), (".", "@c", None)]
+
+
+def test_pnpm_documents_and_versions(spark):
+    body = "lockfileVersion: '{v}'\nimporters:\n  .:\n    dependencies:\n      a:\n        specifier: 1\n        version: {n}.0.0\nsnapshots:\n  a@{n}.0.0: {{}}\n"
+    files = [
+        ("one/pnpm-lock.yaml", body.format(v="9.0", n=1)), ("two/pnpm-lock.yaml", "---\n" + body.format(v="9.0", n=2) + "---\n" + body.format(v="9.0", n=3)), ("three/pnpm-lock.yaml", "---\n".join([body.format(v="9.0", n=1)] * 3)),
+        ("old/pnpm-lock.yaml", body.format(v="5.4", n=1)), ("none/pnpm-lock.yaml", "x: 1\n"), ("empty/pnpm-lock.yaml", ""), ("null/pnpm-lock.yaml", None),
+    ]
+    df = spark.createDataFrame(files, "path string, text string")
+    assert {(r.lockfile, r.dst) for r in lockfiles.pnpm(df).collect()} == {("one/pnpm-lock.yaml", "a@1.0.0"), ("two/pnpm-lock.yaml", "a@3.0.0")}
+    assert {r.lockfile.split("/")[0]: r.reason for r in lockfiles.pnpm_problems(df).collect()} == {
+        "three": "expected one or two documents, found 3", "old": "lockfile version 5 is not read", "none": "lockfile version none is not read", "empty": "expected one or two documents, found 0", "null": "no text",
+    }
+
+
+def test_jest_projects_and_other_tools(spark):
+    jest = '{"preset": "p1", "reporters": ["default", "r1"], "testSequencer": "s1", "projects": [{"preset": "p2", "reporters": ["r2"], "watchPlugins": ["w2"], "testSequencer": "s2", "testResultsProcessor": "t2", "runner": "eslint"}]}'
+    files = [("jest.config.json", jest), (".prettierrc", '{"plugins": ["prettier-plugin-x"], "overrides": [{"options": {"plugins": ["deep"]}}]}'), ("package.json", '{"prettier": "@acme/shared", "postcss": {"parser": "sugarss", "plugins": {"nano": {}}}}')]
+    got = {(r.setting, r.name): r.packages for r in configs.references(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert set(got) == {
+        ("jest preset", "p1"), ("jest reporters", "r1"), ("jest testSequencer", "s1"), ("jest preset", "p2"), ("jest runner", "eslint"), ("prettier plugins", "prettier-plugin-x"), ("prettier plugins", "deep"), ("prettier shared config", "@acme/shared"), ("postcss parser", "sugarss"), ("postcss plugins", "nano"),
+    }
+    assert got["jest runner", "eslint"] == ["eslint", "jest-runner-eslint"]
+
+
+@pytest.mark.parametrize(("name", "prefix", "want"), [
+    ("x", "eslint-config", ["x", "eslint-config-x"]), ("eslint-config-x", "eslint-config", ["eslint-config-x"]), ("@s", "eslint-config", ["@s/eslint-config"]), ("@s/x", "eslint-config", ["@s/x", "@s/eslint-config-x"]), ("@s/eslint-config", "eslint-config", ["@s/eslint-config"]),
+    ("x/deep/file", "eslint-config", ["x", "eslint-config-x"]), ("./x", "eslint-config", []), ("/x", "", []), ("<rootDir>/x", "", []), ("a:b", "x", []), ("module:x", "babel-plugin", ["x", "babel-plugin-x"]), ("@babel/x", "babel-plugin", ["@babel/x", "@babel/babel-plugin-x", "@babel/plugin-x"]),
+    ("@babel/plugin-x", "babel-plugin", ["@babel/plugin-x", "@babel/babel-plugin-plugin-x"]), ("x", "@types", ["x", "@types/x"]), ("@s/x", "@types", ["@s/x", "@types/s__x"]), ("x", "", ["x"]), (" x ", "", ["x"]), ("", "", []),
+])
+def test_names_that_tools_complete(spark, name, prefix, want):
+    row = spark.createDataFrame([(name, prefix)], "n string, p string").select(configs.candidates(F.col("n"), F.col("p")).alias("c")).first()
+    assert sorted(row.c) == sorted(want)
