@@ -143,6 +143,10 @@ def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = False)
 
     One pass, no shuffle: ids are hashed as little-endian unsigned 32-bit
     integers, and what is hashed as decoded comes from those ids alone.
+
+    Null and empty texts have no ids, and the hashes of no bytes.  Every row has a row,
+    repeated ones and those without a doc_id too; a text of any length is encoded whole;
+    an empty table gives none; columns besides doc_id and text are ignored.
     """
     path = path or vocabulary_path()
 

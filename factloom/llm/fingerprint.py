@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import mixed, powers, slices, table, text_bytes, width
+from factloom.llm.common import mixed, powers, slices, stored, table, text_bytes, width
 
 IDENTITY_LANES = 8
 LIKENESS_LANES = 128
@@ -155,28 +155,46 @@ def _compared(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
     )
 
 
+#: What a row of the first or last text of a range holds beside its doc_id.
+END = {"part": pa.int32(), "begins": pa.bool_(), "text": pa.string()}
+
+
+def _end(doc_id: pa.Array, text: str, part: int, begins: bool) -> pa.RecordBatch:
+    blank = [pa.nulls(1, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]]) for x in SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([doc_id, *blank, pa.array([part], pa.int32()), pa.array([begins]), pa.array([text], pa.string())], names=["doc_id", *[x.split()[0] for x in SCHEMA.split(", ")], *END])
+
+
 def with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text (see ``op3``).
 
-    Null texts are empty.  Documents follow each other by descending doc_id, null last,
+    Null texts are empty; texts of any length count whole, one at a time; repeated rows
+    have a row each; an empty table gives none.  Documents follow each other by descending doc_id, null last,
     equal doc_ids by descending text; the last is followed by the first, and a single
-    document by itself.  The text is shuffled once, into ranges of doc_id; the last row
-    of a range finds its successor among the ranges' first rows, one for each range.
+    document by itself.  The text is shuffled once, into ranges of doc_id.  A range gives
+    its rows' results with its first and last text, all written at once, as its borders
+    come from a sample; from those texts, two for each range, the rows at its end follow.
     """
     kind = dict(docs.dtypes)["doc_id"]
     order = [F.desc_nulls_last("doc_id"), F.desc("text")]
     ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(width(docs.sparkSession), order[0])  # by the id alone: its samples go to the driver
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_id, held = [], []
+        held_id, held, part = [], [], None
         for batch in batches:
+            if part is None and batch.num_rows:
+                part = batch.column(2)[0].as_py()
+                yield _end(batch.column(0).slice(0, 1), batch.column(1)[0].as_py(), part, True)
             _, offsets = text_bytes(batch.column(1))
             for low, high in slices(np.diff(offsets), 1 << 19):
                 ids = held_id + batch.column(0).slice(low, high - low).to_pylist()
                 texts = held + batch.column(1).slice(low, high - low).to_pylist()
                 if len(texts) > 1:
-                    yield _compared(pa.array(ids[:-1], batch.column(0).type), texts)
+                    found = _compared(pa.array(ids[:-1], batch.column(0).type), texts)
+                    yield pa.RecordBatch.from_arrays([*found.columns, *[pa.nulls(found.num_rows, t) for t in END.values()]], names=[*found.schema.names, *END])
                 held_id, held = ids[-1:], texts[-1:]
+                kind_of_id = batch.column(0).type
+        if part is not None:
+            yield _end(pa.array(held_id, kind_of_id), held[0], part, False)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,8 +202,11 @@ def with_edits(docs: DataFrame) -> DataFrame:
                 pair = [batch.column(1)[i].as_py(), batch.column(2)[i].as_py()]
                 yield _compared(batch.column(0).slice(i, 1), pair)
 
-    inner = ranged.sortWithinPartitions(*order).mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
-    ends = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.max(F.struct("doc_id", "text")).alias("first"), F.min(F.struct("doc_id", "text")).alias("last"))
+    numbered = ranged.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    both = stored(numbered.mapInArrow(run, f"doc_id {kind}, {SCHEMA}, part int, begins boolean, text string"), "ranges")
+    inner = both.where("part is null").drop(*END)
+    side = lambda begins: both.where(f"part is not null and begins = {begins}").select("part", F.struct("doc_id", "text").alias("first" if begins else "last"))
+    ends = side(True).join(side(False), "part")
     seams, parts = [], width(docs.sparkSession)
     while parts > SEAMS_AT_ONCE:  # blocks of ranges first, then blocks of blocks, so that no task meets the texts of all
         along = Window.partitionBy(F.floor(F.col("part") / SEAMS_AT_ONCE)).orderBy("part")

@@ -314,6 +314,9 @@ def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | No
     """``docs`` thinned to the targets: a row stays if a hash of its doc_id and text, as a
     number below 1, is less than its rate.  The anchor is the clean domain, so what is
     surely clean has a rate of 1 or more and always stays; nothing is repeated.
+
+    Null and empty texts have no marks and are rated as other texts without any; equal rows
+    stay or go together; a text counts whole; an empty table stays empty.
     """
     marks, classifier, _, fit = learned(docs, labels, targets or TARGETS, anchor="clean")
     chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)

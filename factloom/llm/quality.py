@@ -237,7 +237,10 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, lines: i
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every text; null and empty texts are one
-    empty line; a null doc_id is not held out.  Without labels every score is 0.5."""
+    empty line; a null doc_id is not held out.  Without labels every score is 0.5.
+
+    Every row has a row, repeated ones too; all lines of a text count, however many; an
+    empty table gives none; columns besides doc_id and text are ignored."""
     field = trained(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

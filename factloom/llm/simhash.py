@@ -287,7 +287,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
     Every row has a row, repeated rows too; a row of null doc_id is linked like any
-    other but never names a component while another doc_id is there.
+    other but never names a component while another doc_id is there.  Null, empty and blank
+    texts have the fingerprint 0; texts are read whole, however long; an empty table gives
+    none; columns besides doc_id and text are ignored.
     """
     marked = stored(fingerprints(docs), "fingerprints")
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
@@ -305,7 +307,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component.
 
     Rows that repeat a doc_id are one document and stay or go together; rows without a
-    doc_id cannot be named and stay.
+    doc_id cannot be named and stay.  All texts without words are one group; an empty table
+    stays empty; texts are read whole and all columns stay as they are.
     """
     kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -209,7 +209,9 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, p_toxic_fluent, p_toxic_junk, p_toxic and toxic (1 if p_toxic, the chain's last
     link, is at the threshold or above).  Null and empty texts have no features and get the
-    intercepts' probabilities; every row has a row; an empty table gives none."""
+    intercepts' probabilities; every row has a row, repeated ones too; all words of a text
+    count, however long it is; an empty table gives none; columns besides doc_id and text
+    are ignored."""
     found = scored(docs, trained(docs, categories_of(labels)))
     return found.withColumn("toxic", (F.col("p_toxic") >= threshold).cast("int"))
 
@@ -218,7 +220,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """The rows of ``docs`` whose last link's probability is below the threshold, all
     columns as they are.
 
-    Scores are made beside the rows, so no row is joined or shuffled for them.
+    Scores are made beside the rows, so no row is joined or shuffled for them.  Null and
+    empty texts are judged by the intercepts, which keep them unless most labels are toxic;
+    repeated rows stay or go together; texts are read whole; an empty table stays empty.
     """
     chain = trained(docs, categories_of(labels))
     text_at = docs.columns.index("text")
