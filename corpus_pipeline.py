@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but
 the last return the columns of documents.  ``run`` writes each stage's rows to the shared
 folder before the next reads them, so a lost executor costs one stage's tasks at most.
+
+Rows of null or empty text and of null doc_id are judged by every stage like others (see
+the operators; all texts without words are one group of near duplicates); texts are read
+whole at any length; repeated rows share a fate; an empty table stays empty; columns
+besides text and n_chars stay as they are.
 """
 
 from __future__ import annotations
