@@ -19,3 +19,8 @@ def tables(spark, tmp_path_factory):
 def test_cargo_links_leave_the_hundred(spark, tables):
     rows = {(r.lockfile, r.src, r.dst, r.forked) for r in QUERIES["lock_cargo_edges"](spark, tables).collect()}
     assert rows == {("n7/Cargo.lock", "s90", "s115", False), ("n7/Cargo.lock", "s115", "s140", True), ("n7/Cargo.lock", "s140", None, False)}
+
+
+def test_yarn_links_leave_the_hundred(spark, tables):
+    rows = {(r.name, r.pattern, r.resolved) for r in QUERIES["lock_yarn_edges"](spark, tables).collect()}
+    assert rows == {("@acme/s90", "s115@^1.0.0", True), ("@acme/s115", "s140@^1.0.0", True), ("@acme/s140", "s165@^1.0.0", False)}
