@@ -24,3 +24,8 @@ def test_cargo_links_leave_the_hundred(spark, tables):
 def test_yarn_links_leave_the_hundred(spark, tables):
     rows = {(r.name, r.pattern, r.resolved) for r in QUERIES["lock_yarn_edges"](spark, tables).collect()}
     assert rows == {("@acme/s90", "s115@^1.0.0", True), ("@acme/s115", "s140@^1.0.0", True), ("@acme/s140", "s165@^1.0.0", False)}
+
+
+def test_berry_links_leave_the_hundred(spark, tables):
+    rows = {(r.name, r.pattern, r.resolved) for r in QUERIES["lock_berry_edges"](spark, tables).collect()}
+    assert rows == {("@acme/s90", "s115@npm:^1.0.0", True), ("@acme/s115", "s140@workspace:^", False), ("@acme/s140", "s165@npm:^1.0.0", False)}
