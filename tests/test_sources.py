@@ -304,3 +304,15 @@ def test_jest_projects_and_other_tools(spark):
 def test_names_that_tools_complete(spark, name, prefix, want):
     row = spark.createDataFrame([(name, prefix)], "n string, p string").select(configs.candidates(F.col("n"), F.col("p")).alias("c")).first()
     assert sorted(row.c) == sorted(want)
+
+
+def test_package_json_lines_of_a_long_file(spark):
+    from factloom.sources import manifests
+
+    many = ",\n".join(f'    "p{i}": "^1"' for i in range(400))
+    text = '{\n  "name": "p7",\n  "devDependencies": {"p1": "2", "q": "p3"},\n  "dependencies": {\n' + many + "\n  }\n}"
+    found = manifests.package_json(spark.createDataFrame([("a/package.json", text)], "path string, text string"))
+    lines = {(r["kind"], r["name"]): r["declared_line"] for r in found.collect()}
+    assert lines == {("dev", "p1"): 3, ("dev", "q"): 3, **{("runtime", f"p{i}"): 5 + i for i in range(400)}}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "instr(substring" not in plan, "each dependency searches the whole text"

@@ -29,3 +29,8 @@ def test_yarn_links_leave_the_hundred(spark, tables):
 def test_berry_links_leave_the_hundred(spark, tables):
     rows = {(r.name, r.pattern, r.resolved) for r in QUERIES["lock_berry_edges"](spark, tables).collect()}
     assert rows == {("@acme/s90", "s115@npm:^1.0.0", True), ("@acme/s115", "s140@workspace:^", False), ("@acme/s140", "s165@npm:^1.0.0", False)}
+
+
+def test_pull_request_projects_are_nations(spark, tables):
+    rows = {(r.project, r.dependency, r.rule, r.host) for r in QUERIES["analysed_pull_request"](spark, tables).collect()}
+    assert rows == {("n7", "s115", "unverified-no-imports", "host"), ("n7", "s140", "unused", None)}
