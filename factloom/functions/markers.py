@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.values import once
+
 # What a marker may name, old spellings included.
 VARIABLES = (
     "python_version", "python_full_version", "os_name", "sys_platform", "platform_release", "platform_system", "platform_version", "platform_machine", "platform_python_implementation", "implementation_name", "implementation_version", "extra",
@@ -26,9 +28,11 @@ def is_marker(text: Column) -> Column:
         F.when(t.rlike("^['\"]") | t.isin(*VARIABLES), "v").when(t.rlike(r"^[=!<>~]|^in$|^not\s+in$"), "o").when(t.isin("and", "or"), "c").when(t.isin("(", ")"), t).otherwise("x")
     )
     letters = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0)), token), "")
-    compared = F.regexp_replace(letters, "vov", "e")
     joined = lambda s: F.regexp_replace(s, "e(?:ce)+", "e")
-    folded = F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), joined(compared), lambda s, _: joined(F.regexp_replace(s, r"\(e\)", "e")))
+    # A round opens the innermost parentheses, so there are no more rounds than those.
+    rounds = lambda s: F.least(F.length(s) - F.length(F.replace(s, F.lit("("), F.lit(""))), F.lit(DEPTH))
+    opened = lambda s: F.aggregate(F.sequence(F.lit(1), rounds(s)), s, lambda x, _: joined(F.regexp_replace(x, r"\(e\)", "e")))
+    folded = once(joined(F.regexp_replace(letters, "vov", "e")), lambda s: F.when(s.contains("("), opened(s)).otherwise(s))
     rest = F.regexp_replace(text, TOKENS, "")
     # Letters run on where a v or an o is left over, so vov is never found across tokens.
     return F.coalesce((F.trim(F.regexp_replace(rest, r"\s+", "")) == "") & (folded == "e"), F.lit(False))
@@ -54,9 +58,8 @@ def floor(constraint: Column) -> Column:
     takes out is no floor.
     """
     arms = F.split(constraint, r"\s*\|\|\s*")
-    floors = F.transform(arms, _arm)
-    fine = ~F.exists(floors, lambda f: f.isNull()) & ~F.regexp_replace(constraint, r"\|\|", "").contains("|") & (F.length(constraint) <= 4096)
-    return F.when(fine, F.array_min(floors))
+    fine = ~F.regexp_replace(constraint, r"\|\|", "").contains("|") & (F.length(constraint) <= 4096)
+    return F.when(fine, once(F.transform(arms, _arm), lambda floors: F.when(~F.exists(floors, lambda f: f.isNull()), F.array_min(floors))))
 
 
 def _arm(arm: Column) -> Column:
@@ -64,26 +67,40 @@ def _arm(arm: Column) -> Column:
     part = lambda t, i: F.regexp_extract(t, BOUND, i)
 
     def clause(t: Column) -> Column:
-        sign, given = part(t, 1), F.transform(F.split(part(t, 2), r"\."), lambda x: x.cast("int"))
-        n, any_last = F.size(given), part(t, 3) != ""
-        version = _three(given)
-        first = F.array_position(F.transform(given, lambda x: x != 0), True).cast("int")
-        # The number that the upper bound raises: the last given, the first that is not 0, ...
-        raised = F.when(sign == "==", n).when(sign == "^", F.when(first > 0, first).otherwise(n)).when(sign == "~", F.least(n, F.lit(2))).when(sign == "~=", n - 1)
-        over = _three(F.transform(F.slice(given, F.lit(1), raised), lambda x, i: x + F.when(i == raised - 1, 1).otherwise(0)))
-        exact = (sign == "==") & ~any_last
-        understood = t.rlike(BOUND) & (~any_last | (sign == "==")) & ~(exact & (n == 1)) & ~((sign == "~=") & (n < 2))
-        low = F.when(sign.isin("<", "<=", "!="), F.lit(None)).otherwise(F.struct(version.alias("version"), (sign == ">").alias("exclusive")))
-        high = F.when(sign == "<", F.struct(version.alias("v"), F.lit(False).alias("closed"))).when((sign == "<=") | exact, F.struct(version.alias("v"), F.lit(True).alias("closed")))
-        high = high.when(sign.isin("==", "^", "~", "~="), F.struct(over.alias("v"), F.lit(False).alias("closed")))
-        return F.when(understood, F.struct(low.alias("low"), high.alias("high"), F.when(sign == "!=", version).alias("out")))
-
-    clauses = F.transform(terms, clause)
-    low, high = F.array_max(F.transform(clauses, lambda c: c["low"])), F.array_min(F.transform(clauses, lambda c: c["high"]))
-    empty = F.coalesce((low["version"] > high["v"]) | ((low["version"] == high["v"]) & (low["exclusive"] | ~high["closed"])), F.lit(False))
-    outs = F.filter(F.transform(clauses, lambda c: c["out"]), lambda o: o.isNotNull())
-    taken = ~low["exclusive"] & F.exists(outs, lambda o: o == low["version"])
-    return F.when(~F.exists(clauses, lambda c: c.isNull()) & ~empty & ~taken, low)
+        given = F.transform(F.split(part(t, 2), r"\."), lambda x: x.cast("int"))
+        return F.when(t.rlike(BOUND), once(F.struct(part(t, 1).alias("sign"), given.alias("given"), (part(t, 3) != "").alias("any_last")), _clause))
+
+    return once(F.transform(terms, clause), _admitted)
+
+
+def _clause(p: Column) -> Column:
+    """struct(low, high, out) of a clause's sign and numbers; null if not understood."""
+    sign, given, any_last = p["sign"], p["given"], p["any_last"]
+    n, version = F.size(given), _three(given)
+    first = F.array_position(F.transform(given, lambda x: x != 0), True).cast("int")
+    # The number that the upper bound raises: the last given, the first that is not 0, ...
+    raised = F.when(sign == "==", n).when(sign == "^", F.when(first > 0, first).otherwise(n)).when(sign == "~", F.least(n, F.lit(2))).when(sign == "~=", n - 1)
+    over = once(raised, lambda at: _three(F.transform(F.slice(given, F.lit(1), at), lambda x, i: x + F.when(i == at - 1, 1).otherwise(0))))
+    exact = (sign == "==") & ~any_last
+    understood = (~any_last | (sign == "==")) & ~(exact & (n == 1)) & ~((sign == "~=") & (n < 2))
+    low = F.when(sign.isin("<", "<=", "!="), F.lit(None)).otherwise(F.struct(version.alias("version"), (sign == ">").alias("exclusive")))
+    high = F.when(sign == "<", F.struct(version.alias("v"), F.lit(False).alias("closed"))).when((sign == "<=") | exact, F.struct(version.alias("v"), F.lit(True).alias("closed")))
+    high = high.when(sign.isin("==", "^", "~", "~="), F.struct(over.alias("v"), F.lit(False).alias("closed")))
+    return F.when(understood, F.struct(low.alias("low"), high.alias("high"), F.when(sign == "!=", version).alias("out")))
+
+
+def _admitted(clauses: Column) -> Column:
+    """The floor of the clauses' intersection; null if it is empty or takes its floor out."""
+    bounds = F.struct(F.array_max(F.transform(clauses, lambda c: c["low"])).alias("low"), F.array_min(F.transform(clauses, lambda c: c["high"])).alias("high"))
+
+    def floor_of(b: Column) -> Column:
+        low, high = b["low"], b["high"]
+        empty = F.coalesce((low["version"] > high["v"]) | ((low["version"] == high["v"]) & (low["exclusive"] | ~high["closed"])), F.lit(False))
+        outs = F.filter(F.transform(clauses, lambda c: c["out"]), lambda o: o.isNotNull())
+        taken = ~low["exclusive"] & F.exists(outs, lambda o: o == low["version"])
+        return F.when(~empty & ~taken, low)
+
+    return F.when(~F.exists(clauses, lambda c: c.isNull()), once(bounds, floor_of))
 
 
 def _three(numbers: Column) -> Column:
