@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.values import once
+
 #: Characters that are not seen or that reorder what is seen.
 INVISIBLE = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f­؜​-‏‪-‮⁠-⁩﻿]"
 STATEMENT_CHARS = 300
@@ -45,7 +47,7 @@ def line_of(text: Column, needle: Column) -> Column:
 def version_parts(version: Column) -> Column:
     """array<int> of the leading numbers of a version; null without any."""
     core = F.regexp_extract(version, r"^[vV=\s]*([0-9]+(?:\.[0-9]+)*)", 1)
-    return F.when(core != "", F.transform(F.split(core, r"\."), lambda x: F.try_to_number(x, F.lit("9999999999")).cast("int")))
+    return once(core, lambda c: F.when(c != "", F.transform(F.split(c, r"\."), lambda x: x.try_cast("int"))))
 
 
 def version_compare(a: Column, b: Column) -> Column:
@@ -57,15 +59,23 @@ def version_compare(a: Column, b: Column) -> Column:
 def satisfies(version: Column, range_: Column) -> Column:
     """'yes', 'no' or 'unknown' for the plain ranges: exact, ^, ~, >=, >, <=, <, *, x.  A
     partial version stands for all that begin with it, so >1 starts at 2.0.0."""
-    operator = F.regexp_extract(range_, r"^\s*(\^|~|>=|<=|>|<|=)?", 1)
-    plain = range_.rlike(r"^\s*(\^|~|>=|<=|>|<|=)?\s*v?[0-9]+(\.[0-9]+){0,2}\s*$") & version.rlike(r"^v?[0-9]+\.[0-9]+\.[0-9]+$")
-    v, r = version_parts(version), version_parts(F.regexp_replace(range_, r"^\s*(\^|~|>=|<=|>|<|=)?\s*", ""))
-    full = F.concat(r, F.slice(F.array(*[F.lit(0)] * 3), F.lit(1), F.greatest(F.lit(3) - F.size(r), F.lit(0))))
+    sign = r"^\s*(\^|~|>=|<=|>|<|=)?\s*"
+    plain = range_.rlike(sign + r"v?[0-9]+(\.[0-9]+){0,2}\s*$") & version.rlike(r"^v?[0-9]+\.[0-9]+\.[0-9]+$")
+    read = F.struct(F.regexp_extract(range_, sign, 1).alias("operator"), version_parts(version).alias("v"), version_parts(F.regexp_replace(range_, sign, "")).alias("r"))
+    filled = lambda r: F.concat(r, F.slice(F.array(*[F.lit(0)] * 3), F.lit(1), F.greatest(F.lit(3) - F.size(r), F.lit(0))))
+    holds = once(read, lambda p: once(F.struct(p["operator"].alias("operator"), p["v"].alias("v"), filled(p["r"]).alias("full"), F.size(p["r"]).alias("fixed")), _holds))
+    anything = range_.rlike(r"^\s*([*xX]|)\s*$")
+    return F.when(anything, "yes").when(plain, F.when(holds, "yes").otherwise("no")).otherwise("unknown")
+
+
+def _holds(p: Column) -> Column:
+    """Whether version v is in the range that operator and full make; of full, the first
+    ``fixed`` numbers are given."""
+    operator, v, full, fixed = p["operator"], p["v"], p["full"], p["fixed"]
     order = version_compare(v, full)
-    fixed = F.size(r)
     same = lambda n: F.slice(v, F.lit(1), n) == F.slice(full, F.lit(1), n)
     caret_keep = F.when(full[0] > 0, 1).when((full[1] > 0) | (fixed < 2), F.when(fixed < 2, 1).otherwise(2)).otherwise(F.when(fixed < 3, 2).otherwise(3))
-    holds = (
+    return (
         F.when(operator == "^", (order >= 0) & same(caret_keep))
         .when(operator == "~", (order >= 0) & same(F.least(fixed, F.lit(2))))
         .when(operator == ">=", order >= 0)
@@ -74,8 +84,6 @@ def satisfies(version: Column, range_: Column) -> Column:
         .when(operator == "<", order < 0)
         .otherwise(same(fixed))
     )
-    anything = range_.rlike(r"^\s*([*xX]|)\s*$")
-    return F.when(anything, "yes").when(plain, F.when(holds, "yes").otherwise("no")).otherwise("unknown")
 
 
 def set_hash(values: Column) -> Column:

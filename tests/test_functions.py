@@ -64,3 +64,15 @@ def test_text(spark):
     assert values(spark, text.grouped(F.col("x")), [1234567], "x long") == ["1,234,567"]
     a, b = values(spark, text.set_hash(F.col("x")), [(["b", "a", "b"],), (["a", "b"],)], "x array<string>")
     assert a == b and len(a) == 64
+
+
+def test_values_are_worked_out_once(spark):
+    """The expressions name each value once: their size does not multiply with their parts."""
+    from factloom.functions import markers, text
+
+    rows = spark.createDataFrame([("1.2.3", ">=1.2"), ("1.2.99999999999", "<2"), ("0.3.1", "^0.3")], "v string, r string")
+    size = lambda c: len(rows.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString())
+    fits, floor = text.satisfies(F.col("v"), F.col("r")), markers.floor(F.col("r"))
+    assert [r[0] for r in rows.select(fits).collect()] == ["yes", "yes", "yes"]
+    assert str(rows.select(fits.alias("x"))._jdf.queryExecution().optimizedPlan().toString()).count("regexp_extract(v") == 1
+    assert size(floor) < 12_000
