@@ -1,43 +1,74 @@
 """Unified diffs: diffs(id, text) to files, hunks and lines with their numbers.
 
-A diff is exploded to lines; what a line means depends on the header before it, which
-windows over the lines of one diff carry forward.
+What a line means depends on the header before it, so the lines of a diff are read in their
+order, a diff at a time.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+HUNK = re.compile(r"@@ -([0-9]+)(?:,[0-9]+)? \+([0-9]+)(?:,[0-9]+)? @@")
+KINDS = {"+": "add", "-": "del", " ": "context"}
+#: Diffs whose files are given on at once.
+DIFFS = 256
+LINES = "array<struct<hunk: bigint, type: string, old_line: int, new_line: int, text: string>>"
+
+
+def _files(text: str) -> list[dict]:
+    """a, b (names as written) and lines of each file of a diff that has a header."""
+    out, name = [], {}
+    at = {"headed": False, "hunk": 0, "lines": []}
+
+    def close():
+        if at["headed"] and at["lines"]:
+            out.append({"a": name.get("--- "), "b": name.get("+++ "), "lines": at["lines"]})
+
+    old = new = 0
+    for line in text.split("\n"):
+        start = HUNK.match(line)
+        if line.startswith("diff --git "):
+            close()
+            name, at = {}, {"headed": True, "hunk": 0, "lines": []}
+        elif start:
+            at["hunk"] += 1
+            old, new = int(start[1]), int(start[2])
+        elif not at["hunk"]:
+            at["headed"] = True
+            if line[:4] in ("--- ", "+++ "):
+                name[line[:4]] = max(name.get(line[:4], ""), line[4:])
+        elif line[:1] in KINDS:
+            kind = KINDS[line[0]]
+            at["lines"].append({"hunk": at["hunk"], "type": kind, "old_line": None if kind == "add" else old, "new_line": None if kind == "del" else new, "text": line[1:]})
+            old, new = old + (kind != "add"), new + (kind != "del")
+    close()
+    return out
 
 
 def diff_lines(diffs: DataFrame) -> DataFrame:
     """id, path, old_path, hunk, type (add, del or context), old_line, new_line, text."""
-    rows = diffs.select("id", F.posexplode(F.split("text", "\n")).alias("i", "t"))
-    along = Window.partitionBy("id").orderBy("i")
-    upto = along.rowsBetween(Window.unboundedPreceding, 0)
-    file_no = F.sum(F.col("t").startswith("diff --git ").cast("int")).over(upto)
-    in_file = rows.withColumn("file", file_no)
-    hunk = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
-    part = Window.partitionBy("id", "file").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    starts = F.col("t").rlike(hunk)
-    marked = in_file.withColumn("hunk", F.sum(starts.cast("int")).over(part))
-    head = marked.where("hunk = 0").groupBy("id", "file").agg(
-        F.max(F.when(F.col("t").startswith("--- "), F.substring("t", F.lit(5), F.length("t")))).alias("a"), F.max(F.when(F.col("t").startswith("+++ "), F.substring("t", F.lit(5), F.length("t")))).alias("b")
-    )
+    line = pa.struct([("hunk", pa.int64()), ("type", pa.string()), ("old_line", pa.int32()), ("new_line", pa.int32()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, DIFFS):
+                part = batch.slice(first, DIFFS)
+                found = [(i, f) for i, text in enumerate(part.column(1).to_pylist()) if text is not None for f in _files(text)]
+                ids = part.column(0).take(pa.array([i for i, _ in found], pa.int32()))
+                columns = [pa.array([f[k] for _, f in found], t) for k, t in (("a", pa.string()), ("b", pa.string()), ("lines", pa.list_(line)))]
+                yield pa.RecordBatch.from_arrays([ids, *columns], names=["id", "a", "b", "lines"])
+
+    schema = StructType([StructField("id", diffs.schema["id"].dataType), *StructType.fromDDL(f"a string, b string, lines {LINES}").fields])
+    read = diffs.select("id", "text").where("id is not null").mapInArrow(run, schema)
     clean = lambda c: F.when(F.col(c) != "/dev/null", F.regexp_replace(F.regexp_replace(c, r'\t.*$|^"|"$', ""), "^[ab]/", ""))
-    inside = Window.partitionBy("id", "file", "hunk").orderBy("i")
-    first = marked.where((F.col("hunk") > 0) & F.col("file").isNotNull())
-    number = lambda g: F.first(F.when(starts, F.regexp_extract("t", hunk, g).cast("int")), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    kind = F.when(F.col("t").startswith("+"), "add").when(F.col("t").startswith("-"), "del").when(F.col("t").startswith(" "), "context")
-    lines = first.withColumns({"old0": number(1), "new0": number(3)}).where(~starts).withColumn("type", kind).where("type is not null")
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    count = lambda *kinds: F.coalesce(F.sum(F.col("type").isin(*kinds).cast("int")).over(before), F.lit(0))
-    placed = lines.withColumns({"o": F.col("old0") + count("del", "context"), "n": F.col("new0") + count("add", "context")})
-    named = placed.join(head, ["id", "file"])
-    return named.select(
-        "id", F.coalesce(clean("b"), clean("a")).alias("path"), clean("a").alias("old_path"), "hunk", "type",
-        F.when(F.col("type") != "add", F.col("o")).cast("int").alias("old_line"), F.when(F.col("type") != "del", F.col("n")).cast("int").alias("new_line"), F.substring("t", F.lit(2), F.length("t")).alias("text"),
-    )
+    named = read.select("id", clean("a").alias("old_path"), clean("b").alias("path"), F.explode("lines").alias("l"))
+    return named.select("id", F.coalesce("path", "old_path").alias("path"), "old_path", "l.*")
 
 
 def added(lines: DataFrame) -> DataFrame:

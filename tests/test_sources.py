@@ -316,3 +316,27 @@ def test_package_json_lines_of_a_long_file(spark):
     assert lines == {("dev", "p1"): 3, ("dev", "q"): 3, **{("runtime", f"p{i}"): 5 + i for i in range(400)}}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "instr(substring" not in plan, "each dependency searches the whole text"
+
+
+def shuffles(df):
+    return df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_lines_files_and_edges_are_dealt_once(spark):
+    """A text's rows are not sorted, joined and dealt anew for each step of its reading."""
+    one = spark.createDataFrame([("a", "--- a/x\n+++ b/x\n@@ -1 +5 @@\n-old\n+new\n same\n@@ -9 +9 @@\n+more")], "id string, text string")
+    lines = diffs.diff_lines(one)
+    assert tuples(lines, "path", "hunk", "type", "old_line", "new_line", "text") == sorted([("x", 1, "del", 1, None, "old"), ("x", 1, "add", None, 5, "new"), ("x", 1, "context", 2, 6, "same"), ("x", 2, "add", None, 9, "more")], key=repr)
+    assert shuffles(lines) == 0
+    texts = table(spark, [("a.ts", "import type { T } from 't';\nimport t from 't';\nrequire('r')")])
+    found = references.javascript(texts)
+    assert tuples(found, "specifier", "form", "type_only") == [("r", "require", False), ("t", "static", False)]
+    assert shuffles(found) == 1
+    lock = '{"packages": {"": {"dependencies": {"a": "1"}}, "node_modules/a": {"dependencies": {"b": "1", "c": "1"}}, "node_modules/b": {}, "node_modules/a/node_modules/b": {}}}'
+    edges = lockfiles.npm_edges(lockfiles.npm_packages(table(spark, [("package-lock.json", lock)])))
+    assert tuples(edges, "src", "dst", "name") == [("", "node_modules/a", "a"), ("node_modules/a", "node_modules/a/node_modules/b", "b"), ("node_modules/a", None, "c")]
+    assert shuffles(edges) == 1
+    bun = '{"workspaces": {"": {"dependencies": {"a": "1"}}, "w": {"name": "w"}}, "packages": {"a": ["a@1", "", {}], "w/a": ["a@2", "", {}]}}'
+    packages = lockfiles.bun_packages(table(spark, [("bun.lock", bun)]))
+    assert tuples(packages, "key", "name", "version") == sorted([("", None, None), ("w", "w", None), ("node_modules/a", "a", "1"), ("w/node_modules/a", "a", "2")], key=repr)
+    assert shuffles(packages) == 0
