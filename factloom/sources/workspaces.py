@@ -1,8 +1,8 @@
 """Workspaces: which folders belong to which root, by globs and by links between crates.
 
-A glob becomes one regular expression over the segments of a folder.  Patterns meet folders
-of their root by an equi-join on the segments before the first wildcard, so a folder is
-tried only by the patterns that begin as it does.
+A glob becomes one regular expression over the segments of a folder.  The globs of a root
+come to its folders as one list, by an equi-join on the root; a folder is tried only by the
+patterns that begin as it does, up to their first wildcard.
 """
 
 from __future__ import annotations
@@ -53,19 +53,29 @@ def glob_pattern(segments: Column, dots: Column) -> Column:
     return F.when(~F.exists(each, lambda e: e.isNull()), F.concat(F.lit("^"), F.array_join(each, ""), F.lit("$")))
 
 
+def tried(globs: DataFrame) -> DataFrame:
+    """``globs`` with the struct g(glob, dots, head, pattern) that ``fits`` needs; null for
+    a glob that is not understood.  head is what comes before the first wildcard."""
+    segments = _segments(F.col("glob"))
+    at = F.array_position(F.transform(segments, lambda s: s.rlike(r"[*?\[]")), True)
+    head = F.array_join(F.when(at > 0, F.slice(segments, F.lit(1), (at - 1).cast("int"))).otherwise(segments), "/")
+    made = globs.withColumns({"_head": head, "_pattern": glob_pattern(segments, F.col("dots"))})
+    return made.withColumn("g", F.when(F.col("_pattern").isNotNull(), F.struct("glob", "dots", F.col("_head").alias("head"), F.col("_pattern").alias("pattern")))).drop("_head", "_pattern")
+
+
+def fits(g: Column, folder: Column) -> Column:
+    """Whether a glob of ``tried`` matches a folder ('.' for the root)."""
+    written = F.when(folder == ".", "").otherwise(F.concat(folder, F.lit("/")))
+    return ((g["head"] == "") | F.startswith(written, F.concat(g["head"], F.lit("/")))) & F.rlike(written, g["pattern"])
+
+
 def matched(globs: DataFrame, folders: DataFrame) -> DataFrame:
     """root, glob and folder of every folder that a glob of its root matches.
 
     globs(root, glob, dots) and folders(root, folder), both relative to the root ('.')."""
-    segments = _segments(F.col("glob"))
-    wild = F.transform(segments, lambda s: s.rlike(r"[*?\[]"))
-    at = F.array_position(wild, True)
-    head = F.array_join(F.when(at > 0, F.slice(segments, F.lit(1), (at - 1).cast("int"))).otherwise(segments), "/")
-    made = globs.select("root", "glob", "dots").distinct().select("root", "glob", head.alias("head"), glob_pattern(segments, F.col("dots")).alias("pattern")).where("pattern is not null")
-    parts = F.when(F.col("folder") == ".", F.array().cast("array<string>")).otherwise(F.split("folder", "/"))
-    beginnings = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    tried = folders.select("root", "folder").distinct().select("root", "folder", F.explode(beginnings).alias("head"), F.when(F.col("folder") == ".", "").otherwise(F.concat("folder", F.lit("/"))).alias("written"))
-    return made.join(tried, ["root", "head"]).where(F.expr("written rlike pattern")).select("root", "glob", "folder").distinct()
+    by = tried(globs).groupBy("root").agg(F.collect_set("g").alias("globs"))
+    hits = folders.select("root", "folder").distinct().join(by, "root")
+    return hits.select("root", "folder", F.explode(F.filter("globs", lambda g: fits(g, F.col("folder")))).alias("g")).select("root", "g.glob", "folder").distinct()
 
 
 # npm, pnpm and yarn
@@ -103,16 +113,15 @@ def javascript_members(files: DataFrame) -> DataFrame:
     dotted = F.exists(parts, lambda s: s.startswith("."))
     odd = body.rlike(r"^(?:/|\\|[A-Za-z]:)") | F.array_contains(parts, "..") | (F.array_contains(parts, "**") & dotted) | F.exists(parts, lambda s: ~s.rlike(r"^(?:\*\*|[A-Za-z0-9._@~+*-]+)$") | (s.contains("**") & (s != "**")))
     globs = globs.select("root", "source", negated.alias("negated"), body.alias("glob"), negated.alias("dots"), odd.alias("odd"), (dotted & ~negated).alias("dotted"))
-    unsure = globs.groupBy("root", "source").agg((F.bool_or("odd") | (F.bool_or("dotted") & F.bool_or("negated"))).alias("unsure"))
+    rules = tried(globs).groupBy("root", "source").agg((F.bool_or("odd") | (F.bool_or("dotted") & F.bool_or("negated"))).alias("unsure"), F.collect_set(F.when(~F.col("odd"), F.col("g"))).alias("globs"))
     below = files.where((paths.file_name(F.col("path")) == "package.json") & ~F.arrays_overlap(F.split("path", "/"), F.array(F.lit("node_modules"), F.lit("bower_components")))).select(paths.directory(F.col("path")).alias("place"))
-    above = below.select("place", F.explode(paths.ancestors(F.col("place"), strict=True)).alias("root")).join(unsure, "root")
+    above = below.select("place", F.explode(paths.ancestors(F.col("place"), strict=True)).alias("root")).join(rules, "root")
     rel = F.when(F.col("root") == ".", F.col("place")).otherwise(F.expr("substring(place, length(root) + 2)"))
-    folders = graph.stored(above.select("root", "source", "unsure", "place", rel.alias("folder")))
-    hits = matched(globs.select("root", "glob", "dots"), folders).join(globs.select("root", "glob", "negated").distinct(), ["root", "glob"])
-    said = hits.groupBy("root", "folder").agg(F.bool_or(~F.col("negated")).alias("included"), F.bool_or("negated").alias("excluded"))
-    member = F.coalesce(F.col("included") & ~F.col("excluded"), F.lit(False))
-    status = F.when(F.col("unsure"), "unknown").when(member, "member").otherwise("nonmember")
-    return folders.join(said, ["root", "folder"], "left").select("root", F.col("place").alias("member"), "source", status.alias("status"))
+    folders = above.withColumn("folder", rel)
+    # ``dots`` is what tells an exclusion from an inclusion here.
+    said = lambda excluding: F.exists("globs", lambda g: (g["dots"] == excluding) & fits(g, F.col("folder")))
+    status = F.when(F.col("unsure"), "unknown").when(~said(True) & said(False), "member").otherwise("nonmember")
+    return folders.select("root", F.col("place").alias("member"), "source", status.alias("status"))
 
 
 # Cargo
