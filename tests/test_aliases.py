@@ -105,3 +105,12 @@ def test_the_analysis_hears_of_aliases_and_of_what_is_unread(spark):
     got = {(r.project, r.dependency): r.rule for r in analysed(df).collect() if r.ecosystem == js}
     held = "unverified-no-imports"
     assert got == {(".", "top"): "unused", ("one", "a"): "unused", ("two", "a"): held, ("two", "d"): held, ("two/inner", "c"): held, ("three", "a"): held, ("three", "e"): held}
+
+
+def test_files_say_which_paths_lead_to_them(spark):
+    """A file has a few rows, where each path was made into some thirty files."""
+    listed = spark.createDataFrame([("src/a.d.ts",), ("lib/index.ts",)], "file string")
+    rows = {(r.file, r.at, r["index"]) for r in aliases._leads(listed).collect()}
+    assert ("src/a.d.ts", "src/a", False) in rows and ("src/a.d.ts", "src/a.js", False) in rows
+    assert ("lib/index.ts", "lib", True) in rows
+    assert len(rows) <= 12
