@@ -169,7 +169,10 @@ def merged_markers(spark: SparkSession, sf: str) -> DataFrame:
     under one condition, another or none."""
     flag = F.col("l_returnflag")
     line = F.concat(_text('"part.', F.col("l_partkey") % 3, " >= 1"), F.when(flag == "A", " ; os_name == 'nt'").when(flag == "R", "; python_version < '3' ").otherwise(""), F.lit('",'))
-    one = _lines(t(spark, sf, "lineitem").withColumn("line", line), ["l_orderkey"], ["l_linenumber"])
+    # Reading a file costs far more than moving it, so tasks are as many as the session's
+    # shuffle partitions; by their bytes they would be few, and not of even number.
+    lines = t(spark, sf, "lineitem").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    one = _lines(lines.withColumn("line", line), ["l_orderkey"], ["l_linenumber"])
     files = _file(one, _text("o", F.col("l_orderkey"), "/pyproject.toml"), _text("[project]\ndependencies = [\n", F.col("text"), "\n]\n"))
     return pythons.conditions(files).select("project", "name", "marker")
 

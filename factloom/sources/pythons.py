@@ -3,7 +3,8 @@ least Python they declare."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,24 +13,30 @@ from pyspark.sql import functions as F
 from factloom.functions import markers, names, paths
 from factloom.operators import graph
 
-REQUIREMENT = r"^\s*([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)\s*(?:\[([^\]]*)\])?\s*([^;]*?)\s*(?:;\s*(.*?)\s*)?$"
+NAME = r"^\s*([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)"
+REQUIREMENT = NAME + r"\s*(?:\[([^\]]*)\])?\s*([^;]*?)\s*(?:;\s*(.*?)\s*)?$"
 
+#: Files whose rows a task keeps for copies of them, and the longest of such.
+KEPT_FILES = 8192
+KEPT_CHARS = 2048
 
-def listed(files: DataFrame) -> DataFrame:
+
+def listed(files: DataFrame, *sections: str) -> DataFrame:
     """project, section, extra and text of each pyproject.toml: name, requirement (runtime,
     or of an extra), requires-python and poetry's python; broken for one that does not
-    parse.  A text is null where the file has something else."""
+    parse.  A text is null where the file has something else.  What a file says again in
+    the same words is one row.  With sections, only rows of those leave the reader."""
+    table = lambda x: x if isinstance(x, dict) else {}
+    string = lambda x: x if isinstance(x, str) else None
+    many = lambda x: [s for s in x if isinstance(s, str)] if isinstance(x, list) else []
 
-    def rows(text: str | None) -> list[tuple[str, str | None, str | None]]:
+    def rows(text: str | None) -> Iterable[tuple[str, str | None, str | None]]:
         import tomllib
 
         try:
             doc = tomllib.loads(text or "")
         except tomllib.TOMLDecodeError:
-            return [("broken", None, None)]
-        table = lambda x: x if isinstance(x, dict) else {}
-        string = lambda x: x if isinstance(x, str) else None
-        many = lambda x: [s for s in x if isinstance(s, str)] if isinstance(x, list) else []
+            return [("broken", None, None)] if not sections or "broken" in sections else []
         project, poetry = table(doc.get("project")), table(table(table(doc.get("tool")).get("poetry")).get("dependencies"))
         out = [("name", None, string(project.get("name")))] + [("requirement", None, x) for x in many(project.get("dependencies"))]
         for extra, of in table(project.get("optional-dependencies")).items():
@@ -38,12 +45,16 @@ def listed(files: DataFrame) -> DataFrame:
             out.append(("requires-python", None, string(project["requires-python"])))
         if "python" in poetry:
             out.append(("poetry python", None, string(poetry["python"]) or string(table(poetry["python"]).get("version"))))
-        return out
+        return dict.fromkeys(r for r in out if not sections or r[0] in sections)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Copies of a file, as in two snapshots, are parsed once; what is kept is bounded.
+        known = lru_cache(KEPT_FILES)(rows)
         for batch in batches:
-            found = [(project, *r) for project, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in rows(text)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in list(zip(*found, strict=True)) or [()] * 4], names=["project", "section", "extra", "text"])
+            found = [(i, *r) for i, text in enumerate(batch.column(1).to_pylist()) for r in (known if len(text or "") <= KEPT_CHARS else rows)(text)]
+            at, *columns = list(zip(*found, strict=True)) or [()] * 4
+            project = batch.column(0).take(pa.array(at, pa.int64())).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([project, *[pa.array(c, pa.string()) for c in columns]], names=["project", "section", "extra", "text"])
 
     return _own(files, "pyproject.toml").mapInArrow(run, "project string, section string, extra string, text string")
 
@@ -54,18 +65,21 @@ def _own(files: DataFrame, name: str) -> DataFrame:
 
 def _requirements(rows: DataFrame) -> DataFrame:
     part = lambda i: F.regexp_extract("text", REQUIREMENT, i)
-    parsed = rows.where("section = 'requirement'").select("project", F.when(F.col("extra").isNotNull(), names.python_name(F.col("extra"))).alias("extra"), part(1).alias("n"), part(2).alias("extras"), part(3).alias("constraint"), F.nullif(part(4), F.lit("")).alias("marker"))
-    return parsed.where("n != ''").select("project", "extra", names.python_name(F.col("n")).alias("name"), F.transform(F.filter(F.split("extras", r"\s*,\s*"), lambda x: F.trim(x) != ""), lambda x: names.python_name(F.trim(x))).alias("extras"), "constraint", "marker")
+    # Where the whole pattern fits, the name is what its beginning finds alone, and a marker
+    # follows a semicolon: neither needs the whole pattern again.
+    marker = F.nullif(F.when(F.col("text").contains(";"), part(4)).otherwise(""), F.lit(""))
+    parsed = rows.where((F.col("section") == "requirement") & (part(1) != "")).select("project", F.when(F.col("extra").isNotNull(), names.python_name(F.col("extra"))).alias("extra"), names.python_name(F.regexp_extract("text", NAME, 1)).alias("name"), part(2).alias("extras"), part(3).alias("constraint"), marker.alias("marker"))
+    return parsed.withColumn("extras", F.transform(F.filter(F.split("extras", r"\s*,\s*"), lambda x: F.trim(x) != ""), lambda x: names.python_name(F.trim(x))))
 
 
 def conditions(files: DataFrame) -> DataFrame:
     """project, extra, name, valid and marker: the condition under which each requirement
     holds, of all its declarations.  A declaration of a marker that is none is not valid
     and is left out of the condition; if all are such, the condition is unknown (null) too."""
-    rows = _requirements(listed(files)).withColumn("fits", F.col("marker").isNull() | markers.is_marker(F.col("marker")))
-    # In the order of their texts, as a table has no other.
-    by = rows.groupBy("project", "extra", "name").agg(F.bool_and("fits").alias("valid"), F.sort_array(F.collect_list(F.when(F.col("fits"), F.struct(F.coalesce("marker", F.lit("")).alias("m"))))).alias("all"))
-    return by.select("project", "extra", "name", "valid", markers.merged(F.transform("all", lambda x: F.nullif(x["m"], F.lit("")))).alias("marker"))
+    rows = _requirements(listed(files, "requirement")).withColumn("fits", F.col("marker").isNull() | markers.is_marker(F.col("marker")))
+    # In the order of their texts, as a table has no other; none stands as an empty text.
+    by = rows.groupBy("project", "extra", "name").agg(F.bool_and("fits").alias("valid"), F.sort_array(F.collect_list(F.when(F.col("fits"), F.coalesce("marker", F.lit(""))))).alias("all"))
+    return by.select("project", "extra", "name", "valid", markers.merged(F.when(~F.array_contains("all", ""), F.col("all"))).alias("marker"))
 
 
 def extras(files: DataFrame) -> DataFrame:

@@ -59,6 +59,28 @@ def test_markers_against_descent(spark):
     assert values(spark, markers.is_marker, [" ".join(x) for x in all_]) == [grammar(x) for x in all_]
 
 
+def test_markers_without_parentheses(spark):
+    """One pattern knows them, and says what the tokens say, which parentheses lead to."""
+    r = random.Random(2)
+    pieces = ["os_name", "os.name", "os_namex", "extra", "'x'", '"a b"', "'x", "==", "===", "=", "<", "<=", "~=", "in", "not in", "not\n in", "not", "and", "or", "andx", "3"]
+    good = lambda: [r.choice(pieces[:2] + pieces[3:6]), r.choice(["==", "===", "<", "in", "not in", "not\n in"]), r.choice(pieces[:2] + pieces[3:6])]
+    tokens = [list(x) for n in (1, 2, 3) for x in itertools.product(pieces[:10], repeat=n)]
+    for _ in range(1500):
+        x = good()
+        while r.random() < 0.5:
+            x += [r.choice(["and", "or"]), *good()]
+        if r.random() < 0.5:
+            x[r.randrange(len(x))] = r.choice(pieces)
+        tokens.append(x)
+    texts = ["".join(t + r.choice(["", " ", " ", "\t\n"]) for t in x) for x in tokens] + ["os_name == 'x'\u2028", "os_name == 'x'\u0085", "\u00a0os_name == 'x'"]
+    got = values(spark, markers.is_marker, texts)
+    assert got == values(spark, markers.is_marker, [f"({t})" for t in texts])
+    known = values(spark, lambda t: t.rlike(markers.PLAIN), texts)
+    assert known == got and 300 < sum(got) < len(got) - 300
+    long = " and ".join(["os_name == 'x'"] * 20000)
+    assert values(spark, markers.is_marker, [long]) == [True]
+
+
 def test_merged(spark):
     rows = [(["a", "b", "a"],), (["a"],), (["a", "a"],), (["a", None],), ([],), (["a", "b", "c"],), (None,)]
     df = spark.createDataFrame(rows, "m array<string>").select(markers.merged(F.col("m")).alias("y"))
@@ -95,3 +117,35 @@ def test_extras_and_conditions(spark):
     assert {(r.extra, r.name) for r in pythons.extras(df).collect()} == {("a", "q"), ("a", "r"), ("b", "r"), ("b", "q"), ("c", None), ("d", None)}
     got = {(r.extra, r.name): (r.valid, r.marker) for r in pythons.conditions(df).collect()}
     assert got[None, "x"] == (True, "(extra=='y') or (os_name == 'nt')") and got[None, "z"] == (True, None) and got[None, "bad"] == (False, None) and got["a", "q"] == (True, None)
+
+
+def test_a_requirement_said_again_is_one_row(spark):
+    text = '[project]\ndependencies = ["x ; os_name == \'nt\'", "x ; os_name == \'nt\'", "y", "x"]\n[project.optional-dependencies]\na = ["x", "x"]\n'
+    df = spark.createDataFrame([("a/pyproject.toml", text), ("b/pyproject.toml", text), ("c/pyproject.toml", None)], "path string, text string")
+    got = sorted((r.project, r.extra or "", r.text) for r in pythons.listed(df).where("section = 'requirement'").collect())
+    assert got == [(p, e, t) for p in ("a", "b") for e, t in (("", "x"), ("", "x ; os_name == 'nt'"), ("", "y"), ("a", "x"))]
+    assert [r.section for r in pythons.listed(df).where("project = 'c'").collect()] == ["name"]
+    assert sorted((r.project, r.extra or "", r.text) for r in pythons.listed(df, "requirement").collect()) == got
+    found = {(r.project, r.extra, r.name): (r.valid, r.marker) for r in pythons.conditions(df).collect()}
+    assert found == {(p, e, n): (True, None) for p in ("a", "b") for e, n in ((None, "x"), (None, "y"), ("a", "x"))}
+
+
+def test_names_are_what_the_whole_pattern_finds(spark):
+    texts = ["x", " A.b_c- >1", "a-", "a[x;y] >1 ; m", "a [x] ; m\n", "a ; m\nn", "a;b;c", "a-;\nb\nc", "-a", "", ";", "a_-.b", "a b", "a\n", "a[x", "a]; ", "\u00e9a", "a\u00e9"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    part = lambda i: F.regexp_extract("text", pythons.REQUIREMENT, i)
+    for r in df.select("text", part(1).alias("n"), part(4).alias("m"), F.regexp_extract("text", pythons.NAME, 1).alias("alone")).collect():
+        assert (r.n == "" or r.n == r.alone) and (r.m == "" or ";" in r.text), r
+
+
+def test_files_are_dealt_over_all_shuffle_partitions(spark, tmp_path):
+    """Few bytes make few partitions if left to their size, though a file is much work."""
+    from factloom.plans import evidence
+
+    rows = [(o, p, n, "ANRAR"[n]) for o in range(40) for n, p in enumerate((1, 1, 1, 2, 2))]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    made = evidence.merged_markers(spark, str(tmp_path))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan and f", {spark.conf.get('spark.sql.shuffle.partitions')}), REPARTITION_BY_NUM" in plan
+    both = "(os_name == 'nt') or (python_version < '3')"
+    assert sorted((r.project, r.name, r.marker) for r in made.collect()) == sorted((f"o{o}", n, m) for o in range(40) for n, m in (("part-1", None), ("part-2", both)))
