@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.operators.graph import scratch_dir
+from factloom.operators.graph import scratch_dir, shuffled
 
 #: Bytes of text that a task works on at once; a longer document is taken alone.
 CHUNK_BYTES = 1 << 20
@@ -193,4 +193,4 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     hot = F.broadcast(many.select(*keys, F.ceil(F.col("_n") / share).cast("int").alias("_parts")))
     dealt = big.join(hot, keys, "left").withColumn("_part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
     copied = small.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
-    return dealt.join(copied, [*keys, "_part"], how).drop("_part")
+    return dealt.join(shuffled(copied), [*keys, "_part"], how).drop("_part")

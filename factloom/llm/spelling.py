@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import mixed, slices, span_hashes, spread_join, stored, table
+from factloom.operators.graph import shuffled
 
 #: A word has so many code points and occurrences at least.
 LEAST_LENGTH = 6
@@ -190,7 +191,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
     rows = words.select("word", "n").mapInArrow(run, "word string, n long, last int, key long, pivot boolean")
     index = rows.where("not pivot").select("key", F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("last").alias("near_last"))
-    found = rows.where("pivot").join(index, "key").where("last <= near_last and word != near").where(F.levenshtein("word", "near", 1) == 1)
+    # A word has dozens of rows, which Spark sizes as one.
+    found = rows.where("pivot").join(shuffled(index), "key").where("last <= near_last and word != near").where(F.levenshtein("word", "near", 1) == 1)
     both = F.array(F.struct("word", "n", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
     return found.select(F.explode(both).alias("p")).select("p.*").distinct()
 
@@ -216,11 +218,11 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """
     words = stored(words.where("word is not null and n is not null").select("word", F.col("n").cast("long").alias("n")), "words")
     best = near_pairs(words).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("b"))
-    counted = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("b.near").alias("near"), (-F.col("b.less")).alias("near_n"))
+    counted = words.join(shuffled(best), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("b.near").alias("near"), (-F.col("b.less")).alias("near_n"))
     fits = F.col("near_n") >= F.lit(ratio) * F.col("n")
     formed = stored(counted.select("word", "n", "n_near", F.when(fits, F.col("near")).alias("form"), F.when(fits, F.col("near_n")).alias("form_n")), "forms")
     ends = roots(formed.where("form is not null"))
-    return formed.join(ends, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return formed.join(shuffled(ends), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

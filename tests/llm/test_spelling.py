@@ -107,6 +107,13 @@ def test_empty_and_null(spark):
     assert found(spelling.variants(words)) == brute({"kettle": 5, "kettel": 25})
 
 
+def test_no_side_of_a_join_goes_through_the_driver(spark):
+    words = table(spark, {"abcdef": 5, "abcdeg": 25, "abcdxg": 125})
+    for df in (spelling.near_pairs(words), spelling.variants(words)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_pivots_are_the_lightest_disjoint_pair():
     r = np.random.default_rng(2)
     for k in (3, 5):
