@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import stored, table
+from factloom.operators.graph import shuffled
 
 #: Differing bits up to which fingerprints link.
 RADIUS = 2
@@ -246,9 +247,10 @@ def links(nodes: DataFrame) -> DataFrame:
     found = cold.groupBy("shard").applyInArrow(search, "a long, b long")
     if hot:
         flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
+        # A point has 65 rows, which Spark sizes as one: neither side may be broadcast.
         keyed = dealt.where(F.col("shard").isin(hot)).select("fp").distinct().select("fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("key"))
         least = keyed.groupBy("key").agg(F.min("fp").alias("b"))
-        found = found.unionByName(keyed.join(least, "key").where("fp != b").select(F.col("fp").alias("a"), "b").distinct())
+        found = found.unionByName(keyed.join(shuffled(least), "key").where("fp != b").select(F.col("fp").alias("a"), "b").distinct())
     return found.distinct()
 
 
@@ -274,10 +276,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     was, is_now = None, state(now)
     while was != is_now and is_now[0]:
         both = sides(now)
-        large = both.join(least(both), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = both.join(shuffled(least(both)), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         down = large.where("a != b").distinct().select(F.col("a").alias("u"), F.col("b").alias("v"))
         low = least(down)
-        small = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        small = down.join(shuffled(low), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         now = stored(small.where("a != b").distinct(), "links")
         was, is_now = is_now, state(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -294,13 +296,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marked = stored(fingerprints(docs), "fingerprints")
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = components(links(nodes))
-    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(shuffled(found.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = rooted.join(named, "root").select("fp", "component_id")
+    ids = rooted.join(shuffled(named), "root").select("fp", "component_id")
     # A fingerprint that a third of all documents share is no single key.
     salted = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = marked.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return dealt.join(salted, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return dealt.join(shuffled(salted), ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
