@@ -261,6 +261,22 @@ def test_nested_npm_lockfile(spark):
     assert lockfiles.npm_tree_packages(table(spark, [])).count() == 0
 
 
+def test_nested_npm_lockfiles_are_read_once(spark, monkeypatch):
+    written = []
+    kept = lockfiles.stored
+    monkeypatch.setattr(lockfiles, "stored", lambda df: written.append(df) or kept(df))
+    deep = '{"dependencies": {"a": {"dependencies": {"b": {"dependencies": {"c": {"version": 1.50, "dev": "true", "requires": {"a": 1}}}}}}}}'
+    rows = [("p/package-lock.json", deep), ("p/package.json", None), ("q/package-lock.json", '{"dependencies": {"a": {}, "a": {}}}'), ("r/package-lock.json", '{"dependencies": {"\\ud800": {"version": "x"}}} more'), ("s/package-lock.json", '{"dependencies": {"a": "1", "b": null}}')]
+    packages = lockfiles.npm_tree_packages(table(spark, rows))
+    assert len(written) == 1
+    a, b = "node_modules/a", "node_modules/a/node_modules/b"
+    assert tuples(packages, "lockfile", "key", "version", "dev", "requires") == [
+        ("p/package-lock.json", "", None, False, []), ("p/package-lock.json", a, None, False, []), ("p/package-lock.json", b, None, False, []), ("p/package-lock.json", b + "/node_modules/c", "1.5", True, ["a"]),
+        ("r/package-lock.json", "node_modules/?", "x", False, []), ("s/package-lock.json", a, None, False, []), ("s/package-lock.json", "node_modules/b", None, False, []),
+    ]
+    assert tuples(lockfiles.npm_edges(packages), "src", "name", "dst") == [(b + "/node_modules/c", "a", a)]
+
+
 def test_workspace_sees_the_root(spark):
     text = '{"packages": {"": {}, "packages/x": {"name": "x", "dependencies": {"a": "1", "b": "1"}}, "packages/x/node_modules/b": {"version": "2"}, "node_modules/a": {"version": "1"}, "node_modules/b": {"version": "1"}}}'
     packages = lockfiles.npm_packages(table(spark, [("package-lock.json", text)]))
