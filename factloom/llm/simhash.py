@@ -259,7 +259,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates large-star and small-star rounds until nothing changes; each round's
     edges are written to the shared folder.  A hot node costs one row for each of its
-    edges: its smallest neighbour comes from a pre-aggregated group by.
+    edges: its smallest neighbour comes from a pre-aggregated group by, whose one row for
+    each node may be broadcast where it is small: no file has a node in less than its bytes.
     """
 
     def sides(e: DataFrame) -> DataFrame:
@@ -276,10 +277,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     was, is_now = None, state(now)
     while was != is_now and is_now[0]:
         both = sides(now)
-        large = both.join(shuffled(least(both)), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = both.join(least(both), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         down = large.where("a != b").distinct().select(F.col("a").alias("u"), F.col("b").alias("v"))
         low = least(down)
-        small = down.join(shuffled(low), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        small = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         now = stored(small.where("a != b").distinct(), "links")
         was, is_now = is_now, state(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
